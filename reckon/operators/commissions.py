@@ -22,7 +22,7 @@ from reckon.operators.shared import owners, recent, with_rules
 def _recent_with_rules(
     ledger: DataFrame, wallets: DataFrame, merchants: DataFrame, commissions: DataFrame, n: int
 ) -> DataFrame:
-    return with_rules(recent(ledger, owners(wallets, merchants), n), commissions)
+    return with_rules(recent(ledger, wallets, merchants, n), commissions)
 
 
 def commission_mismatches_recent(
@@ -37,7 +37,7 @@ def commission_mismatches_recent(
     """Recent rows whose commission is off the expectation rounded to cents."""
     expected = F.round(expected_commission(), 2)
     return (
-        with_rules(recent(ledger, owners(wallets, merchants, users), n), commissions)
+        with_rules(recent(ledger, wallets, merchants, n, users), commissions)
         .join(products.select("ProductID", F.col("Description").alias("Product")), "ProductID")
         .select(
             "EntryID",
@@ -177,7 +177,7 @@ def wrong_tier_used(
         "ProductID", F.col("MerchantTier").alias("CommissionTierUsed"), "CommissionPercentage"
     )
     return (
-        recent(ledger, owners(wallets, merchants), n)
+        recent(ledger, wallets, merchants, n)
         .join(rules, "ProductID")
         .filter((F.col("EffectiveTier") != F.col("CommissionTierUsed")) & is_correct())
         .join(products.select("ProductID", "Description"), "ProductID")

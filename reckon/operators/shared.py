@@ -15,8 +15,11 @@ def completed(ledger: DataFrame) -> DataFrame:
 
 
 def ghosts(ledger: DataFrame, vouchers: DataFrame) -> DataFrame:
-    """Ledger rows without a voucher, whatever their status."""
-    return ledger.join(vouchers.select("EntryID"), "EntryID", "left_anti")
+    """Ledger rows without a voucher, whatever their status.
+
+    Copies of an EntryID are dropped before the shuffle; the anti join could not split them later.
+    """
+    return ledger.join(vouchers.select("EntryID").distinct(), "EntryID", "left_anti")
 
 
 def completed_ghosts(ledger: DataFrame, vouchers: DataFrame) -> DataFrame:
@@ -35,7 +38,9 @@ def owners(wallets: DataFrame, merchants: DataFrame, users: DataFrame | None = N
     )
 
 
-def recent(ledger: DataFrame, owned: DataFrame, n: int) -> DataFrame:
+def recent(
+    ledger: DataFrame, wallets: DataFrame, merchants: DataFrame, n: int, users: DataFrame | None = None
+) -> DataFrame:
     """The newest ``n`` rows of ledger x ``owners``; ties by EntryID, then MerchantID.
 
     Each ledger row with a wallet yields at least one joined row, so the newest n of those rows are
@@ -43,8 +48,9 @@ def recent(ledger: DataFrame, owned: DataFrame, n: int) -> DataFrame:
     with several profiles.
     """
     order = [F.col("CreatedTimestamp").desc(), F.col("EntryID")]
-    newest = ledger.join(owned.select("WalletID"), "WalletID", "left_semi").orderBy(*order).limit(n)
-    return newest.join(owned, "WalletID").orderBy(*order, "MerchantID").limit(n)
+    held = wallets if users is None else wallets.join(users.select("UserID"), "UserID", "left_semi")
+    newest = ledger.join(held.select("WalletID"), "WalletID", "left_semi").orderBy(*order).limit(n)
+    return newest.join(owners(wallets, merchants, users), "WalletID").orderBy(*order, "MerchantID").limit(n)
 
 
 def with_rules(rows: DataFrame, commissions: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from reckon.operators.shared import completed
 
-_DAY, _MONTH = "day", "month"
+_REQUEST = ["RequestID", "MerchantID", "PeriodStart", "PeriodEnd"]
 
 
 def calculate_settlements(
@@ -28,12 +28,9 @@ def calculate_settlements(
     held = wallets.select("WalletID", "UserID").join(merchants.select("UserID", "MerchantID"), "UserID")
     held = held.select("WalletID", "MerchantID")
     by_date = all(isinstance(requests.schema[c].dataType, T.DateType) for c in ("PeriodStart", "PeriodEnd"))
-    matched = (_by_day if by_date else _by_row)(completed(ledger), held, requests)
-    sums = matched.groupBy("RequestID").agg(
-        F.sum("_gross").alias("_gross"), F.sum("_commission").alias("_commission")
-    )
+    sums = (_by_day if by_date else _by_row)(completed(ledger), held, requests.select(*_REQUEST))
     gross, commission = (F.coalesce(F.col(c), F.lit(0)) for c in ("_gross", "_commission"))
-    return requests.join(sums, "RequestID", "left").select(
+    return sums.select(
         F.col("RequestID").alias("SettlementID"),
         "MerchantID",
         "PeriodStart",
@@ -47,43 +44,45 @@ def calculate_settlements(
 
 
 def _by_day(paid: DataFrame, held: DataFrame, requests: DataFrame) -> DataFrame:
-    time, day = F.col("CreatedTimestamp"), F.to_date("CreatedTimestamp")
-    first_instant = time == day.cast("timestamp_ntz")
-    daily = (
-        paid.groupBy("WalletID", day.alias("_date"))
-        .agg(
-            F.sum("Amount").alias("_gross"),
-            F.sum("CommissionAmount").alias("_commission"),
-            F.sum(F.when(first_instant, F.col("Amount"))).alias("_gross_at_start"),
-            F.sum(F.when(first_instant, F.col("CommissionAmount"))).alias("_commission_at_start"),
-        )
-        .join(held, "WalletID")
-        .withColumn("_month", F.trunc("_date", "month"))
-    )
-    monthly = daily.groupBy("MerchantID", "_month").agg(
-        F.sum("_gross").alias("_gross"), F.sum("_commission").alias("_commission")
+    """Sums per request from day and month totals, both taken in one pass over the ledger."""
+    day = F.to_date("CreatedTimestamp")
+    first_instant = F.col("CreatedTimestamp") == day.cast("timestamp_ntz")
+    amounts = {"_gross": F.col("Amount"), "_commission": F.col("CommissionAmount")}
+    amounts |= {f"{name}_at_start": F.when(first_instant, amount) for name, amount in amounts.items()}
+    daily = paid.groupBy("WalletID", day.alias("_date")).agg(
+        *[F.sum(amount).alias(name) for name, amount in amounts.items()]
     )
-    activity = daily.withColumn("_grain", F.lit(_DAY)).unionByName(
-        monthly.withColumn("_grain", F.lit(_MONTH)), allowMissingColumns=True
+    activity = (
+        daily.join(held, "WalletID")
+        .withColumns({"_merchant": F.col("MerchantID"), "_of": F.trunc("_date", "month")})
+        .groupingSets([["_merchant", "_of", "_date"], ["_merchant", "_of"]], "_merchant", "_of", "_date")
+        .agg(*[F.sum(name).alias(name) for name in amounts], F.grouping("_date").alias("_is_month"))
     )
 
-    start, end = F.col("PeriodStart"), F.col("PeriodEnd")
-    whole = (F.col("_month") >= start) & (F.last_day("_month") < end)
-    buckets = _months(requests).withColumn("_grain", F.when(whole, _MONTH).otherwise(_DAY))
-    last_day = (F.col("_grain") == _DAY) & (F.col("_date") == end)
-    return (
-        buckets.join(activity, ["MerchantID", "_month", "_grain"])
-        .filter((F.col("_grain") == _MONTH) | F.col("_date").between(start, end))
-        .select(
-            "RequestID",
-            F.when(last_day, F.col("_gross_at_start")).otherwise(F.col("_gross")).alias("_gross"),
-            F.when(last_day, F.col("_commission_at_start")).otherwise(F.col("_commission")).alias("_commission"),
-        )
+    start, end, date = F.col("PeriodStart"), F.col("PeriodEnd"), F.col("_date")
+    whole_month = (F.col("_month") >= start) & (F.last_day("_month") < end)
+    buckets = _months(requests).withColumn("_whole", F.when(whole_month, 1).otherwise(0))
+    in_period = (F.col("_whole") == 1) | date.between(start, end)
+    matched = buckets.join(
+        activity,
+        (F.col("MerchantID") == F.col("_merchant"))
+        & (F.col("_month") == F.col("_of"))
+        & (F.col("_whole") == F.col("_is_month"))
+        & in_period,
+        "left",
+    )
+    last_day = (F.col("_whole") == 0) & (date == end)
+    return matched.groupBy(*_REQUEST).agg(
+        *[
+            F.sum(F.when(last_day, F.col(f"{name}_at_start")).otherwise(F.col(name))).alias(name)
+            for name in ("_gross", "_commission")
+        ]
     )
 
 
 def _by_row(paid: DataFrame, held: DataFrame, requests: DataFrame) -> DataFrame:
-    """For periods with a time of day. A busy merchant's rows are split by adaptive execution."""
+    """For periods with a time of day: an inner join, in which adaptive execution can split the rows of
+    a busy merchant. Spark does not see how far the periods unfold, so they must not be broadcast."""
     time = F.col("CreatedTimestamp")
     rows = paid.join(held, "WalletID").select(
         "MerchantID",
@@ -92,13 +91,19 @@ def _by_row(paid: DataFrame, held: DataFrame, requests: DataFrame) -> DataFrame:
         F.col("Amount").alias("_gross"),
         F.col("CommissionAmount").alias("_commission"),
     )
-    return _months(requests).join(rows, ["MerchantID", "_month"]).filter(
-        time.between(F.col("PeriodStart"), F.col("PeriodEnd"))
+    sums = (
+        _months(requests)
+        .hint("merge")
+        .join(rows, ["MerchantID", "_month"])
+        .filter(time.between(F.col("PeriodStart"), F.col("PeriodEnd")))
+        .groupBy("RequestID")
+        .agg(F.sum("_gross").alias("_gross"), F.sum("_commission").alias("_commission"))
     )
+    return requests.join(sums, "RequestID", "left")
 
 
 def _months(requests: DataFrame) -> DataFrame:
-    """One row per request and calendar month its period touches."""
+    """One row per request and calendar month its period touches; a null month for an empty period."""
     first, last = (F.trunc(F.to_date(c), "month") for c in ("PeriodStart", "PeriodEnd"))
     months = F.when(first <= last, F.sequence(first, F.greatest(first, last), F.make_interval(months=F.lit(1))))
-    return requests.withColumn("_month", F.explode(months))
+    return requests.withColumn("_month", F.explode_outer(months))

@@ -28,6 +28,7 @@ def local_session(cores: int | str = "*", name: str = "reckon", memory: str = "8
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", "8")
         .getOrCreate()
