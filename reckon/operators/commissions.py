@@ -20,9 +20,14 @@ from reckon.operators.shared import owners, recent, with_rules
 
 
 def _recent_with_rules(
-    ledger: DataFrame, wallets: DataFrame, merchants: DataFrame, commissions: DataFrame, n: int
+    ledger: DataFrame,
+    wallets: DataFrame,
+    merchants: DataFrame,
+    commissions: DataFrame,
+    n: int,
+    products: DataFrame | None = None,
 ) -> DataFrame:
-    return with_rules(recent(ledger, wallets, merchants, n), commissions)
+    return with_rules(recent(ledger, wallets, merchants, n, products=products), commissions)
 
 
 def commission_mismatches_recent(
@@ -107,10 +112,9 @@ def mismatches_by_provider(
     commissions: DataFrame,
     n: int = 1000,
 ) -> DataFrame:
-    """The limit counts ledger rows with a known product, so products are joined before it."""
-    known = ledger.join(products.select("ProductID"), "ProductID", "left_semi")
+    """Only rows with a known product count towards the limit."""
     return (
-        _recent_with_rules(known, wallets, merchants, commissions, n)
+        _recent_with_rules(ledger, wallets, merchants, commissions, n, products)
         .join(products.select("ProductID", "ProviderID"), "ProductID")
         .join(providers.select("ProviderID", "ProviderName"), "ProviderID")
         .groupBy("ProviderName")
@@ -127,9 +131,9 @@ def expected_vs_actual(
     commissions: DataFrame,
     n: int = 200,
 ) -> DataFrame:
-    known = ledger.join(products.select("ProductID"), "ProductID", "left_semi")
+    """Only rows with a known product count towards the limit."""
     return (
-        _recent_with_rules(known, wallets, merchants, commissions, n)
+        _recent_with_rules(ledger, wallets, merchants, commissions, n, products)
         .filter(is_mismatch())
         .join(products.select("ProductID", "Description"), "ProductID")
         .select(

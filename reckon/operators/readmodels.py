@@ -19,7 +19,7 @@ _WALLET = ["WalletID", "Balance", "CurrencyCode"]
 
 
 def pick(df: DataFrame, key: str, keys: DataFrame | None) -> DataFrame:
-    return df if keys is None else df.join(keys.select(key), key, "left_semi")
+    return df if keys is None else df.join(keys.select(key).distinct(), key, "left_semi")
 
 
 def _wallet_of(wallets: DataFrame, *columns: str) -> DataFrame:

@@ -1,4 +1,7 @@
-"""Ghost transactions: ledger rows that never produced a voucher."""
+"""Ghost transactions: ledger rows that never produced a voucher.
+
+``vouchers`` may be None when ``ledger`` holds ghosts only, as stored from ``shared.ghosts``.
+"""
 
 from __future__ import annotations
 
@@ -8,16 +11,16 @@ from pyspark.sql import functions as F
 from reckon.operators.shared import by_dimension, completed_ghosts, ghosts
 
 
-def ghost_count(ledger: DataFrame, vouchers: DataFrame) -> DataFrame:
+def ghost_count(ledger: DataFrame, vouchers: DataFrame | None) -> DataFrame:
     return completed_ghosts(ledger, vouchers).agg(F.count("*").alias("GhostTransactionCount"))
 
 
-def ghost_total_impact(ledger: DataFrame, vouchers: DataFrame) -> DataFrame:
+def ghost_total_impact(ledger: DataFrame, vouchers: DataFrame | None) -> DataFrame:
     """Null when there are no ghosts."""
     return completed_ghosts(ledger, vouchers).agg(F.sum("Amount").alias("TotalGhostAmount"))
 
 
-def ghost_by_wallet(ledger: DataFrame, vouchers: DataFrame) -> DataFrame:
+def ghost_by_wallet(ledger: DataFrame, vouchers: DataFrame | None) -> DataFrame:
     return (
         completed_ghosts(ledger, vouchers)
         .groupBy("WalletID")
@@ -30,14 +33,14 @@ def _count_and_sum(total: str) -> dict:
     return {"GhostCount": F.lit(1), total: F.col("Amount")}
 
 
-def ghost_by_user(ledger: DataFrame, vouchers: DataFrame, wallets: DataFrame, users: DataFrame) -> DataFrame:
+def ghost_by_user(ledger: DataFrame, vouchers: DataFrame | None, wallets: DataFrame, users: DataFrame) -> DataFrame:
     held = wallets.select("WalletID", "UserID").join(users.select("UserID", "FullName"), "UserID")
     return by_dimension(
         completed_ghosts(ledger, vouchers), "WalletID", _count_and_sum("TotalLost"), held, ["UserID", "FullName"]
     ).orderBy(F.col("TotalLost").desc(), "UserID")
 
 
-def ghost_by_product(ledger: DataFrame, vouchers: DataFrame, products: DataFrame) -> DataFrame:
+def ghost_by_product(ledger: DataFrame, vouchers: DataFrame | None, products: DataFrame) -> DataFrame:
     """By product description, which several products may share."""
     return by_dimension(
         completed_ghosts(ledger, vouchers),
@@ -49,7 +52,7 @@ def ghost_by_product(ledger: DataFrame, vouchers: DataFrame, products: DataFrame
 
 
 def ghost_by_provider(
-    ledger: DataFrame, vouchers: DataFrame, products: DataFrame, providers: DataFrame
+    ledger: DataFrame, vouchers: DataFrame | None, products: DataFrame, providers: DataFrame
 ) -> DataFrame:
     sold = products.select("ProductID", "ProviderID").join(providers.select("ProviderID", "ProviderName"), "ProviderID")
     return by_dimension(
@@ -57,11 +60,11 @@ def ghost_by_provider(
     )
 
 
-def ghost_by_status(ledger: DataFrame, vouchers: DataFrame) -> DataFrame:
+def ghost_by_status(ledger: DataFrame, vouchers: DataFrame | None) -> DataFrame:
     return ghosts(ledger, vouchers).groupBy("ProcessingStatus").agg(F.count("*").alias("GhostCount"))
 
 
-def ghost_daily(ledger: DataFrame, vouchers: DataFrame) -> DataFrame:
+def ghost_daily(ledger: DataFrame, vouchers: DataFrame | None) -> DataFrame:
     return (
         completed_ghosts(ledger, vouchers)
         .groupBy(F.to_date("CreatedTimestamp").alias("TransactionDate"))
@@ -70,7 +73,7 @@ def ghost_daily(ledger: DataFrame, vouchers: DataFrame) -> DataFrame:
     )
 
 
-def ghost_commission_impact(ledger: DataFrame, vouchers: DataFrame) -> DataFrame:
+def ghost_commission_impact(ledger: DataFrame, vouchers: DataFrame | None) -> DataFrame:
     return completed_ghosts(ledger, vouchers).select(
         "EntryID",
         "Amount",
@@ -79,7 +82,7 @@ def ghost_commission_impact(ledger: DataFrame, vouchers: DataFrame) -> DataFrame
     )
 
 
-def ghost_duplicate_refs(ledger: DataFrame, vouchers: DataFrame) -> DataFrame:
+def ghost_duplicate_refs(ledger: DataFrame, vouchers: DataFrame | None) -> DataFrame:
     return (
         completed_ghosts(ledger, vouchers)
         .groupBy("ExternalReference")
@@ -88,14 +91,14 @@ def ghost_duplicate_refs(ledger: DataFrame, vouchers: DataFrame) -> DataFrame:
     )
 
 
-def ghost_low_balance(ledger: DataFrame, vouchers: DataFrame, wallets: DataFrame, below: int = 10) -> DataFrame:
+def ghost_low_balance(ledger: DataFrame, vouchers: DataFrame | None, wallets: DataFrame, below: int = 10) -> DataFrame:
     low = wallets.filter(F.col("Balance") < below).select("WalletID", "Balance")
     return by_dimension(
         completed_ghosts(ledger, vouchers), "WalletID", {"GhostCount": F.lit(1)}, low, ["WalletID", "Balance"]
     )
 
 
-def ghost_negative_balance(ledger: DataFrame, vouchers: DataFrame, wallets: DataFrame) -> DataFrame:
+def ghost_negative_balance(ledger: DataFrame, vouchers: DataFrame | None, wallets: DataFrame) -> DataFrame:
     negative = wallets.filter(F.col("Balance") < 0).select("WalletID", "Balance")
     return (
         completed_ghosts(ledger, vouchers)
@@ -104,7 +107,7 @@ def ghost_negative_balance(ledger: DataFrame, vouchers: DataFrame, wallets: Data
     )
 
 
-def _first_ghosts(ledger: DataFrame, vouchers: DataFrame, n: int, newest: bool) -> DataFrame:
+def _first_ghosts(ledger: DataFrame, vouchers: DataFrame | None, n: int, newest: bool) -> DataFrame:
     time = F.col("CreatedTimestamp")
     return (
         completed_ghosts(ledger, vouchers)
@@ -114,9 +117,9 @@ def _first_ghosts(ledger: DataFrame, vouchers: DataFrame, n: int, newest: bool)
     )
 
 
-def ghost_most_recent(ledger: DataFrame, vouchers: DataFrame, n: int = 10) -> DataFrame:
+def ghost_most_recent(ledger: DataFrame, vouchers: DataFrame | None, n: int = 10) -> DataFrame:
     return _first_ghosts(ledger, vouchers, n, newest=True)
 
 
-def ghost_oldest(ledger: DataFrame, vouchers: DataFrame, n: int = 10) -> DataFrame:
+def ghost_oldest(ledger: DataFrame, vouchers: DataFrame | None, n: int = 10) -> DataFrame:
     return _first_ghosts(ledger, vouchers, n, newest=False)

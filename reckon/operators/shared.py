@@ -8,21 +8,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reckon import schemas as s
+from reckon.functions.ordered import frozen
 
 
 def completed(ledger: DataFrame) -> DataFrame:
     return ledger.filter(F.col("ProcessingStatus") == s.COMPLETED)
 
 
-def ghosts(ledger: DataFrame, vouchers: DataFrame) -> DataFrame:
+def ghosts(ledger: DataFrame, vouchers: DataFrame | None) -> DataFrame:
     """Ledger rows without a voucher, whatever their status.
 
     Copies of an EntryID are dropped before the shuffle; the anti join could not split them later.
+    Without ``vouchers`` the rows are taken to be ghosts already: a suite of ghost reports can store
+    them once instead of joining for each report.
     """
+    if vouchers is None:
+        return ledger
     return ledger.join(vouchers.select("EntryID").distinct(), "EntryID", "left_anti")
 
 
-def completed_ghosts(ledger: DataFrame, vouchers: DataFrame) -> DataFrame:
+def completed_ghosts(ledger: DataFrame, vouchers: DataFrame | None) -> DataFrame:
     """Wallets were debited but no voucher came out. The status filter runs before the shuffle."""
     return ghosts(completed(ledger), vouchers)
 
@@ -38,19 +43,54 @@ def owners(wallets: DataFrame, merchants: DataFrame, users: DataFrame | None = N
     )
 
 
+_ROW = ["EntryID", "WalletID", "ProductID", "Amount", "CommissionAmount", "CreatedTimestamp"]
+
+
+def _newest_first() -> list[Column]:
+    return [F.col("CreatedTimestamp").desc(), F.col("EntryID")]
+
+
 def recent(
-    ledger: DataFrame, wallets: DataFrame, merchants: DataFrame, n: int, users: DataFrame | None = None
+    ledger: DataFrame,
+    wallets: DataFrame,
+    merchants: DataFrame,
+    n: int,
+    users: DataFrame | None = None,
+    products: DataFrame | None = None,
 ) -> DataFrame:
     """The newest ``n`` rows of ledger x ``owners``; ties by EntryID, then MerchantID.
 
-    Each ledger row with a wallet yields at least one joined row, so the newest n of those rows are
-    enough: the first limit runs before the owner columns are fetched, the second settles users
-    with several profiles.
+    With ``users`` or ``products`` only rows that have them count. Each ledger row that counts yields
+    at least one joined row, so the newest n of those rows are enough to join the owner columns to; a
+    second limit settles users with several profiles.
     """
-    order = [F.col("CreatedTimestamp").desc(), F.col("EntryID")]
     held = wallets if users is None else wallets.join(users.select("UserID"), "UserID", "left_semi")
-    newest = ledger.join(held.select("WalletID"), "WalletID", "left_semi").orderBy(*order).limit(n)
-    return newest.join(owners(wallets, merchants, users), "WalletID").orderBy(*order, "MerchantID").limit(n)
+    known = {"WalletID": held.select("WalletID")}
+    if products is not None:
+        known["ProductID"] = products.select("ProductID")
+    newest = _newest(ledger.select(*_ROW), known, n)
+    return newest.join(owners(wallets, merchants, users), "WalletID").orderBy(*_newest_first(), "MerchantID").limit(n)
+
+
+def _newest(ledger: DataFrame, known: dict[str, DataFrame], n: int) -> DataFrame:
+    """The newest ``n`` ledger rows whose ids are all in ``known``.
+
+    Few rows lack a wallet or product. So a few more than n of the newest rows are taken, which needs no
+    shuffle, and looked up; only when too many of them drop out are more taken, and finally the whole
+    ledger is joined.
+    """
+
+    def counting(rows: DataFrame) -> DataFrame:
+        for key, table in known.items():
+            rows = rows.join(table, key, "left_semi")
+        return rows.orderBy(*_newest_first()).limit(n)
+
+    for more in (2, 50):
+        newest = frozen(ledger.orderBy(*_newest_first()).limit(more * n))
+        found = counting(newest)
+        if found.count() == n or newest.count() < more * n:
+            return found
+    return counting(ledger)
 
 
 def with_rules(rows: DataFrame, commissions: DataFrame) -> DataFrame:

@@ -66,7 +66,8 @@ def change_commission_rules(
     changed = commissions.join(_latest_changes(requests), "CommissionID", "left").withColumns(
         {c: F.coalesce(f"_{c}", c) for c in _FIELDS}
     )
-    kept = changed.join(requests.filter(_of("delete")).select("CommissionID"), "CommissionID", "left_anti")
+    deleted = requests.filter(_of("delete")).select("CommissionID").distinct()
+    kept = changed.join(deleted, "CommissionID", "left_anti")
     created = rule_request_outcomes(commissions, products, requests).filter(F.col("Outcome") == "created")
     new = numbered(created.drop("CommissionID"), commissions, "CommissionID").withColumns(
         {"EffectiveDate": F.lit(effective), "IsActive": F.lit(True)}

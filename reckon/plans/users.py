@@ -24,7 +24,7 @@ def registration_outcomes(users: DataFrame, requests: DataFrame) -> DataFrame:
         ),
     )
     winners = first_of_each(checked.filter(F.col("_reason").isNull()), "MSISDN").join(
-        users.select("MSISDN"), "MSISDN", "left_anti"
+        users.select("MSISDN").distinct(), "MSISDN", "left_anti"
     )
     won = winners.select("RequestID", F.lit(True).alias("_won"))
     accepted = F.col("_won").isNotNull()

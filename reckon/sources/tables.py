@@ -8,7 +8,7 @@ between them run without a shuffle.
 from __future__ import annotations
 
 import datetime
-from types import SimpleNamespace
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +29,17 @@ NAMES = {
     "settlements": "Settlements",
     "audit": "AuditLog",
 }
+REQUESTS = {
+    "topup_requests": "TopupRequests",
+    "voucher_requests": "VoucherRequests",
+    "status_requests": "StatusRequests",
+    "registration_requests": "RegistrationRequests",
+    "merchant_requests": "MerchantRequests",
+    "product_requests": "ProductRequests",
+    "rule_requests": "RuleRequests",
+    "sale_requests": "SaleRequests",
+    "settlement_requests": "SettlementRequests",
+}
 MONTH = "LedgerMonth"
 
 
@@ -42,24 +53,37 @@ def conform(df: DataFrame, attribute: str, entry_type: T.DataType | None = None)
 
 
 def write_table(df: DataFrame, folder: str, attribute: str, mode: str = "overwrite") -> None:
-    """Write one canonical table; ``append`` adds new ledger or audit rows."""
-    target = f"{folder}/{NAMES[attribute]}"
+    """Write one table; ``append`` adds new ledger or audit rows."""
+    target = f"{folder}/{(NAMES | REQUESTS)[attribute]}"
     if attribute == "ledger":
         month = F.trunc(F.to_date("CreatedTimestamp"), "month")
-        df.withColumn(MONTH, month).write.mode(mode).partitionBy(MONTH).parquet(target)
+        # Rebalancing gathers a month's rows into few files and still splits a month too large for one task.
+        by_month = df.withColumn(MONTH, month).hint("rebalance", F.col(MONTH))
+        by_month.write.mode(mode).partitionBy(MONTH).parquet(target)
     else:
         df.write.mode(mode).parquet(target)
 
 
 def read_table(spark: SparkSession, folder: str, attribute: str) -> DataFrame:
-    schema = SCHEMAS[NAMES[attribute]]
+    if attribute in REQUESTS:
+        return spark.read.parquet(f"{folder}/{REQUESTS[attribute]}")
     if attribute == "ledger":
         return ledger_between(spark, folder)
-    return spark.read.schema(schema).parquet(f"{folder}/{NAMES[attribute]}")
+    return spark.read.schema(SCHEMAS[NAMES[attribute]]).parquet(f"{folder}/{NAMES[attribute]}")
+
+
+class StoredTables:
+    """Canonical and request tables of a folder as lazy attributes, as the query catalogue expects them."""
 
+    def __init__(self, spark: SparkSession, folder: str, as_of: datetime.date):
+        self.as_of = as_of
+        self._read = cache(lambda attribute: read_table(spark, folder, attribute))
 
-def read_tables(spark: SparkSession, folder: str) -> SimpleNamespace:
-    return SimpleNamespace(**{attribute: read_table(spark, folder, attribute) for attribute in NAMES})
+    def __getattr__(self, attribute: str) -> DataFrame:
+        attribute = "ledger" if attribute == "ledger_amounts" else attribute
+        if attribute not in NAMES and attribute not in REQUESTS:
+            raise AttributeError(attribute)
+        return self._read(attribute)
 
 
 def ledger_between(
@@ -68,11 +92,13 @@ def ledger_between(
     """The ledger from ``first`` to ``last``, both inclusive; other months are not read."""
     schema = T.StructType([*SCHEMAS["TransactionLedger"].fields, T.StructField(MONTH, T.DateType())])
     ledger = spark.read.schema(schema).parquet(f"{folder}/{NAMES['ledger']}")
-    day = F.to_date("CreatedTimestamp")
+    time = F.col("CreatedTimestamp")
     if first is not None:
-        ledger = ledger.filter((F.col(MONTH) >= F.trunc(F.lit(first), "month")) & (day >= F.lit(first)))
+        since = F.lit(first).cast("timestamp_ntz")
+        ledger = ledger.filter((F.col(MONTH) >= F.lit(first.replace(day=1))) & (time >= since))
     if last is not None:
-        ledger = ledger.filter((F.col(MONTH) <= F.lit(last)) & (day <= F.lit(last)))
+        until = F.lit(last + datetime.timedelta(days=1)).cast("timestamp_ntz")
+        ledger = ledger.filter((F.col(MONTH) <= F.lit(last)) & (time < until))
     return ledger.drop(MONTH)
 
 

@@ -66,6 +66,8 @@ class TestData:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
+    as_of = AS_OF
+
     def file(self, name: str) -> DataFrame:
         return self.spark.read.schema(_FILES[name]).parquet(f"{self.folder}/{name}.parquet")
 

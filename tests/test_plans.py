@@ -69,10 +69,12 @@ def test_totals_are_taken_before_the_join(spark, stored, settings):
     assert "partial_sum(Amount" in below_join
 
 
-def test_recent_limits_before_the_owner_join(spark, stored):
+def test_recent_does_not_shuffle_the_ledger(spark, stored, settings):
+    settings(spark__sql__autoBroadcastJoinThreshold="-1")
     ledger, _, wallets, merchants, *_ = read(spark, stored)
     text = plan(recent(ledger, wallets, merchants, 10), "simple")
-    assert text.count("TakeOrderedAndProject") == 2
+    assert "Scan ExistingRDD" in text  # the candidates, taken by a limit without shuffle
+    assert "CreatedTimestamp" not in "".join(line for line in text.splitlines() if "FileScan" in line)
 
 
 def test_bucketed_tables_join_without_shuffle(spark, seed, settings, tmp_path):
@@ -117,14 +119,40 @@ def test_hot_wallet_join_is_split(spark, settings, tmp_path):
     assert "SortMergeJoin(skew=true)" in plan(report, "simple")
 
 
-def test_owners_repeat_for_several_profiles(spark):
+@pytest.fixture(scope="module")
+def tiny(spark):
     ledger = spark.createDataFrame(
-        [(i, 1 + i % 2, datetime.datetime(2025, 1, 1 + i)) for i in range(6)], "EntryID INT, WalletID INT, CreatedTimestamp TIMESTAMP_NTZ"
-    )
+        [(i, 1 + i % 2, 1 + i % 3, datetime.datetime(2025, 1, 1 + i)) for i in range(6)],
+        "EntryID INT, WalletID INT, ProductID INT, CreatedTimestamp TIMESTAMP_NTZ",
+    ).withColumns({"Amount": F.lit(1), "CommissionAmount": F.lit(1)})
     wallets = spark.createDataFrame([(1, 1), (2, 2)], "WalletID INT, UserID INT")
     merchants = spark.createDataFrame(
-        [(5, 1, "x", "Premium"), (6, 1, "y", "Standard")], "MerchantID INT, UserID INT, BusinessName STRING, MerchantTier STRING"
+        [(5, 1, "x", "Premium"), (6, 1, "y", "Standard")],
+        "MerchantID INT, UserID INT, BusinessName STRING, MerchantTier STRING",
     )
+    return ledger, wallets, merchants
+
+
+def newest(df):
+    return [(r["EntryID"], r["MerchantID"]) for r in df.collect()]
+
+
+def test_owners_repeat_for_several_profiles(tiny):
+    ledger, wallets, merchants = tiny
     assert owners(wallets, merchants).count() == 3
-    found = [(r["EntryID"], r["MerchantID"]) for r in recent(ledger, wallets, merchants, 4).collect()]
-    assert found == [(5, None), (4, 5), (4, 6), (3, None)]
+    assert newest(recent(ledger, wallets, merchants, 4)) == [(5, None), (4, 5), (4, 6), (3, None)]
+
+
+def test_recent_looks_further_back_for_rows_that_count(spark, tiny):
+    ledger, wallets, merchants = tiny
+    only_first = wallets.filter("WalletID = 1")
+    assert newest(recent(ledger, only_first, merchants, 1)) == [(4, 5)]
+    products = spark.createDataFrame([(1,)], "ProductID INT")
+    assert newest(recent(ledger, wallets, merchants, 1, products=products)) == [(3, None)]
+    assert newest(recent(ledger, wallets.filter("WalletID > 5"), merchants, 1)) == []
+    orphans = spark.range(6, 400).select(
+        F.col("id").cast("int").alias("EntryID"), F.lit(99).alias("WalletID"), F.lit(1).alias("ProductID"),
+        F.lit(datetime.datetime(2026, 1, 1)).cast("timestamp_ntz").alias("CreatedTimestamp"),
+        F.lit(1).alias("Amount"), F.lit(1).alias("CommissionAmount"),
+    )
+    assert newest(recent(ledger.unionByName(orphans), wallets, merchants, 1)) == [(5, None)]

@@ -67,6 +67,14 @@ def test_ghost_reports_agree(seed):
         assert one(report.agg(F.sum("GhostCount"))) == (total,)
 
 
+def test_reports_over_stored_ghosts(seed):
+    from reckon.operators.shared import ghosts
+
+    stored = ghosts(seed.ledger, seed.vouchers)
+    assert one(rec.ghost_count(stored, None)) == (393,)
+    assert by(rec.ghost_by_status(stored, None), "ProcessingStatus", "GhostCount")["Pending"] == 61
+
+
 def test_commissions(seed):
     tables = (seed.ledger, seed.wallets, seed.merchants, seed.commissions)
     assert one(com.commission_accuracy(*tables)) == (1062, 730, Decimal("68.74"))
