@@ -202,7 +202,9 @@ def _in_rounds(lines: DataFrame, funds: DataFrame, hot_rows: int) -> list[DataFr
     columns = lines.columns
     undecided, funds, accepted = lines, frozen(funds), []
     while True:
-        payable = undecided.join(funds, "WalletID").filter(F.col("Amount") <= F.col("_left"))
+        # Every wallet has funds here. A left join keeps Spark from broadcasting the unfolded lines, whose
+        # number it underestimates.
+        payable = undecided.join(funds, "WalletID", "left").filter(F.col("Amount") <= F.col("_left"))
         summed = frozen(running_sum(payable, ["WalletID"], order, "Amount", "_sum", hot_rows))
         if summed.isEmpty():
             return accepted

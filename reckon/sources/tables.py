@@ -86,6 +86,12 @@ class StoredTables:
         return self._read(attribute)
 
 
+def register_views(tables) -> None:
+    """Temporary views under the canonical names, for ad-hoc SQL over any table set."""
+    for attribute, name in NAMES.items():
+        getattr(tables, attribute).createOrReplaceTempView(name)
+
+
 def ledger_between(
     spark: SparkSession, folder: str, first: datetime.date | None = None, last: datetime.date | None = None
 ) -> DataFrame:

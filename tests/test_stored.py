@@ -51,6 +51,13 @@ def test_run_writes_the_result(spark, data, folder, tmp_path):
         assert spark.read.format(form).load(out).count() == QUERIES["monthly_revenue"](data).count()
 
 
+def test_sql_over_views(spark, data, folder):
+    tables.register_views(tables.StoredTables(spark, folder, data.as_of))
+    found = spark.sql("SELECT ProcessingStatus, count(*) AS n FROM TransactionLedger GROUP BY ProcessingStatus")
+    expected = QUERIES["status_totals"](data).select("ProcessingStatus", "TotalTransactions")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
+
+
 def test_unknown_table(spark, data, folder):
     with pytest.raises(AttributeError):
         tables.StoredTables(spark, folder, data.as_of).nothing
