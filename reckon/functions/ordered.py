@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 HOT_ROWS = 5_000_000
 
+_SAMPLED_ROWS = 200  # rows of a key with exactly hot_rows rows that a sample is expected to hold
 _ROW_BITS = 33  # monotonically_increasing_id() keeps the row position in the low 33 bits
 
 
@@ -33,12 +34,17 @@ def frozen(df: DataFrame) -> DataFrame:
 
 
 def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
-    """(rows of ordinary keys, rows of hot keys or None). Keys must not be null."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    hot_keys = frozen(counts.filter(F.col("_rows") > hot_rows).select(*keys))
+    """(rows of ordinary keys, rows of hot keys or None). Keys must not be null.
+
+    Hot keys are found in a sample, which spares a shuffle of all keys. The sample only decides which
+    way a key's rows take: every row goes one of two ways, and both give the same result.
+    """
+    share = min(1.0, _SAMPLED_ROWS / max(hot_rows, 1))
+    counts = df.select(*keys).sample(fraction=share, seed=1).groupBy(*keys).agg(F.count("*").alias("_rows"))
+    hot_keys = frozen(counts.filter(F.col("_rows") > hot_rows * share).select(*keys))
     if hot_keys.isEmpty():
         return df, None
-    # At most total rows / hot_rows keys: a few MB at 10^12 rows.
+    # About total rows / hot_rows keys at most: a few MB at 10^12 rows.
     hot_keys = F.broadcast(hot_keys)
     return df.join(hot_keys, list(keys), "left_anti"), df.join(hot_keys, list(keys), "left_semi")
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from reckon.functions.lists import duplicate_groups
-from reckon.functions.ordered import global_row_number, running_sum, with_previous
+from reckon.functions.ordered import global_row_number, running_sum, split_hot, with_previous
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +27,7 @@ def same(left, right):
     return sorted(map(tuple, left.collect()), key=str) == sorted(map(tuple, right.select(*left.columns).collect()), key=str)
 
 
-@pytest.mark.parametrize("hot_rows", [100, 10**9, 0])
+@pytest.mark.parametrize("hot_rows", [100, 1000, 10**9, 0])
 def test_running_sum(rows, many_ranges, hot_rows):
     order = [F.col("t").desc(), F.col("id").desc()]
     plain = Window.partitionBy("k").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -35,7 +35,7 @@ def test_running_sum(rows, many_ranges, hot_rows):
     assert same(expected, running_sum(rows, ["k"], order, "v", "s", hot_rows))
 
 
-@pytest.mark.parametrize("hot_rows", [100, 10**9, 0])
+@pytest.mark.parametrize("hot_rows", [100, 1000, 10**9, 0])
 def test_with_previous(rows, many_ranges, hot_rows):
     plain = Window.partitionBy("k").orderBy("t", "id")
     expected = rows.withColumns({"pid": F.lag("id").over(plain), "pt": F.lag("t").over(plain)})
@@ -43,6 +43,13 @@ def test_with_previous(rows, many_ranges, hot_rows):
     assert same(expected, found)
 
 
+def test_hot_keys_are_found_in_the_sample(rows):
+    ordinary, hot = split_hot(rows, ["k"], 1000)
+    assert [r["k"] for r in hot.select("k").distinct().collect()] == [0]
+    assert ordinary.count() + hot.count() == 6000 and hot.count() == 2000
+    assert split_hot(rows, ["k"], 5000)[1] is None
+
+
 def test_hot_key_is_split_over_ranges(rows, many_ranges):
     from reckon.functions.ordered import _in_ranges
 
