@@ -19,7 +19,15 @@ _WALLET = ["WalletID", "Balance", "CurrencyCode"]
 
 
 def pick(df: DataFrame, key: str, keys: DataFrame | None) -> DataFrame:
-    return df if keys is None else df.join(keys.select(key).distinct(), key, "left_semi")
+    """The rows whose ``key`` occurs in ``keys``, which may repeat it.
+
+    The keys are made distinct as a struct, so the join shuffles them once more: adaptive execution
+    can split a hot key of ``df`` only when both sides of the join come straight from a shuffle.
+    """
+    if keys is None:
+        return df
+    distinct = keys.select(F.struct(key).alias("_key")).distinct().select(f"_key.{key}")
+    return df.join(distinct, key, "left_semi")
 
 
 def _wallet_of(wallets: DataFrame, *columns: str) -> DataFrame:

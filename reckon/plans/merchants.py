@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reckon import schemas as s
@@ -59,29 +59,23 @@ def status_rejections(merchants: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
-def _checked(merchants: DataFrame, users: DataFrame, requests: DataFrame) -> DataFrame:
-    """Requests with the user's role and the reason they fail before duplicates are looked at."""
-    role: Column = F.col("Role")
-    return (
-        requests.join(users.select("UserID", "Role"), "UserID", "left")
-        .transform(known, "UserID", merchants, "_registered")
-        .withColumn(
-            "_reason",
-            first_reason(
-                (given("BusinessName") & given("RegistrationNumber"), "name and number required"),
-                (F.col("RegistrationNumber").rlike(REGISTRATION_PATTERN), "malformed registration number"),
-                (role.isin("Merchant", "Admin"), "role not allowed"),
-                (~F.col("_registered"), "profile exists"),
-            ),
-        )
-        .drop("_registered")
-    )
-
-
 def merchant_registration_outcomes(merchants: DataFrame, users: DataFrame, requests: DataFrame) -> DataFrame:
-    """Every request with Accepted and Reason. The first valid request of a user wins."""
-    checked = _checked(merchants, users, requests)
-    winners = first_of_each(checked.filter(F.col("_reason").isNull()), "UserID")
+    """Every request with Accepted and Reason.
+
+    The first valid request of a user wins unless the user has a profile. Whether there is one is asked
+    once per user, not once per request.
+    """
+    checked = requests.join(users.select("UserID", "Role"), "UserID", "left").withColumn(
+        "_reason",
+        first_reason(
+            (given("BusinessName") & given("RegistrationNumber"), "name and number required"),
+            (F.col("RegistrationNumber").rlike(REGISTRATION_PATTERN), "malformed registration number"),
+            (F.col("Role").isin("Merchant", "Admin"), "role not allowed"),
+        ),
+    )
+    winners = first_of_each(checked.filter(F.col("_reason").isNull()), "UserID").join(
+        merchants.select("UserID").distinct(), "UserID", "left_anti"
+    )
     won = winners.select("RequestID", F.lit(True).alias("_won"))
     accepted = F.col("_won").isNotNull()
     return checked.join(won, "RequestID", "left").select(

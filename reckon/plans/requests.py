@@ -32,8 +32,8 @@ def first_reason(*rules: tuple[Column, str]) -> Column:
 
 
 def known(df: DataFrame, key: str, table: DataFrame, name: str) -> DataFrame:
-    """Add flag ``name``: whether the row's ``key`` exists in ``table``."""
-    ids = table.select(F.col(key), F.lit(True).alias(name)).distinct()
+    """Add flag ``name``: whether the row's ``key`` exists in ``table``, where it is unique."""
+    ids = table.select(F.col(key), F.lit(True).alias(name))
     return df.join(ids, key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 

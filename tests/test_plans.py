@@ -10,7 +10,9 @@ import __spark_entry__ as entry
 from reckon.operators import commissions as com
 from reckon.operators import reconciliation as rec
 from reckon.operators import reports
+from reckon.operators.readmodels import pick
 from reckon.operators.shared import ghosts, owners, recent
+from reckon.plans.wallets import topup_outcomes
 from reckon.sources import tables
 
 SMALL = "/root/testdata/sf0.001"
@@ -87,8 +89,9 @@ def test_bucketed_tables_join_without_shuffle(spark, seed, settings, tmp_path):
     spark.sql("DROP DATABASE bucketed CASCADE")
 
 
-def test_hot_wallet_join_is_split(spark, settings, tmp_path):
-    """A wallet with a third of the ledger is spread over several tasks by adaptive execution."""
+@pytest.fixture
+def small_partitions(settings):
+    """Make a few thousand rows look skewed, and keep Spark from broadcasting them."""
     settings(
         spark__sql__autoBroadcastJoinThreshold="-1",
         spark__sql__adaptive__autoBroadcastJoinThreshold="-1",
@@ -97,8 +100,13 @@ def test_hot_wallet_join_is_split(spark, settings, tmp_path):
         spark__sql__adaptive__advisoryPartitionSizeInBytes="20KB",
         spark__sql__shuffle__partitions="12",
     )
+
+
+@pytest.fixture
+def wide(spark):
+    """A ledger in which wallet 1 holds a third of the rows."""
     n = F.col("id")
-    wide = spark.range(0, 60_000, 1, 12).select(
+    return spark.range(0, 60_000, 1, 12).select(
         n.alias("EntryID"),
         F.when(n % 3 == 0, 1).otherwise(n % 500).alias("WalletID"),
         (n % 50).alias("ProductID"),
@@ -106,12 +114,19 @@ def test_hot_wallet_join_is_split(spark, settings, tmp_path):
         (n % 7).cast("decimal(18,4)").alias("CommissionAmount"),
         F.lit(datetime.datetime(2025, 1, 1)).cast("timestamp_ntz").alias("CreatedTimestamp"),
     )
+
+
+def test_hot_wallet_join_is_split(spark, small_partitions, wide):
+    """Adaptive execution spreads the hot wallet over several tasks."""
+    n = F.col("id")
     wallets = spark.range(500).select(n.alias("WalletID"), n.alias("UserID"))
     merchants = spark.range(0, 500, 2).select(
-        n.alias("MerchantID"), n.alias("UserID"), n.cast("string").alias("BusinessName"), F.lit("Premium").alias("MerchantTier")
+        n.alias("MerchantID"), n.alias("UserID"), n.cast("string").alias("BusinessName"),
+        F.lit("Premium").alias("MerchantTier"),
     )
     rules = spark.range(50).select(
-        n.alias("CommissionID"), n.alias("ProductID"), F.explode(F.array(F.lit("Premium"), F.lit("Standard"))).alias("MerchantTier"),
+        n.alias("CommissionID"), n.alias("ProductID"),
+        F.explode(F.array(F.lit("Premium"), F.lit("Standard"))).alias("MerchantTier"),
         F.lit(3).cast("decimal(5,2)").alias("CommissionPercentage"), F.lit(True).alias("IsActive"),
     )
     report = com.accuracy_by_month(wide, wallets, merchants, rules)
@@ -119,6 +134,21 @@ def test_hot_wallet_join_is_split(spark, settings, tmp_path):
     assert "SortMergeJoin(skew=true)" in plan(report, "simple")
 
 
+def test_hot_wallet_lookup_is_split(spark, small_partitions, wide):
+    keys = spark.range(0, 4000).select((F.col("id") % 400).alias("WalletID"))
+    found = pick(wide, "WalletID", keys)
+    assert len(found.collect()) == wide.filter("WalletID < 400").count()
+    assert "SortMergeJoin(skew=true)" in plan(found, "simple")
+
+
+def test_hot_wallet_in_requests_is_split(spark, small_partitions, wide):
+    requests = wide.select(F.col("EntryID").alias("RequestID"), "WalletID", "Amount")
+    outcomes = topup_outcomes(spark.range(400).select(F.col("id").alias("WalletID")), requests)
+    reasons = outcomes.collect()
+    assert sum(r["Reason"] == "wallet not found" for r in reasons) > 0 and len(reasons) == 60_000
+    assert "SortMergeJoin(skew=true)" in plan(outcomes, "simple")
+
+
 @pytest.fixture(scope="module")
 def tiny(spark):
     ledger = spark.createDataFrame(
