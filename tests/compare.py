@@ -45,3 +45,22 @@ def rows_of_sql(con, sql):
     order = sorted(range(len(names)), key=lambda i: names[i])
     rows = [tuple(_plain(row[i]) for i in order) for row in cursor.fetchall()]
     return [names[i] for i in order], sorted(rows, key=_key)
+
+
+TYPES = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "date": "DATE",
+    "timestamp_ntz": "TIMESTAMP",
+    "boolean": "BOOLEAN",
+}
+
+
+def types_of_spark(df):
+    return {field.name: TYPES[field.dataType.simpleString()] for field in df.schema.fields}
+
+
+def types_of_sql(con, sql):
+    return {row[0]: row[1] for row in con.execute(f"DESCRIBE {sql}").fetchall()}

@@ -1,7 +1,7 @@
 """Every registered query against its SQL."""
 
 import pytest
-from compare import database, rows_of_spark, rows_of_sql
+from compare import database, rows_of_spark, rows_of_sql, types_of_spark, types_of_sql
 from conftest import SMALL
 
 import __spark_entry__ as entry
@@ -21,7 +21,9 @@ def test_every_query_has_sql():
 
 @pytest.mark.parametrize("name", QUERIES)
 def test_query_equals_sql(spark, con, name):
-    columns, rows = rows_of_spark(QUERIES[name](spark, SMALL))
+    result = QUERIES[name](spark, SMALL)
+    assert types_of_spark(result) == types_of_sql(con, SQL[name])
+    columns, rows = rows_of_spark(result)
     expected_columns, expected = rows_of_sql(con, SQL[name])
     assert columns == expected_columns
     assert rows == expected
