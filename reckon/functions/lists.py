@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reckon.functions.ordered import frozen
+
 IDS_PER_ROW = 10_000
+BROADCAST_GROUPS = 100_000
 
 
 def duplicate_groups(
@@ -15,39 +18,49 @@ def duplicate_groups(
     keys: Sequence[str],
     id_column: str,
     count_name: str,
-    lists: dict[str, Column],
+    ids_name: str,
+    values: dict[str, Column] | None = None,
     extra: Sequence[Column] = (),
     ids_per_row: int = IDS_PER_ROW,
+    broadcast_groups: int = BROADCAST_GROUPS,
 ) -> DataFrame:
-    """Groups of more than one row, with ', '-joined member lists in the order of ``id_column``.
+    """Groups of more than one row, with ', '-joined lists of their ids and ``values`` in the order of the ids.
 
-    Counts and ``extra`` aggregates are taken over the whole group first. A group with more than
-    ``ids_per_row`` members is listed on several rows, each with the totals of the whole group: its
-    members are dealt out by a hash of the id, so nothing is left out and no task holds the whole list.
+    Counts and ``extra`` aggregates are taken over the whole group first, with its smallest and largest
+    id, which is all there is to list of a pair. Only for larger groups, or if values are listed, are the
+    rows read again and joined to the groups; up to ``broadcast_groups`` of them are broadcast. A group
+    with more than ``ids_per_row`` members is listed on several rows, each with the totals of the whole
+    group: its members are dealt out by a hash of the id, so nothing is left out and no task holds the
+    whole list.
     """
-    keys = list(keys)
-    groups = (
-        df.groupBy(*keys)
-        .agg(F.count("*").alias(count_name), *extra)
-        .filter(F.col(count_name) > 1)
-        .withColumn("_rows", F.ceil(F.col(count_name) / ids_per_row))
+    keys, values = list(keys), values or {}
+    totals = df.groupBy(*keys).agg(
+        F.count("*").alias(count_name), *extra, F.min(id_column).alias("_first"), F.max(id_column).alias("_last")
     )
-    totals = [c for c in groups.columns if c not in keys]
+    groups = frozen(totals.filter(F.col(count_name) > 1))
+    is_pair = F.lit(False) if values else F.col(count_name) == 2
+    pair = F.concat_ws(", ", F.col("_first").cast("string"), F.col("_last").cast("string"))
+    listed = groups.filter(is_pair).withColumn(ids_name, pair).drop("_first", "_last")
+    for name in values:
+        listed = listed.withColumn(name, F.lit(None).cast("string"))
+
+    larger = groups.filter(~is_pair).drop("_first", "_last")
+    size = larger.count()
+    if size == 0:
+        return listed
+    if size <= broadcast_groups:
+        larger = F.broadcast(larger)
     members = df.select(
-        *[F.col(k).alias(f"_{k}") for k in keys], F.struct(F.col(id_column), *_named(lists)).alias("_member")
-    )
-    same_group = [groups[k].eqNullSafe(members[f"_{k}"]) for k in keys]
-    dealt = members.join(groups, same_group).withColumn(
-        "_row", F.pmod(F.xxhash64(F.col("_member")[id_column]), F.col("_rows"))
+        *[F.col(k).alias(f"_{k}") for k in keys],
+        F.struct(F.col(id_column).alias("_id"), *[v.cast("string").alias(n) for n, v in values.items()]).alias("_m"),
     )
-    joined = {name: F.array_join(F.col("_members")[f"_{name}"], ", ") for name in lists}
-    return (
-        dealt.groupBy(*keys, *totals, "_row")
-        .agg(F.array_sort(F.collect_list("_member")).alias("_members"))
-        .withColumns(joined)
-        .drop("_rows", "_row", "_members")
+    same_group = [larger[k].eqNullSafe(members[f"_{k}"]) for k in keys]
+    part = F.pmod(F.xxhash64("_m._id"), F.ceil(F.col(count_name) / ids_per_row))
+    texts = {ids_name: F.col("_all._id").cast("array<string>"), **{n: F.col(f"_all.{n}") for n in values}}
+    dealt = (
+        members.join(larger, same_group)
+        .groupBy(*larger.columns, part.alias("_part"))
+        .agg(F.array_sort(F.collect_list("_m")).alias("_all"))
+        .withColumns({name: F.array_join(text, ", ") for name, text in texts.items()})
     )
-
-
-def _named(lists: dict[str, Column]) -> list[Column]:
-    return [column.cast("string").alias(f"_{name}") for name, column in lists.items()]
+    return listed.unionByName(dealt.drop("_part", "_all"))

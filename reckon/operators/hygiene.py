@@ -28,12 +28,12 @@ def duplicate_references(ledger: DataFrame, ids_per_row: int = IDS_PER_ROW) -> D
             ["ExternalReference"],
             "EntryID",
             "DuplicateCount",
-            {"AffectedEntryIDs": F.col("EntryID")},
-            [
+            "AffectedEntryIDs",
+            extra=[
                 F.min("CreatedTimestamp").alias("FirstOccurrence"),
                 F.max("CreatedTimestamp").alias("LastOccurrence"),
             ],
-            ids_per_row,
+            ids_per_row=ids_per_row,
         )
         .select("ExternalReference", "DuplicateCount", "AffectedEntryIDs", "FirstOccurrence", "LastOccurrence")
         .orderBy(F.col("DuplicateCount").desc(), "ExternalReference", "AffectedEntryIDs")
@@ -70,7 +70,8 @@ def duplicate_commission_rules(commissions: DataFrame, ids_per_row: int = IDS_PE
             ["ProductID", "MerchantTier"],
             "CommissionID",
             "RuleCount",
-            {"Percentages": plain_number(F.col("CommissionPercentage")), "CommissionIDs": F.col("CommissionID")},
+            "CommissionIDs",
+            {"Percentages": plain_number(F.col("CommissionPercentage"))},
             ids_per_row=ids_per_row,
         )
         .select("ProductID", "MerchantTier", "RuleCount", "Percentages", "CommissionIDs")

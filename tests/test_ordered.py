@@ -68,8 +68,11 @@ def test_global_row_number_of_nothing(rows):
     assert global_row_number(rows.filter("id < 0"), [F.col("id")], "n").count() == 0
 
 
-def test_long_lists_continue_on_further_rows(rows):
-    found = duplicate_groups(rows, ["k"], "id", "n", {"ids": F.col("id"), "vs": F.col("v")}, ids_per_row=50)
+@pytest.mark.parametrize("broadcast_groups", [0, 100_000])
+def test_long_lists_continue_on_further_rows(rows, broadcast_groups):
+    found = duplicate_groups(
+        rows, ["k"], "id", "n", "ids", {"vs": F.col("v")}, ids_per_row=50, broadcast_groups=broadcast_groups
+    )
     expected = {r["k"]: set(r["ids"]) for r in rows.groupBy("k").agg(F.collect_list("id").alias("ids")).collect()}
     values = {r["id"]: r["v"] for r in rows.collect()}
     listed = {}
@@ -83,7 +86,19 @@ def test_long_lists_continue_on_further_rows(rows):
     assert listed == {k: ids for k, ids in expected.items() if len(ids) > 1}
 
 
-def test_lists_of_null_keys(spark):
-    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "k STRING, id INT")
-    found = duplicate_groups(df, ["k"], "id", "n", {"ids": F.col("id")}).select("k", "n", "ids").collect()
-    assert [tuple(r) for r in found] == [(None, 2, "1, 2")]
+@pytest.mark.parametrize("ids, listed", [([2, 10], "2, 10"), ([2, 10, 9], "2, 9, 10"), ([2], None)])
+def test_lists_of_null_keys(spark, ids, listed):
+    df = spark.createDataFrame([(None, i) for i in ids] + [("a", 3)], "k STRING, id INT")
+    found = duplicate_groups(df, ["k"], "id", "n", "ids").select("k", "n", "ids").collect()
+    assert [tuple(r) for r in found] == ([(None, len(ids), listed)] if listed else [])
+
+
+def test_overdrawn_and_rapid_with_hot_keys(data):
+    import datetime
+
+    from reckon.operators.defects import overdrawn_transactions, rapid_duplicates
+
+    assert same(overdrawn_transactions(data.ledger_amounts, data.wallets),
+                overdrawn_transactions(data.ledger_amounts, data.wallets, hot_rows=5))
+    year = datetime.timedelta(days=2000)
+    assert same(rapid_duplicates(data.ledger_amounts, year), rapid_duplicates(data.ledger_amounts, year, hot_rows=1))
