@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from reckon.llm.bpe import op2_bpe
+from reckon.llm.classifier import op10_classifier
+from reckon.llm.quality_rules import op1_quality_rules
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_bpe": op2_bpe,
+    "op10_classifier": op10_classifier,
 }
 
 SQL: dict[str, str] = {}
