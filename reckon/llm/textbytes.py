@@ -120,7 +120,9 @@ def windows(values: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarr
     at = np.flatnonzero(owner[: n] == owner[width - 1 :])
     total = np.zeros(len(at), np.uint64)
     for k in range(width):
-        total = mix(total + values[at + k]) if k % 4 == 3 else total * _BASE + values[at + k]
+        total = total * _BASE + values[at + k]
+        if k % 4 == 3:
+            total = mix(total)
     return mix(total + np.uint64(width)), at
 
 
