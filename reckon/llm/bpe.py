@@ -25,6 +25,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from reckon.llm.shared import arrow
 from reckon.llm.textbytes import Chunk, chunks, column
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -315,7 +316,7 @@ def encode(
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return documents.select(*keep, documents[text].alias("_text")).mapInArrow(run, schema)
+    return arrow(documents.select(*keep, documents[text].alias("_text")), run, schema)
 
 
 def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -332,7 +333,7 @@ def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids", keep:
             ]
             yield pa.RecordBatch.from_arrays([*(column(batch, k) for k in keep), pa.array(texts, pa.string())], names=[*keep, "text"])
 
-    return encoded.select(*keep, encoded[ids].alias("_ids")).mapInArrow(run, f"{fields}, text string")
+    return arrow(encoded.select(*keep, encoded[ids].alias("_ids")), run, f"{fields}, text string")
 
 
 def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reckon.llm.shared import arrow
 from reckon.llm.textbytes import IS_SPACE, Chunk, chunks, column, covered, in_doc, mix, windows
 
 BUCKETS = 1 << 14
@@ -89,7 +90,8 @@ def fit(documents: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> np.
         used = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(raw[used]), pa.array(target[used])], names=["bucket", "raw", "target"])
 
-    rows = flagged.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()
+    counts = arrow(flagged, count, "bucket long, raw long, target long")
+    rows = counts.groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()
     raw, target = np.full(buckets, SMOOTHING), np.full(buckets, SMOOTHING)  # one row a bucket at most
     for bucket, in_raw, in_target in rows:
         raw[bucket] += in_raw
@@ -126,7 +128,7 @@ def score(documents: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD
     kind = documents.schema["doc_id"].dataType.simpleString()
     names = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
     schema = f"doc_id {kind}, {names}, base_failed boolean, score double, kept boolean"
-    return documents.select("doc_id", "text").mapInArrow(judge, schema)
+    return arrow(documents.select("doc_id", "text"), judge, schema)
 
 
 def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:

@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from reckon.llm.bpe import op2_bpe
 from reckon.llm.classifier import op10_classifier
+from reckon.llm.near import op4_near_duplicates
 from reckon.llm.quality_rules import op1_quality_rules
+from reckon.llm.repeats import op9_repeats
+from reckon.llm.secrets import op6_secrets
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_bpe": op2_bpe,
+    "op4_near_duplicates": op4_near_duplicates,
+    "op6_secrets": op6_secrets,
+    "op9_repeats": op9_repeats,
     "op10_classifier": op10_classifier,
 }
 
