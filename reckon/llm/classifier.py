@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reckon.llm.shared import arrow
 from reckon.llm.textbytes import IS_SPACE, Chunk, chunks, column, covered, in_doc, windows
 
 SAMPLE = 6_000
@@ -205,16 +206,19 @@ def fit(documents: DataFrame, sample: DataFrame) -> Machine:
                 )
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(batches), ignore_index=True).drop_duplicates("doc_id").sort_values("doc_id")
-        if len(frame) < 2 or frame.label.nunique() < 2:
+        frames = list(batches)
+        if not frames:
             return
-        words = [(b.astype(np.int64), x.astype(float)) for b, x in zip(frame.buckets, frame.xs, strict=True)]
-        machine = train(words, np.stack(frame.statistics.to_list()), frame.label.to_numpy(np.int64))
+        frame = pd.concat(frames, ignore_index=True).drop_duplicates("doc_id").sort_values("doc_id")
+        if len(frame) < 2 or frame["label"].nunique() < 2:
+            return
+        words = [(b.astype(np.int64), x.astype(float)) for b, x in zip(frame["buckets"], frame["xs"], strict=True)]
+        machine = train(words, np.stack(frame["statistics"].to_list()), frame["label"].to_numpy(np.int64))
         yield pd.DataFrame({"name": ["edges", "w0", "w", "v"], "numbers": [machine.edges.ravel(), np.array([machine.w0]), machine.w, machine.v.ravel()]})
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, label int, buckets array<int>, xs array<float>, statistics array<double>"
-    learnt = chosen.mapInArrow(gather, schema).repartition(1).mapInPandas(learn, "name string, numbers array<double>")
+    learnt = arrow(chosen, gather, schema).repartition(1).mapInPandas(learn, "name string, numbers array<double>")
     parts = {row.name: np.array(row.numbers) for row in learnt.collect()}  # one model of a fixed size
     if not parts:
         return Machine(np.zeros((len(STATISTICS), BINS - 1)), 0.0, np.zeros(N_FEATURES), np.zeros((N_FEATURES, FACTORS)))
@@ -233,7 +237,7 @@ def classify(documents: DataFrame, machine: Machine, keep: tuple[str, ...] = ("d
                 verdict = pa.array((score >= ACCEPT).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(score), verdict], names=[*keep, "score", "predicted"])
 
-    return documents.select(*keep, documents["text"].alias("_text")).mapInArrow(judge, f"{fields}, score double, predicted int")
+    return arrow(documents.select(*keep, documents["text"].alias("_text")), judge, f"{fields}, score double, predicted int")
 
 
 def op10_classifier(spark: SparkSession, folder: str) -> DataFrame:
