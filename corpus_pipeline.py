@@ -1,18 +1,54 @@
 """A training corpus from raw documents, stage by stage.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's docs.
+All but the last return the columns of documents; each works on whole texts and on every row that the one before kept.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from reckon.llm.bpe import encode
+from reckon.llm.classifier import classify, fit, sample_ids
+from reckon.llm.mixing import mixed
+from reckon.llm.near import near_duplicates
+from reckon.llm.secrets import redact
+from reckon.llm.shared import shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learnt from `labels`, accepts."""
+    machine = fit(docs, sample_ids(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return classify(docs, machine, keep=COLUMNS).where("predicted = 1").select(*COLUMNS)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that of the smallest doc_id.
+
+    Of rows with the same doc_id the least stays, found before the shuffle; rows without doc_id are in no group and stay.
+    """
+    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    rest = [name for name in COLUMNS if name != "doc_id"]
+    one = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("_row"))
+    one = one.join(kept, "doc_id", "left_semi").select("doc_id", "_row.*")
+    return one.unionByName(docs.where("doc_id IS NULL").select(*COLUMNS)).select(*COLUMNS)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret replaced by a mark; n_chars follows the text."""
+    clean = redact(docs.select(*COLUMNS))
+    return clean.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that are drawn at the calibrated probabilities of their source, language and topic."""
+    return mixed(docs, list(COLUMNS)).where("_sampled").select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,6 +57,10 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near),
+    ("secret scans", secrets),
+    ("mixing sources to target weights", mixture),
     ("byte-level BPE encoding and decoding", tokens),
 ]
 
@@ -28,17 +68,9 @@ STAGES: list[tuple[str, Stage]] = [
 ORACLE_SQL = None
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; the result is the last stage's table, read from the shared folder."""
-    folder = _shared_folder(spark)
+    folder = shared_folder(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(path := f"{folder}/{k}")
