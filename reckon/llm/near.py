@@ -44,7 +44,7 @@ def _class_ids(one: np.ndarray, two: np.ndarray) -> pa.Array:
     return pa.array([raw[i : i + 16] for i in range(0, len(raw), 16)], pa.binary())
 
 
-def sets_of(documents: DataFrame) -> DataFrame:
+def sets_of(documents: DataFrame, load: float = shingles.LOAD) -> DataFrame:
     """doc_id, n_shingles, class (128 bits), handle (64 of them), sketch, and whether the keys are too few to be sure (short)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,7 +59,7 @@ def sets_of(documents: DataFrame) -> DataFrame:
                         _class_ids(one, two),
                         _long(one),
                         pa.array(shingles.odd_sketch(found, owner, size), pa.binary()),
-                        pa.array(shingles.unsure(found, owner, size)),
+                        pa.array(shingles.unsure(found, owner, size, load)),
                     ],
                     names=["doc_id", "n_shingles", "class", "handle", "sketch", "short"],
                 )
@@ -69,7 +69,9 @@ def sets_of(documents: DataFrame) -> DataFrame:
     return arrow(documents.select("doc_id", "text"), run, schema)
 
 
-def block_keys(documents: DataFrame, hot: np.ndarray, heat: np.ndarray, sample_of: int = 0) -> DataFrame:
+def block_keys(
+    documents: DataFrame, hot: np.ndarray, heat: np.ndarray, sample_of: int = 0, load: float = shingles.LOAD
+) -> DataFrame:
     """(key, handle) of each class, once a task; with sample_of all keys of one in so many classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,15 +84,15 @@ def block_keys(documents: DataFrame, hot: np.ndarray, heat: np.ndarray, sample_o
                     if handle in seen or (sample_of and handle % sample_of):
                         size[k] = 0
                     seen.add(handle)
-                keys, docs = shingles.keys(found, owner, size, hot, heat, whole=sample_of > 0)
+                keys, docs = shingles.keys(found, owner, size, hot, heat, sample_of > 0, load)
                 yield pa.RecordBatch.from_arrays([_long(keys), _long(one[docs])], names=["key", "handle"])
 
     return arrow(documents.select("text"), run, "key long, handle long")
 
 
-def frequent_keys(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def frequent_keys(documents: DataFrame, load: float = shingles.LOAD) -> tuple[np.ndarray, np.ndarray]:
     """At most MOST_FREQUENT keys that many sampled classes hold, sorted, and their counts."""
-    counts = block_keys(documents, *NONE, sample_of=SAMPLE_OF).distinct().groupBy("key").agg(F.count("*").alias("n"))
+    counts = block_keys(documents, *NONE, SAMPLE_OF, load).distinct().groupBy("key").agg(F.count("*").alias("n"))
     rows = counts.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "key").limit(MOST_FREQUENT).collect()
     keys = np.array([row.key for row in rows], np.int64).view(np.uint64)
     order = np.argsort(keys)
@@ -269,15 +271,18 @@ def _by_shingles(short: DataFrame, documents: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every document."""
+def near_duplicates(documents: DataFrame, load: float = shingles.LOAD) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every document.
+
+    load, the shingles a block, trades keys that say more against sets whose blocks are too few; these take the way by shingles.
+    """
     documents = documents.select("doc_id", "text")
-    sets = written(sets_of(documents))
+    sets = written(sets_of(documents, load))
     filled = sets.where("n_shingles > 0")
     classes = written(
         filled.groupBy("class").agg(*(F.min(c).alias(c) for c in ("handle", "n_shingles", "sketch", "short")), F.min("doc_id").alias("rep"))
     )
-    shared = written(shared_keys(block_keys(documents, *frequent_keys(documents))))
+    shared = written(shared_keys(block_keys(documents, *frequent_keys(documents, load), load=load)))
     pairs = shared.where("handle != hub").select(F.col("hub").alias("a"), F.col("handle").alias("b")).distinct()
     links = written(verified(written(probable(pairs, classes)), classes, documents))
     more = written(across(shared.select("key", "handle"), components(links), classes))

@@ -12,6 +12,7 @@ texts have no spans. A text is handled in its own row, whatever its length. Repe
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,6 +110,10 @@ def _spans(rows: Column, kind: str, rank: int) -> Column:
     )
 
 
+def _at_least(least: int) -> Callable[[Column], Column]:
+    return lambda m: F.length(m["inner"]) >= least
+
+
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -118,8 +123,7 @@ def scan(documents: DataFrame, text: str = "text") -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
     base = []
     for rank, (kind, (pattern, group, least)) in enumerate(KINDS.items()):
-        long = F.filter(_matches(body, pattern, group), lambda m, least=least: F.length(m["inner"]) >= least)
-        base.append(_spans(long, kind, rank))
+        base.append(_spans(F.filter(_matches(body, pattern, group), _at_least(least)), kind, rank))
     found = F.filter(_matches(body, CANDIDATE, 0), lambda m: _is_secret(m["match"]))
     documents = documents.withColumns({"_base": F.array_sort(F.concat(*base)), "_entropy": _spans(found, "entropy", len(KINDS))})
     return documents.withColumn("_all", F.array_sort(F.concat("_base", "_entropy"))).drop("_entropy")
