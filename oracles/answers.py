@@ -161,20 +161,25 @@ COMMISSIONS = {
 
 HYGIENE = {
     "duplicate_references": """
-        SELECT ExternalReference, count(*) AS DuplicateCount,
+        SELECT ExternalReference, total AS DuplicateCount, part AS Part, (total + 9999) // 10000 AS Parts,
                string_agg(CAST(EntryID AS STRING), ', ' ORDER BY EntryID) AS AffectedEntryIDs,
-               min(CreatedTimestamp) AS FirstOccurrence, max(CreatedTimestamp) AS LastOccurrence
-        FROM TransactionLedger GROUP BY ExternalReference HAVING count(*) > 1""",
+               FirstOccurrence, LastOccurrence
+        FROM (SELECT *, count(*) OVER same AS total, (row_number() OVER (same ORDER BY EntryID) + 9999) // 10000 AS part,
+                     min(CreatedTimestamp) OVER same AS FirstOccurrence, max(CreatedTimestamp) OVER same AS LastOccurrence
+              FROM TransactionLedger WINDOW same AS (PARTITION BY ExternalReference))
+        WHERE total > 1 GROUP BY ALL""",
     "invalid_msisdn": """
         SELECT UserID, FullName, MSISDN, CAST(length(rtrim(MSISDN)) AS INTEGER) AS Length,
                CASE WHEN left(MSISDN, 1) NOT BETWEEN '0' AND '9' THEN 'Contains non-digits'
                     WHEN length(rtrim(MSISDN)) <> 11 THEN 'Wrong length' ELSE 'Other issue' END AS IssueType
         FROM Users WHERE length(rtrim(MSISDN)) <> 11 OR NOT regexp_full_match(MSISDN, '[0-9]{11}')""",
     "duplicate_commission_rules": f"""
-        SELECT ProductID, MerchantTier, count(*) AS RuleCount,
+        SELECT ProductID, MerchantTier, total AS RuleCount, part AS Part, (total + 9999) // 10000 AS Parts,
                string_agg({plain('CommissionPercentage')}, ', ' ORDER BY CommissionID) AS Percentages,
                string_agg(CAST(CommissionID AS STRING), ', ' ORDER BY CommissionID) AS CommissionIDs
-        FROM Commissions WHERE IsActive GROUP BY ProductID, MerchantTier HAVING count(*) > 1""",
+        FROM (SELECT *, count(*) OVER same AS total, (row_number() OVER (same ORDER BY CommissionID) + 9999) // 10000 AS part
+              FROM Commissions WHERE IsActive WINDOW same AS (PARTITION BY ProductID, MerchantTier))
+        WHERE total > 1 GROUP BY ALL""",
     "low_balances": f"""
         SELECT w.WalletID, u.UserID, u.FullName, u.Role, {money('w.Balance', 'Balance')}, w.LastUpdated,
                CASE WHEN w.Balance < 0 THEN 'Negative Balance' WHEN w.Balance = 0 THEN 'Zero Balance'
@@ -254,6 +259,19 @@ _VOUCHER = f"""
 _RULES = f"""
     SELECT {RULE}, p.SKU, p.Description AS ProductDescription
     FROM Commissions c JOIN Products p ON p.ProductID = c.ProductID"""
+def _settled(requests: str) -> str:
+    return f"""
+        SELECT r.RequestID AS SettlementID, r.MerchantID, r.PeriodStart, r.PeriodEnd,
+               {money('coalesce(a.gross, 0)', 'GrossAmount')}, {money('coalesce(a.commission, 0)', 'CommissionAmount')},
+               {money('coalesce(a.gross - a.commission, 0)', 'NetAmount')}, 'Pending' AS SettlementStatus,
+               {AS_OF} AS CreatedAt
+        FROM {requests} r LEFT JOIN
+             (SELECT q.RequestID, sum(tl.Amount) AS gross, sum(tl.CommissionAmount) AS commission
+              {DONE} {OWNERS} JOIN {requests} q ON q.MerchantID = m.MerchantID
+               AND tl.CreatedTimestamp BETWEEN q.PeriodStart AND q.PeriodEnd
+              GROUP BY q.RequestID) a ON a.RequestID = r.RequestID"""
+
+
 _SETTLEMENTS = f"SELECT {SETTLEMENT}, m.BusinessName FROM Settlements s JOIN Merchants m ON m.MerchantID = s.MerchantID"
 _CATALOGUE = f"""
     SELECT {PRODUCT}, sp.ProviderName, sp.Category
@@ -435,16 +453,8 @@ JOBS = {
     "issue_vouchers_checked": f"""
         SELECT {_VOUCHER_LINE} FROM VoucherLines l
         JOIN (SELECT RequestID, Unit FROM Walk WHERE taken) k ON k.RequestID = l.RequestID AND k.Unit = l.Unit""",
-    "calculate_settlements": f"""
-        SELECT r.RequestID AS SettlementID, r.MerchantID, r.PeriodStart, r.PeriodEnd,
-               {money('coalesce(a.gross, 0)', 'GrossAmount')}, {money('coalesce(a.commission, 0)', 'CommissionAmount')},
-               {money('coalesce(a.gross - a.commission, 0)', 'NetAmount')}, 'Pending' AS SettlementStatus,
-               {AS_OF} AS CreatedAt
-        FROM SettlementRequests r LEFT JOIN
-             (SELECT q.RequestID, sum(tl.Amount) AS gross, sum(tl.CommissionAmount) AS commission
-              {DONE} {OWNERS} JOIN SettlementRequests q ON q.MerchantID = m.MerchantID
-               AND tl.CreatedTimestamp BETWEEN q.PeriodStart AND q.PeriodEnd
-              GROUP BY q.RequestID) a ON a.RequestID = r.RequestID""",
+    "calculate_settlements": _settled("SettlementRequests"),
+    "calculate_settlements_by_time": _settled("TimedSettlementRequests"),
     "apply_topups": f"""
         SELECT w.WalletID, w.UserID, {money('w.Balance + coalesce(s.added, 0)', 'Balance')}, w.CurrencyCode,
                coalesce(s.at, CAST(w.LastUpdated AS TIMESTAMP)) AS LastUpdated
@@ -492,9 +502,8 @@ JOBS = {
         SELECT * REPLACE ({money('CommissionPercentage', 'CommissionPercentage')}) FROM RuleOutcomes""",
     "change_commission_rules_audit": f"""
         SELECT CAST(1 AS BIGINT) AS UserID, 'UPDATE_COMMISSION' AS Action, 'Commissions' AS TableAffected,
-               CAST(c.CommissionID AS STRING) AS RecordID, {plain('c.CommissionPercentage')} AS OldValue,
-               {plain('coalesce(h.pct, c.CommissionPercentage)')} AS NewValue
-        FROM Commissions c JOIN RuleChanges h ON h.CommissionID = c.CommissionID""",
+               CAST(CommissionID AS STRING) AS RecordID, {plain('old')} AS OldValue, {plain('pct')} AS NewValue
+        FROM RuleWalk WHERE done = 'updated'""",
     "adjust_tier_rates": f"""
         SELECT c.* REPLACE (CAST(CommissionPercentage + CASE WHEN MerchantTier = 'Standard' AND IsActive THEN 1.5
                                  ELSE 0 END AS DOUBLE) AS CommissionPercentage)

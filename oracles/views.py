@@ -170,16 +170,16 @@ VIEWS: dict[str, str] = {
                ts AS RequestedAt
         FROM events WHERE event_type = 'purchase'""",
     "SettlementRequests": """
-        SELECT (MerchantID * 10 + months) * 1000000 + year(start) * 100 + month(start) AS RequestID, MerchantID,
-               start AS PeriodStart,
-               CAST(start + CASE months WHEN 1 THEN INTERVAL '1' MONTH ELSE INTERVAL '3' MONTH END
-                    - INTERVAL '1' DAY AS DATE) AS PeriodEnd
-        FROM Merchants,
-             (SELECT 1 AS months, CAST(g AS DATE) AS start
-              FROM range(TIMESTAMP '1995-01-01', TIMESTAMP '2001-08-02', INTERVAL '1' MONTH) AS r(g)
-              UNION ALL
-              SELECT 3, CAST(g AS DATE)
-              FROM range(TIMESTAMP '1995-01-01', TIMESTAMP '2001-08-02', INTERVAL '3' MONTH) AS r(g)) AS periods""",
+        SELECT event_id AS RequestID, user_id AS MerchantID, start AS PeriodStart,
+               CAST(CASE event_id % 4 WHEN 0 THEN start + INTERVAL '3' MONTH - INTERVAL '1' DAY
+                    ELSE start + CAST(event_id % 97 AS INTEGER) END AS DATE) AS PeriodEnd
+        FROM (SELECT *, CAST(DATE '1995-01-01' + CAST(event_id % 80 AS INTEGER) * INTERVAL '1' MONTH AS DATE)
+                        + CASE WHEN event_id % 4 > 1 THEN CAST(event_id % 28 AS INTEGER) ELSE 0 END AS start
+              FROM events WHERE event_type IN ('error', 'signup'))""",
+    "TimedSettlementRequests": """
+        SELECT RequestID, MerchantID, CAST(PeriodStart AS TIMESTAMP) + CAST(RequestID % 24 AS INTEGER) * INTERVAL '1' HOUR AS PeriodStart,
+               CAST(PeriodEnd AS TIMESTAMP) + CAST(RequestID % 19 AS INTEGER) * INTERVAL '1' HOUR AS PeriodEnd
+        FROM SettlementRequests""",
     # Newest rows by time; ties by EntryID. Each wallet has one owner and at most one profile here.
     "Recent": """
         SELECT tl.*, w.UserID, coalesce(m.MerchantTier, 'Standard') AS EffectiveTier
@@ -284,6 +284,20 @@ VIEWS: dict[str, str] = {
         SELECT row_number() OVER (ORDER BY RequestedAt, RequestID) + (SELECT max(ProductID) FROM Products) AS ProductID,
                ProviderID, SKU, Description, FaceValue, coalesce(IsActive, true) AS IsActive
         FROM ProductOutcomes WHERE Outcome = 'created'""",
+    # Changes and deletions of known rules, one step of the walk each.
+    "RuleSteps": """
+        SELECT r.*, row_number() OVER (PARTITION BY CommissionID ORDER BY RequestedAt, RequestID) AS seq
+        FROM RuleRequests r
+        WHERE Action <> 'create' AND CommissionID IN (SELECT CommissionID FROM Commissions)""",
+    "RuleWalk": """
+        SELECT CommissionID, 0::BIGINT AS seq, NULL::BIGINT AS RequestID, true AS alive, NULL AS done,
+               NULL::DECIMAL(5,2) AS old, CommissionPercentage AS pct FROM Commissions
+        UNION ALL
+        SELECT s.CommissionID, s.seq, s.RequestID, k.alive AND s.Action <> 'delete',
+               CASE WHEN NOT k.alive THEN NULL WHEN s.Action = 'delete' THEN 'deleted'
+                    WHEN s.CommissionPercentage IS NOT NULL OR s.IsActive IS NOT NULL THEN 'updated' END,
+               k.pct, CASE WHEN k.alive THEN coalesce(s.CommissionPercentage, k.pct) ELSE k.pct END
+        FROM RuleWalk k JOIN RuleSteps s ON s.CommissionID = k.CommissionID AND s.seq = k.seq + 1""",
     "RuleOutcomes": """
         SELECT *, CASE WHEN Reason IS NOT NULL THEN 'rejected' WHEN Action = 'create' THEN 'created'
                        WHEN Action = 'update' THEN 'updated' ELSE 'deleted' END AS Outcome
@@ -294,7 +308,8 @@ VIEWS: dict[str, str] = {
                                WHEN ProductID NOT IN (SELECT ProductID FROM Products) THEN 'product not found' END
                           WHEN Action = 'update' AND CommissionPercentage IS NULL AND IsActive IS NULL
                           THEN 'nothing to update'
-                          WHEN CommissionID NOT IN (SELECT CommissionID FROM Commissions) THEN 'rule not found'
+                          WHEN RequestID NOT IN (SELECT RequestID FROM RuleWalk WHERE done IS NOT NULL)
+                          THEN 'rule not found'
                      END AS Reason
               FROM RuleRequests r)""",
     "RuleChanges": """

@@ -162,6 +162,12 @@ def _issued(t: Tables) -> DataFrame:
     return vouchers.issue_vouchers(t.voucher_requests, t.wallets, t.products, t.commissions)
 
 
+def _settled(t: Tables, requests: DataFrame) -> DataFrame:
+    """Only the part of the ledger that the requests ask for is read."""
+    first, last = settlements.asked_days(requests)
+    return settlements.calculate_settlements(t.ledger_between(first, last), t.wallets, t.merchants, requests, t.as_of)
+
+
 _JOBS: dict[str, Callable[[Tables], DataFrame]] = {
     "issue_vouchers": _issued,
     "issue_vouchers_balances": lambda t: vouchers.debit_wallets(t.wallets, _issued(t)),
@@ -169,9 +175,8 @@ _JOBS: dict[str, Callable[[Tables], DataFrame]] = {
     "issue_vouchers_checked": lambda t: vouchers.issue_vouchers_checked(
         t.voucher_requests, t.wallets, t.users, t.products, t.commissions
     ),
-    "calculate_settlements": lambda t: settlements.calculate_settlements(
-        t.ledger, t.wallets, t.merchants, t.settlement_requests, t.as_of
-    ),
+    "calculate_settlements": lambda t: _settled(t, t.settlement_requests),
+    "calculate_settlements_by_time": lambda t: _settled(t, t.timed_settlement_requests),
     "apply_topups": lambda t: wallets.apply_topups(t.wallets, t.topup_requests),
     "apply_topups_audit": lambda t: wallets.topup_audit(t.wallets, t.topup_requests, ADMIN),
     "apply_topups_rejected": lambda t: wallets.topup_outcomes(t.wallets, t.topup_requests)
@@ -191,7 +196,7 @@ _JOBS: dict[str, Callable[[Tables], DataFrame]] = {
     "change_commission_rules_outcomes": lambda t: rules.rule_request_outcomes(
         t.commissions, t.products, t.rule_requests
     ),
-    "change_commission_rules_audit": lambda t: rules.rule_audit(t.commissions, t.rule_requests, ADMIN),
+    "change_commission_rules_audit": lambda t: rules.rule_audit(t.commissions, t.products, t.rule_requests, ADMIN),
     "adjust_tier_rates": lambda t: rules.adjust_tier_rates(t.commissions, RATE_CHANGE),
     "adjust_tier_rates_audit": lambda t: rules.rate_adjustment_audit(t.commissions, RATE_CHANGE, ADMIN),
     "register_users": lambda t: users.register_users(t.users, t.registration_requests),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reckon.functions.ordered import frozen
+from reckon.functions.ordered import HOT_ROWS, frozen, running_sum
 
 IDS_PER_ROW = 10_000
 BROADCAST_GROUPS = 100_000
@@ -23,26 +23,30 @@ def duplicate_groups(
     extra: Sequence[Column] = (),
     ids_per_row: int = IDS_PER_ROW,
     broadcast_groups: int = BROADCAST_GROUPS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Groups of more than one row, with ', '-joined lists of their ids and ``values`` in the order of the ids.
 
+    Every list comes in numbered parts (Part of Parts) of ``ids_per_row`` members, contiguous in the order of
+    the ids, at any size of group; most groups have the one part 1 of 1. Each part has the totals of the whole
+    group.
+
     Counts and ``extra`` aggregates are taken over the whole group first, with its smallest and largest
     id, which is all there is to list of a pair. Only for larger groups, or if values are listed, are the
-    rows read again and joined to the groups; up to ``broadcast_groups`` of them are broadcast. A group
-    with more than ``ids_per_row`` members is listed on several rows, each with the totals of the whole
-    group: its members are dealt out by a hash of the id, so nothing is left out and no task holds the
-    whole list.
+    rows read again and joined to the groups; up to ``broadcast_groups`` of them are broadcast.
     """
     keys, values = list(keys), values or {}
     totals = df.groupBy(*keys).agg(
         F.count("*").alias(count_name), *extra, F.min(id_column).alias("_first"), F.max(id_column).alias("_last")
     )
-    groups = frozen(totals.filter(F.col(count_name) > 1))
-    is_pair = F.lit(False) if values else F.col(count_name) == 2
+    parts = F.ceil(F.col(count_name) / ids_per_row).cast("bigint")
+    groups = frozen(totals.filter(F.col(count_name) > 1).withColumn("Parts", parts))
+    is_pair = F.lit(False) if values or ids_per_row < 2 else F.col(count_name) == 2
     pair = F.concat_ws(", ", F.col("_first").cast("string"), F.col("_last").cast("string"))
     listed = groups.filter(is_pair).withColumn(ids_name, pair).drop("_first", "_last")
     for name in values:
         listed = listed.withColumn(name, F.lit(None).cast("string"))
+    listed = listed.withColumn("Part", F.lit(1).cast("bigint"))
 
     larger = groups.filter(~is_pair).drop("_first", "_last")
     size = larger.count()
@@ -52,15 +56,22 @@ def duplicate_groups(
         larger = F.broadcast(larger)
     members = df.select(
         *[F.col(k).alias(f"_{k}") for k in keys],
-        F.struct(F.col(id_column).alias("_id"), *[v.cast("string").alias(n) for n, v in values.items()]).alias("_m"),
+        F.col(id_column).alias("_id"),
+        *[v.cast("string").alias(f"_v_{n}") for n, v in values.items()],
     )
     same_group = [larger[k].eqNullSafe(members[f"_{k}"]) for k in keys]
-    part = F.pmod(F.xxhash64("_m._id"), F.ceil(F.col(count_name) / ids_per_row))
-    texts = {ids_name: F.col("_all._id").cast("array<string>"), **{n: F.col(f"_all.{n}") for n in values}}
+    joined = members.join(larger, same_group).drop(*[f"_{k}" for k in keys])
+    # The place in the group; a key that is null is told from the others by a flag.
+    named = {f"_k{n}": F.coalesce(F.col(k).cast("string"), F.lit("")) for n, k in enumerate(keys)}
+    named |= {f"_n{n}": F.col(k).isNull() for n, k in enumerate(keys)}
+    joined = frozen(joined.withColumns(named).withColumn("_one", F.lit(1)))
+    placed = running_sum(joined, list(named), [F.col("_id")], "_one", "_place", hot_rows)
+    placed = placed.withColumn("Part", F.ceil(F.col("_place") / ids_per_row).cast("bigint"))
+    member = F.struct("_id", *[f"_v_{n}" for n in values])
+    texts = {ids_name: F.col("_all._id").cast("array<string>"), **{n: F.col(f"_all._v_{n}") for n in values}}
     dealt = (
-        members.join(larger, same_group)
-        .groupBy(*larger.columns, part.alias("_part"))
-        .agg(F.array_sort(F.collect_list("_m")).alias("_all"))
+        placed.groupBy(*larger.columns, "Part")
+        .agg(F.array_sort(F.collect_list(member)).alias("_all"))
         .withColumns({name: F.array_join(text, ", ") for name, text in texts.items()})
     )
-    return listed.unionByName(dealt.drop("_part", "_all"))
+    return listed.unionByName(dealt.drop("_all"))

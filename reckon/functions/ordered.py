@@ -7,13 +7,15 @@ result of the earlier ranges of the key is carried over. All other keys take the
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reckon.session import checkpoint_folder
+
 HOT_ROWS = 5_000_000
+BROADCAST_KEYS = 100_000
 
 _SAMPLED_ROWS = 200  # rows of a key with exactly hot_rows rows that a sample is expected to hold
 _ROW_BITS = 33  # monotonically_increasing_id() keeps the row position in the low 33 bits
@@ -21,15 +23,7 @@ _ROW_BITS = 33  # monotonically_increasing_id() keeps the row position in the lo
 
 def frozen(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, so that several passes over the rows see the same split after lost executors."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="reckon-checkpoint-")
-        context.setCheckpointDir(folder)
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -42,10 +36,12 @@ def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int) -> tuple[DataFr
     share = min(1.0, _SAMPLED_ROWS / max(hot_rows, 1))
     counts = df.select(*keys).sample(fraction=share, seed=1).groupBy(*keys).agg(F.count("*").alias("_rows"))
     hot_keys = frozen(counts.filter(F.col("_rows") > hot_rows * share).select(*keys))
-    if hot_keys.isEmpty():
+    size = hot_keys.count()
+    if size == 0:
         return df, None
-    # About total rows / hot_rows keys at most: a few MB at 10^12 rows.
-    hot_keys = F.broadcast(hot_keys)
+    # About total rows / hot_rows keys; a low hot_rows may find more than can be broadcast.
+    if size <= BROADCAST_KEYS:
+        hot_keys = F.broadcast(hot_keys)
     return df.join(hot_keys, list(keys), "left_anti"), df.join(hot_keys, list(keys), "left_semi")
 
 
@@ -118,6 +114,34 @@ def with_previous(
     return result.unionByName(filled)
 
 
+def with_last_before(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, name: str, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Add ``name``: the last value of ``column`` that is not null in the rows of the key before this one.
+
+    ``order`` names columns that identify a row within its key.
+    """
+    keys, order = list(keys), list(order)
+    earlier = (Window.unboundedPreceding, -1)
+    ordinary, hot = split_hot(df, keys, hot_rows)
+    by_key = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*earlier)
+    result = ordinary.withColumn(name, F.last(column, ignorenulls=True).over(by_key))
+    if hot is None:
+        return result
+
+    ranged = _in_ranges(hot, keys, [F.col(c) for c in order])
+    across = Window.partitionBy(*keys).orderBy("_range").rowsBetween(*earlier)
+    carried = (
+        ranged.groupBy(*keys, "_range")
+        .agg(F.max_by(column, F.when(F.col(column).isNotNull(), F.struct(*order))).alias("_last"))
+        .select(*keys, "_range", F.last("_last", ignorenulls=True).over(across).alias("_before"))
+    )
+    in_range = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(*earlier)
+    own = F.last(column, ignorenulls=True).over(in_range)
+    filled = ranged.join(carried, [*keys, "_range"]).withColumn(name, F.coalesce(own, F.col("_before")))
+    return result.unionByName(filled.drop("_range", "_before"))
+
+
 def global_row_number(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     """Add ``name``: 1, 2, 3, … over all rows in ``order``, without bringing them into one task.
 

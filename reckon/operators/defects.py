@@ -14,7 +14,7 @@ from reckon.operators.readmodels import voucher_list
 from reckon.operators.shared import completed
 
 # Form of a reference and its longest accepted length.
-REFERENCE_PATTERN = "^[A-Z]+-[0-9]+$"
+REFERENCE_PATTERN = r"^[A-Z]+-[0-9]+\z"
 REFERENCE_LENGTH = 20
 
 

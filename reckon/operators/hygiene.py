@@ -20,7 +20,7 @@ FLOAT_TOLERANCE = Decimal("0.0001")
 def duplicate_references(ledger: DataFrame, ids_per_row: int = IDS_PER_ROW) -> DataFrame:
     """References used more than once, with all their entries.
 
-    A reference with more than ``ids_per_row`` entries continues on further rows.
+    The list comes in numbered parts of ``ids_per_row`` entries.
     """
     return (
         duplicate_groups(
@@ -35,8 +35,10 @@ def duplicate_references(ledger: DataFrame, ids_per_row: int = IDS_PER_ROW) -> D
             ],
             ids_per_row=ids_per_row,
         )
-        .select("ExternalReference", "DuplicateCount", "AffectedEntryIDs", "FirstOccurrence", "LastOccurrence")
-        .orderBy(F.col("DuplicateCount").desc(), "ExternalReference", "AffectedEntryIDs")
+        .select(
+            "ExternalReference", "DuplicateCount", "Part", "Parts", "AffectedEntryIDs", "FirstOccurrence", "LastOccurrence"
+        )
+        .orderBy(F.col("DuplicateCount").desc(), "ExternalReference", "Part")
     )
 
 
@@ -45,7 +47,7 @@ def _msisdn_length() -> Column:
 
 
 def _msisdn_invalid() -> Column:
-    return (_msisdn_length() != MSISDN_DIGITS) | ~F.col("MSISDN").rlike(f"^[0-9]{{{MSISDN_DIGITS}}}$")
+    return (_msisdn_length() != MSISDN_DIGITS) | ~F.col("MSISDN").rlike(rf"^[0-9]{{{MSISDN_DIGITS}}}\z")
 
 
 def invalid_msisdn(users: DataFrame) -> DataFrame:
@@ -63,7 +65,7 @@ def invalid_msisdn(users: DataFrame) -> DataFrame:
 
 
 def duplicate_commission_rules(commissions: DataFrame, ids_per_row: int = IDS_PER_ROW) -> DataFrame:
-    """Product and tier pairs with several active rules; both lists in the order of the rule id."""
+    """Product and tier pairs with several active rules; both lists in the order of the rule id, in numbered parts."""
     return (
         duplicate_groups(
             commissions.filter(F.col("IsActive")),
@@ -74,8 +76,8 @@ def duplicate_commission_rules(commissions: DataFrame, ids_per_row: int = IDS_PE
             {"Percentages": plain_number(F.col("CommissionPercentage"))},
             ids_per_row=ids_per_row,
         )
-        .select("ProductID", "MerchantTier", "RuleCount", "Percentages", "CommissionIDs")
-        .orderBy(F.col("RuleCount").desc(), "ProductID", "MerchantTier", "CommissionIDs")
+        .select("ProductID", "MerchantTier", "RuleCount", "Part", "Parts", "Percentages", "CommissionIDs")
+        .orderBy(F.col("RuleCount").desc(), "ProductID", "MerchantTier", "Part")
     )
 
 

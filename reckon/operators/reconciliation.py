@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reckon.operators.shared import by_dimension, completed_ghosts, ghosts
+from reckon.operators.shared import by_dimension, completed, completed_ghosts, ghosts
 
 
 def ghost_count(ledger: DataFrame, vouchers: DataFrame | None) -> DataFrame:
@@ -91,17 +91,22 @@ def ghost_duplicate_refs(ledger: DataFrame, vouchers: DataFrame | None) -> DataF
     )
 
 
+def _of_wallets(ledger: DataFrame, wallets: DataFrame) -> DataFrame:
+    """Completed rows of some wallets only, so that vouchers are looked up for few rows."""
+    return completed(ledger).join(wallets.select("WalletID"), "WalletID", "left_semi")
+
+
 def ghost_low_balance(ledger: DataFrame, vouchers: DataFrame | None, wallets: DataFrame, below: int = 10) -> DataFrame:
     low = wallets.filter(F.col("Balance") < below).select("WalletID", "Balance")
     return by_dimension(
-        completed_ghosts(ledger, vouchers), "WalletID", {"GhostCount": F.lit(1)}, low, ["WalletID", "Balance"]
+        ghosts(_of_wallets(ledger, low), vouchers), "WalletID", {"GhostCount": F.lit(1)}, low, ["WalletID", "Balance"]
     )
 
 
 def ghost_negative_balance(ledger: DataFrame, vouchers: DataFrame | None, wallets: DataFrame) -> DataFrame:
     negative = wallets.filter(F.col("Balance") < 0).select("WalletID", "Balance")
     return (
-        completed_ghosts(ledger, vouchers)
+        ghosts(_of_wallets(ledger, negative), vouchers)
         .join(negative, "WalletID")
         .select("WalletID", "Balance", "EntryID", "Amount")
     )

@@ -10,7 +10,7 @@ from reckon.plans.requests import ARRIVAL, audit, first_of_each, first_reason, g
 
 # Audit action per new status.
 ACTIONS = {s.ACTIVE: "ACTIVATE", s.SUSPENDED: "SUSPEND", s.DEACTIVATED: "DEACTIVATE"}
-REGISTRATION_PATTERN = "^REG-[0-9]{4}-[0-9]{4}$"
+REGISTRATION_PATTERN = r"^REG-[0-9]{4}-[0-9]{4}\z"
 
 
 def _valid(requests: DataFrame) -> DataFrame:

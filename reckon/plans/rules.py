@@ -1,6 +1,6 @@
 """Commission rules: creation, partial change, deletion and tier-wide adjustment.
 
-A batch applies all changes before its deletions.
+A batch is applied in the order of its requests: after the deletion of a rule there is nothing left to change or delete.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from reckon import schemas as s
 from reckon.functions.money import plain_number
+from reckon.functions.ordered import with_last_before
 from reckon.plans.requests import ARRIVAL, audit, first_reason, given, given_id, known, numbered
 
 _FIELDS = ["CommissionPercentage", "IsActive"]
@@ -23,14 +24,18 @@ def _of(action: str) -> Column:
 
 
 def rule_request_outcomes(commissions: DataFrame, products: DataFrame, requests: DataFrame) -> DataFrame:
-    """Every request with Outcome (created, updated, deleted, rejected) and Reason."""
+    """Every request with Outcome (created, updated, deleted, rejected) and Reason.
+
+    A request for a rule that an earlier request of the batch deleted finds no rule.
+    """
     create = first_reason(
         (given_id("ProductID") & given("MerchantTier") & F.col("CommissionPercentage").isNotNull(), "missing field"),
         (F.col("_product"), "product not found"),
     )
     supplied = F.coalesce(*[F.col(c).cast("string") for c in _FIELDS]).isNotNull()
-    update = first_reason((supplied, "nothing to update"), (F.col("_rule"), "rule not found"))
-    delete = first_reason((F.col("_rule"), "rule not found"))
+    there = F.col("_rule") & (F.col("_deletion").isNull() | (F.struct(*ARRIVAL) <= F.col("_deletion")))
+    update = first_reason((supplied, "nothing to update"), (there, "rule not found"))
+    delete = first_reason((there, "rule not found"))
     reason = (
         F.when(_of("create"), create)
         .when(_of("update"), update)
@@ -40,6 +45,7 @@ def rule_request_outcomes(commissions: DataFrame, products: DataFrame, requests:
     return (
         requests.transform(known, "ProductID", products, "_product")
         .transform(known, "CommissionID", commissions, "_rule")
+        .join(_deletions(requests), "CommissionID", "left")
         .withColumn("Reason", reason)
         .withColumn(
             "Outcome",
@@ -49,6 +55,11 @@ def rule_request_outcomes(commissions: DataFrame, products: DataFrame, requests:
     )
 
 
+def _deletions(requests: DataFrame) -> DataFrame:
+    """Per rule the arrival of its first deletion."""
+    return requests.filter(_of("delete")).groupBy("CommissionID").agg(F.min(F.struct(*ARRIVAL)).alias("_deletion"))
+
+
 def _latest_changes(requests: DataFrame) -> DataFrame:
     """Per rule and field the last supplied value."""
     arrival = F.struct(*ARRIVAL)
@@ -75,16 +86,23 @@ def change_commission_rules(
     return kept.select(*commissions.columns).unionByName(new.select(*commissions.columns))
 
 
-def rule_audit(commissions: DataFrame, requests: DataFrame, by: int) -> DataFrame:
-    """One audit row per rule the batch changes: its percentage before and after."""
-    changed = commissions.join(_latest_changes(requests), "CommissionID")
+def rule_audit(commissions: DataFrame, products: DataFrame, requests: DataFrame, by: int) -> DataFrame:
+    """One audit row per applied update: the percentage before and after it.
+
+    Before is the last percentage that an earlier update set, or that of the table.
+    """
+    outcomes = rule_request_outcomes(commissions, products, requests)
+    applied = outcomes.filter(F.col("Outcome") == "updated").select(*ARRIVAL, "CommissionID", "CommissionPercentage")
+    traced = with_last_before(applied, ["CommissionID"], ARRIVAL, "CommissionPercentage", "_before")
+    table = commissions.select("CommissionID", F.col("CommissionPercentage").alias("_initial"))
+    before = F.coalesce("_before", "_initial")
     return audit(
-        changed,
+        traced.join(table, "CommissionID"),
         F.lit("UPDATE_COMMISSION"),
         "Commissions",
         F.col("CommissionID"),
-        plain_number(F.col("CommissionPercentage")),
-        plain_number(F.coalesce("_CommissionPercentage", "CommissionPercentage")),
+        plain_number(before),
+        plain_number(F.coalesce(F.col("CommissionPercentage"), before)),
         by,
     )
 

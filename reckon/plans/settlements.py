@@ -43,6 +43,11 @@ def calculate_settlements(
     )
 
 
+def asked_days(requests: DataFrame) -> tuple[datetime.date | None, datetime.date | None]:
+    """First and last day that any request asks for; a ledger partitioned by month need not be read beyond."""
+    return tuple(requests.agg(F.to_date(F.min("PeriodStart")), F.to_date(F.max("PeriodEnd"))).first())
+
+
 def _by_day(paid: DataFrame, held: DataFrame, requests: DataFrame) -> DataFrame:
     """Sums per request from day and month totals, both taken in one pass over the ledger."""
     day = F.to_date("CreatedTimestamp")

@@ -12,10 +12,10 @@ MIN_QUANTITY, MAX_QUANTITY = 1, 20
 MIN_TOPUP = 10
 MIN_SALE, MAX_SALE = 5, 1000
 MIN_PASSWORD = 8
-PHONE_PATTERN = "^0[1-9][0-9]{8}$"
-PIN_PATTERN = "^[0-9]{16}$"
-EMAIL_PATTERN = "^[^@ ]+@[^@ ]+[.][^@ ]+$"
-MSISDN_PATTERN = "^[0-9]{11}$"
+PHONE_PATTERN = r"^0[1-9][0-9]{8}\z"
+PIN_PATTERN = r"^[0-9]{16}\z"
+EMAIL_PATTERN = r"^[^@ ]+@[^@ ]+[.][^@ ]+\z"
+MSISDN_PATTERN = r"^[0-9]{11}\z"
 
 
 def voucher_rules() -> dict[str, Column]:

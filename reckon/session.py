@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+
+
 from pyspark.sql import SparkSession
 
 # Runtime SQL settings. Joins carry no broadcast hints: Spark broadcasts a side when its statistics are
@@ -19,9 +22,26 @@ RUNTIME_SETTINGS = {
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    checkpoint_folder(spark)
     return spark
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors must share; checkpoints go there.
+
+    Only a session whose executors are threads of the driver may come without the setting.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not (context.master == "local" or context.master.startswith("local[")):
+                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+            folder = tempfile.mkdtemp(prefix="reckon-checkpoint-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
 def local_session(cores: int | str = "*", name: str = "reckon", memory: str = "8g") -> SparkSession:
     """A session for tests and benches on one machine; clusters bring their own and call ``configure``."""
     spark = (
@@ -32,6 +52,7 @@ def local_session(cores: int | str = "*", name: str = "reckon", memory: str = "8
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="reckon-checkpoint-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

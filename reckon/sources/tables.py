@@ -39,6 +39,7 @@ REQUESTS = {
     "rule_requests": "RuleRequests",
     "sale_requests": "SaleRequests",
     "settlement_requests": "SettlementRequests",
+    "timed_settlement_requests": "TimedSettlementRequests",
 }
 MONTH = "LedgerMonth"
 
@@ -77,6 +78,7 @@ class StoredTables:
 
     def __init__(self, spark: SparkSession, folder: str, as_of: datetime.date):
         self.as_of = as_of
+        self.ledger_between = lambda first=None, last=None: ledger_between(spark, folder, first, last)
         self._read = cache(lambda attribute: read_table(spark, folder, attribute))
 
     def __getattr__(self, attribute: str) -> DataFrame:
@@ -98,14 +100,20 @@ def ledger_between(
     """The ledger from ``first`` to ``last``, both inclusive; other months are not read."""
     schema = T.StructType([*SCHEMAS["TransactionLedger"].fields, T.StructField(MONTH, T.DateType())])
     ledger = spark.read.schema(schema).parquet(f"{folder}/{NAMES['ledger']}")
+    if first is not None:
+        ledger = ledger.filter(F.col(MONTH) >= F.lit(first.replace(day=1)))
+    if last is not None:
+        ledger = ledger.filter(F.col(MONTH) <= F.lit(last))
+    return between(ledger.drop(MONTH), first, last)
+
+
+def between(ledger: DataFrame, first: datetime.date | None, last: datetime.date | None) -> DataFrame:
     time = F.col("CreatedTimestamp")
     if first is not None:
-        since = F.lit(first).cast("timestamp_ntz")
-        ledger = ledger.filter((F.col(MONTH) >= F.lit(first.replace(day=1))) & (time >= since))
+        ledger = ledger.filter(time >= F.lit(first).cast("timestamp_ntz"))
     if last is not None:
-        until = F.lit(last + datetime.timedelta(days=1)).cast("timestamp_ntz")
-        ledger = ledger.filter((F.col(MONTH) <= F.lit(last)) & (time < until))
-    return ledger.drop(MONTH)
+        ledger = ledger.filter(time < F.lit(last + datetime.timedelta(days=1)).cast("timestamp_ntz"))
+    return ledger
 
 
 def save_by_entry(ledger: DataFrame, vouchers: DataFrame, prefix: str, buckets: int) -> tuple[DataFrame, DataFrame]:

@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reckon import schemas as s
+from reckon.sources.tables import between
 
 AS_OF = datetime.date(1999, 1, 1)
-FIRST_PERIOD, LAST_PERIOD = datetime.date(1995, 1, 1), datetime.date(2001, 8, 1)
+FIRST_PERIOD = datetime.date(1995, 1, 1)
 
 # Fixed values: (rule number, tier, base percentage); rule 4 is the planted duplicate.
 RULES = [
@@ -190,6 +191,10 @@ class TestData:
             F.col("o_orderdate").alias("CreatedTimestamp"),
         )
 
+    def ledger_between(self, first: datetime.date | None = None, last: datetime.date | None = None) -> DataFrame:
+        """The ledger from ``first`` to ``last``, both inclusive."""
+        return between(self.ledger, first, last)
+
     @cached_property
     def ledger(self) -> DataFrame:
         first_rate = self.commissions.filter(
@@ -381,28 +386,19 @@ class TestData:
 
     @cached_property
     def settlement_requests(self) -> DataFrame:
-        """Every merchant asks for every month of the ledger, and for every quarter, which overlap them."""
-        first, last = F.lit(FIRST_PERIOD), F.lit(LAST_PERIOD)
-
-        def periods(months: int) -> Column:
-            starts = F.sequence(first, last, F.make_interval(months=F.lit(months)))
-            return F.transform(
-                starts,
-                lambda start: F.struct(
-                    F.lit(months).alias("Months"),
-                    start.alias("PeriodStart"),
-                    F.last_day(F.add_months(start, months - 1)).alias("PeriodEnd"),
-                ),
-            )
-
-        start = F.col("p.PeriodStart")
-        return self.merchants.select(
-            "MerchantID", F.explode(F.concat(periods(1), periods(3))).alias("p")
-        ).select(
-            (
-                (F.col("MerchantID") * 10 + F.col("p.Months")) * 1000000 + F.year(start) * 100 + F.month(start)
-            ).alias("RequestID"),
-            "MerchantID",
-            start.alias("PeriodStart"),
-            F.col("p.PeriodEnd").alias("PeriodEnd"),
+        """Periods from a day to a quarter, some for merchants that do not exist; periods of a merchant may overlap."""
+        key = F.col("RequestID")
+        month = F.add_months(F.lit(FIRST_PERIOD), (key % 80).cast("int"))
+        start = F.when(key % 4 > 1, F.date_add(month, (key % 28).cast("int"))).otherwise(month)
+        quarter = F.date_sub(F.add_months("PeriodStart", 3), 1)
+        asked = F.col("event_type").isin("error", "signup")
+        rows = self.file("events").filter(asked).select(F.col("event_id").alias("RequestID"), F.col("user_id").alias("MerchantID"))
+        return rows.withColumn("PeriodStart", start).withColumn(
+            "PeriodEnd", F.when(key % 4 == 0, quarter).otherwise(F.date_add("PeriodStart", (key % 97).cast("int")))
         )
+
+    @cached_property
+    def timed_settlement_requests(self) -> DataFrame:
+        """The same periods from and to a full hour."""
+        later = lambda day, hours: F.col(day).cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("RequestID") % hours)
+        return self.settlement_requests.withColumns({"PeriodStart": later("PeriodStart", 24), "PeriodEnd": later("PeriodEnd", 19)})

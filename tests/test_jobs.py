@@ -145,3 +145,46 @@ def test_json_export(spark, seed, tmp_path):
     tables.export_json(seed.ledger.filter("EntryID = 1"), str(tmp_path / "out"))
     line = spark.read.text(str(tmp_path / "out")).first()[0]
     assert '"Amount":5.00' in line and "T11:57:00.000" in line
+
+
+def test_rule_requests_in_order(spark, seed):
+    """Update 6, update 7, delete, update 8, delete: two audit rows and two rejections."""
+    rule = seed.commissions.orderBy("CommissionID").first()
+    asked = [("update", "6"), ("update", "7"), ("delete", None), ("update", "8"), ("delete", None)]
+    rows = [
+        (n, action, rule["CommissionID"], None, None, value and Decimal(value), None, T0 + datetime.timedelta(minutes=n))
+        for n, (action, value) in enumerate(asked)
+    ]
+    columns = "RequestID LONG, Action STRING, CommissionID LONG, ProductID LONG, MerchantTier STRING, "
+    requests = spark.createDataFrame(rows, columns + "CommissionPercentage DECIMAL(5,2), IsActive BOOLEAN, RequestedAt TIMESTAMP_NTZ")
+    out = rules.rule_request_outcomes(seed.commissions, seed.products, requests).orderBy("RequestID").collect()
+    assert [r["Outcome"] for r in out] == ["updated", "updated", "deleted", "rejected", "rejected"]
+    assert [r["Reason"] for r in out[3:]] == ["rule not found"] * 2
+    audit = rules.rule_audit(seed.commissions, seed.products, requests, 1).collect()
+    before = f"{rule['CommissionPercentage'].normalize():f}"
+    assert sorted((r["OldValue"], r["NewValue"]) for r in audit) == sorted([(before, "6"), ("6", "7")])
+
+
+def test_settlements_read_asked_months_only(spark, data, tmp_path):
+    from reckon.catalogue import QUERIES
+
+    for attribute in ("ledger", "wallets", "merchants"):
+        tables.write_table(getattr(data, attribute), str(tmp_path), attribute)
+    one = data.settlement_requests.filter("PeriodStart >= DATE'1996-03-01' AND PeriodEnd <= DATE'1996-03-31'")
+    tables.write_table(one, str(tmp_path), "settlement_requests")
+    stored = tables.StoredTables(spark, str(tmp_path), data.as_of)
+    plan = QUERIES["calculate_settlements"](stored)._jdf.queryExecution().executedPlan().toString()
+    assert "LedgerMonth" in plan.split("PartitionFilters")[1].split("]")[0]
+
+
+def test_line_breaks_do_not_pass(spark):
+    from reckon.operators.defects import REFERENCE_PATTERN
+    from reckon.plans import merchants, validation
+
+    good = {
+        validation.PHONE_PATTERN: "0721234567", validation.PIN_PATTERN: "1234567890123456", validation.MSISDN_PATTERN: "27821234567",
+        validation.EMAIL_PATTERN: "a@b.org", merchants.REGISTRATION_PATTERN: "REG-2025-0001", REFERENCE_PATTERN: "TXN-17",
+    }
+    for pattern, text in good.items():
+        found = spark.createDataFrame([(text,), (text + "\n",)], "t STRING").select(F.col("t").rlike(pattern)).collect()
+        assert [r[0] for r in found] == [True, False], pattern

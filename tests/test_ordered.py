@@ -68,21 +68,21 @@ def test_global_row_number_of_nothing(rows):
     assert global_row_number(rows.filter("id < 0"), [F.col("id")], "n").count() == 0
 
 
-@pytest.mark.parametrize("broadcast_groups", [0, 100_000])
-def test_long_lists_continue_on_further_rows(rows, broadcast_groups):
+@pytest.mark.parametrize("broadcast_groups, hot_rows", [(0, 5_000_000), (100_000, 300)])
+def test_long_lists_come_in_numbered_parts(rows, broadcast_groups, hot_rows):
     found = duplicate_groups(
-        rows, ["k"], "id", "n", "ids", {"vs": F.col("v")}, ids_per_row=50, broadcast_groups=broadcast_groups
+        rows, ["k"], "id", "n", "ids", {"vs": F.col("v")}, ids_per_row=50, broadcast_groups=broadcast_groups, hot_rows=hot_rows
     )
-    expected = {r["k"]: set(r["ids"]) for r in rows.groupBy("k").agg(F.collect_list("id").alias("ids")).collect()}
+    expected = {r["k"]: sorted(r["ids"]) for r in rows.groupBy("k").agg(F.collect_list("id").alias("ids")).collect()}
     values = {r["id"]: r["v"] for r in rows.collect()}
     listed = {}
-    for row in found.collect():
+    for row in found.orderBy("k", "Part").collect():
         ids = [int(x) for x in row["ids"].split(", ")]
-        assert ids == sorted(ids) and len(ids) < 120
+        own = expected[row["k"]]
+        assert ids == own[(row["Part"] - 1) * 50 : row["Part"] * 50]
         assert [int(x) for x in row["vs"].split(", ")] == [values[i] for i in ids]
-        assert row["n"] == len(expected[row["k"]])
-        assert not listed.setdefault(row["k"], set()) & set(ids)
-        listed[row["k"]] |= set(ids)
+        assert (row["n"], row["Parts"]) == (len(own), -(-len(own) // 50))
+        listed.setdefault(row["k"], []).extend(ids)
     assert listed == {k: ids for k, ids in expected.items() if len(ids) > 1}
 
 
@@ -102,3 +102,17 @@ def test_overdrawn_and_rapid_with_hot_keys(data):
                 overdrawn_transactions(data.ledger_amounts, data.wallets, hot_rows=5))
     year = datetime.timedelta(days=2000)
     assert same(rapid_duplicates(data.ledger_amounts, year), rapid_duplicates(data.ledger_amounts, year, hot_rows=1))
+
+
+def test_last_before_with_hot_keys(rows, many_ranges):
+    from reckon.functions.ordered import with_last_before
+
+    sparse = rows.withColumn("w", F.when(F.col("id") % 3 == 0, F.col("v")))
+    for hot_rows in (5_000_000, 300):
+        last, expected = {}, {}
+        for r in sorted(sparse.collect(), key=lambda r: (r["t"], r["id"])):
+            expected[r["id"]] = last.get(r["k"])
+            if r["w"] is not None:
+                last[r["k"]] = r["w"]
+        found = with_last_before(sparse, ["k"], ["t", "id"], "w", "before", hot_rows)
+        assert {r["id"]: r["before"] for r in found.collect()} == expected

@@ -91,7 +91,7 @@ def test_hygiene(seed):
     assert duplicates.count() == 10
     assert duplicates.filter("ExternalReference = 'TXN-499'").first()["AffectedEntryIDs"] == "499, 500"
     rules = hygiene.duplicate_commission_rules(seed.commissions).collect()
-    assert [tuple(r) for r in rules] == [(2, "Standard", 2, "5, 6", "2, 37")]
+    assert [tuple(r) for r in rules] == [(2, "Standard", 2, 1, 1, "5, 6", "2, 37")]
     invalid = by(hygiene.invalid_msisdn(seed.users), "UserID", "Length", "IssueType")
     assert invalid == {40: (9, "Wrong length"), 45: (13, "Wrong length"), 50: (11, "Other issue")}
     today = seed.now.date()
