@@ -290,11 +290,11 @@ VIEWS: dict[str, str] = {
         FROM RuleRequests r
         WHERE Action <> 'create' AND CommissionID IN (SELECT CommissionID FROM Commissions)""",
     "RuleWalk": """
-        SELECT CommissionID, 0::BIGINT AS seq, NULL::BIGINT AS RequestID, true AS alive, NULL AS done,
+        SELECT CommissionID, 0::BIGINT AS seq, NULL::BIGINT AS RequestID, true AS alive, NULL::VARCHAR AS done,
                NULL::DECIMAL(5,2) AS old, CommissionPercentage AS pct FROM Commissions
         UNION ALL
         SELECT s.CommissionID, s.seq, s.RequestID, k.alive AND s.Action <> 'delete',
-               CASE WHEN NOT k.alive THEN NULL WHEN s.Action = 'delete' THEN 'deleted'
+               CASE WHEN NOT k.alive THEN NULL::VARCHAR WHEN s.Action = 'delete' THEN 'deleted'
                     WHEN s.CommissionPercentage IS NOT NULL OR s.IsActive IS NOT NULL THEN 'updated' END,
                k.pct, CASE WHEN k.alive THEN coalesce(s.CommissionPercentage, k.pct) ELSE k.pct END
         FROM RuleWalk k JOIN RuleSteps s ON s.CommissionID = k.CommissionID AND s.seq = k.seq + 1""",

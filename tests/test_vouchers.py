@@ -80,3 +80,21 @@ def test_single_request_keeps_its_reference(spark, seed):
     assert [(r["ExternalReference"], r["Amount"], r["CommissionAmount"]) for r in issued.collect()] == [
         ("REF-1", 5, Decimal("0.25")), ("REF-2-1", 10, Decimal("0.5")), ("REF-2-2", 10, Decimal("0.5"))
     ]
+
+
+def test_falling_prices_need_few_rounds(spark):
+    """One wallet, 2,000 prices that fall between cheap ones: rounds follow the balance, not the prices."""
+    from reckon.plans.vouchers import _in_rounds
+
+    left, data, expected = Decimal(2100), [], set()
+    for n in range(4000):
+        price = Decimal(2100 - n // 2) if n % 2 else Decimal(1)
+        data.append((n, 1, f"e{n}", 1, price, T0 + datetime.timedelta(seconds=n)))
+        if price <= left:
+            left -= price
+            expected.add(f"e{n}")
+    schema = "RequestID BIGINT, Unit INT, EntryID STRING, WalletID BIGINT, Amount DECIMAL(18,2), RequestedAt TIMESTAMP_NTZ"
+    funds = spark.createDataFrame([(1, Decimal(2100))], "WalletID BIGINT, _left DECIMAL(38,2)")
+    rounds = _in_rounds(spark.createDataFrame(data, schema), funds, 10**6)
+    assert len(rounds) <= 13
+    assert Counter(r["EntryID"] for found in rounds for r in found.collect()) == Counter(expected)
