@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reckon.operators.shared import by_dimension, completed, completed_ghosts, ghosts
+from reckon.operators.shared import by_dimension, completed, completed_ghosts, ghosts, time_windows
 
 
 def ghost_count(ledger: DataFrame, vouchers: DataFrame | None) -> DataFrame:
@@ -113,13 +113,17 @@ def ghost_negative_balance(ledger: DataFrame, vouchers: DataFrame | None, wallet
 
 
 def _first_ghosts(ledger: DataFrame, vouchers: DataFrame | None, n: int, newest: bool) -> DataFrame:
+    """Vouchers are looked up for a window of the ledger, which is widened until n rows have none."""
     time = F.col("CreatedTimestamp")
-    return (
-        completed_ghosts(ledger, vouchers)
-        .select("EntryID", "WalletID", "Amount", "CreatedTimestamp")
-        .orderBy(time.desc() if newest else time.asc(), "EntryID")
-        .limit(n)
-    )
+    rows = completed(ledger).select("EntryID", "WalletID", "Amount", "CreatedTimestamp")
+    for window, whole in time_windows(rows, n, newest):
+        issued = vouchers
+        if vouchers is not None and not whole:
+            issued = vouchers.join(window.select("EntryID"), "EntryID", "left_semi")
+        found = ghosts(window, issued)
+        if whole or found.limit(n).count() == n:
+            return found.orderBy(time.desc() if newest else time.asc(), "EntryID").limit(n)
+    raise AssertionError("the last window is the whole ledger")
 
 
 def ghost_most_recent(ledger: DataFrame, vouchers: DataFrame | None, n: int = 10) -> DataFrame:

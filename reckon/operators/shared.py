@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reckon import schemas as s
-from reckon.functions.ordered import frozen
 
 
 def completed(ledger: DataFrame) -> DataFrame:
@@ -62,7 +61,7 @@ def recent(
 
     With ``users`` or ``products`` only rows that have them count. Each ledger row that counts yields
     at least one joined row, so the newest n of those rows are enough to join the owner columns to; a
-    second limit settles users with several profiles.
+    second limit settles users with several profiles. Only a window of the ledger is looked up.
     """
     held = wallets if users is None else wallets.join(users.select("UserID"), "UserID", "left_semi")
     known = {"WalletID": held.select("WalletID")}
@@ -73,24 +72,43 @@ def recent(
 
 
 def _newest(ledger: DataFrame, known: dict[str, DataFrame], n: int) -> DataFrame:
-    """The newest ``n`` ledger rows whose ids are all in ``known``.
+    """The newest ``n`` ledger rows whose ids are all in ``known``, looked up in ever wider time windows."""
+    for window, whole in time_windows(ledger, n):
+        for key, table in known.items():
+            window = window.join(table, key, "left_semi")
+        if whole or window.limit(n).count() == n:
+            return window.orderBy(*_newest_first()).limit(n)
+    raise AssertionError("the last window is the whole ledger")
 
-    Few rows lack a wallet or product. So a few more than n of the newest rows are taken, which needs no
-    shuffle, and looked up; only when too many of them drop out are more taken, and finally the whole
-    ledger is joined.
-    """
 
-    def counting(rows: DataFrame) -> DataFrame:
-        for key, table in known.items():
-            rows = rows.join(table, key, "left_semi")
-        return rows.orderBy(*_newest_first()).limit(n)
-
-    for more in (2, 50):
-        newest = frozen(ledger.orderBy(*_newest_first()).limit(more * n))
-        found = counting(newest)
-        if found.count() == n or newest.count() < more * n:
-            return found
-    return counting(ledger)
+def time_windows(ledger: DataFrame, n: int, newest: bool = True) -> Iterator[tuple[DataFrame, bool]]:
+    """Parts of the ledger that hold its newest (oldest) rows, each wider than the one before, and whether it is all of it.
+
+    The first holds at least 2 n rows, the next 16 times as many. The edge is found from the numbers of rows per month, then per
+    day and minute within the last one needed, so nothing is sorted, and later steps read no more than the window.
+    """
+    wanted = 2 * n
+    time = F.col("CreatedTimestamp")
+    while True:
+        edge, missing, inside = None, wanted, F.lit(True)
+        for unit in ("month", "day", "minute"):
+            start = F.date_trunc(unit, time).cast("timestamp_ntz").alias("start")
+            counts = ledger.filter(inside & time.isNotNull()).groupBy(start).count().collect()  # as many as the calendar has
+            for row in sorted(counts, key=lambda row: row["start"], reverse=newest):
+                edge = row["start"]
+                if row["count"] >= missing:
+                    inside = F.date_trunc(unit, time).cast("timestamp_ntz") == F.lit(edge)
+                    last = unit
+                    break
+                missing -= row["count"]
+            else:
+                yield ledger, True
+                return
+        if newest:
+            yield ledger.filter(time >= F.lit(edge)), False
+        else:
+            yield ledger.filter(time < F.lit(edge) + F.expr(f"INTERVAL 1 {last}")), False
+        wanted *= 16
 
 
 def with_rules(rows: DataFrame, commissions: DataFrame) -> DataFrame:

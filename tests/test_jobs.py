@@ -189,3 +189,18 @@ def test_line_breaks_do_not_pass(spark):
     for pattern, text in good.items():
         found = spark.createDataFrame([(text,), (text + "\n",)], "t STRING").select(F.col("t").rlike(pattern)).collect()
         assert [r[0] for r in found] == [True, False], pattern
+
+
+@pytest.mark.parametrize("newest", [True, False])
+def test_ghosts_beyond_the_first_window(spark, newest):
+    """Over a month of rows at the edge have vouchers, so the window must be widened."""
+    from reckon.operators.reconciliation import ghost_most_recent, ghost_oldest
+
+    rows = [(i, 1, Decimal(i), "Completed", T0 + datetime.timedelta(hours=i)) for i in range(3000)]
+    columns = "EntryID INT, WalletID INT, Amount DECIMAL(18,2), ProcessingStatus STRING, CreatedTimestamp TIMESTAMP_NTZ"
+    ledger = spark.createDataFrame(rows, columns)
+    without = {5, 700, 1500, 2990} if newest else {2995, 1400, 900, 40}
+    vouchers = spark.createDataFrame([(i,) for i in range(3000) if i not in without], "EntryID INT")
+    found = (ghost_most_recent if newest else ghost_oldest)(ledger, vouchers, 3).collect()
+    assert [r["EntryID"] for r in found] == sorted(without, reverse=newest)[:3]
+    assert (ghost_most_recent if newest else ghost_oldest)(ledger, vouchers, 10).count() == 4
