@@ -301,6 +301,9 @@ READ_MODELS = {
         SELECT {LEDGER_TL}, p.SKU, p.Description AS ProductDescription
         FROM TransactionLedger tl JOIN Products p ON p.ProductID = tl.ProductID""",
     "transactions_search": f"SELECT {LEDGER} FROM TransactionLedger WHERE ProcessingStatus = 'Failed'",
+    "transactions_search_of_wallets": f"""
+        SELECT {LEDGER} FROM TransactionLedger
+        WHERE ProcessingStatus = 'Failed' AND WalletID IN (SELECT WalletID FROM Wallets WHERE Balance < 0)""",
     "transaction_detail": f"""
         SELECT {LEDGER} FROM TransactionLedger WHERE EntryID IN (SELECT EntryID FROM DigitalVouchers)""",
     "voucher_list": _VOUCHER,

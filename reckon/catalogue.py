@@ -26,8 +26,24 @@ from reckon.sources.seed import vouchers_skip_nth
 Tables = Any
 
 ADMIN = 1
-RATE_CHANGE = {s.STANDARD: Decimal("1.5")}
-RAPID = datetime.timedelta(days=365)  # the ledger has whole days only
+
+# What a caller may set, as ``options`` of the table set; these hold otherwise.
+OPTIONS: dict[str, Any] = {
+    "rapid_seconds": 60,  # rows of a wallet and product this close are rapid duplicates
+    "tier_changes": {},  # tier -> percentage points that adjust_tier_rates adds
+    "status": None,  # of transactions_search
+    "wallets": None,  # of transactions_search: a DataFrame of WalletIDs, or all
+}
+
+
+def option(t: Tables, name: str) -> Any:
+    return {**OPTIONS, **getattr(t, "options", {})}[name]
+
+def _wanted_wallets(t: Tables) -> DataFrame:
+    """The wallets asked for, or those that are overdrawn."""
+    asked = option(t, "wallets")
+    return t.wallets.filter(F.col("Balance") < 0).select("WalletID") if asked is None else asked
+
 
 _RECONCILIATION: dict[str, Callable[[Tables], DataFrame]] = {
     "ghost_count": lambda t: rec.ghost_count(t.ledger_amounts, t.vouchers),
@@ -115,7 +131,10 @@ _READ_MODELS: dict[str, Callable[[Tables], DataFrame]] = {
     "product_detail": lambda t: views.product_catalogue(t.products, t.providers, t.voucher_requests),
     "wallet_detail": lambda t: views.wallet_detail(t.wallets, t.users, t.topup_requests),
     "wallet_history": lambda t: views.wallet_history(t.ledger, t.products),
-    "transactions_search": lambda t: views.transactions_search(t.ledger, status=s.FAILED),
+    "transactions_search": lambda t: views.transactions_search(t.ledger, status=option(t, "status")),
+    "transactions_search_of_wallets": lambda t: views.transactions_search(
+        t.ledger, _wanted_wallets(t), option(t, "status")
+    ),
     "transaction_detail": lambda t: views.transaction_detail(t.ledger, t.vouchers),
     "voucher_list": lambda t: views.voucher_list(t.vouchers, t.ledger_amounts),
     "voucher_detail": lambda t: views.voucher_detail(
@@ -140,7 +159,9 @@ _DEFECTS: dict[str, Callable[[Tables], DataFrame]] = {
     "settlement_math_mismatch": lambda t: defects.settlement_math_mismatch(t.settlements),
     "inactive_users_transacting": lambda t: defects.inactive_users_transacting(t.ledger_amounts, t.wallets, t.users),
     "overdrawn_transactions": lambda t: defects.overdrawn_transactions(t.ledger_amounts, t.wallets),
-    "rapid_duplicates": lambda t: defects.rapid_duplicates(t.ledger_amounts, RAPID),
+    "rapid_duplicates": lambda t: defects.rapid_duplicates(
+        t.ledger_amounts, datetime.timedelta(seconds=option(t, "rapid_seconds"))
+    ),
     "bad_references": lambda t: defects.bad_references(t.voucher_requests, "RequestID", "Reference"),
     "float_drift": lambda t: defects.float_drift(t.ledger),
     "null_balances": lambda t: defects.null_balances(t.wallets, t.users),
@@ -197,8 +218,8 @@ _JOBS: dict[str, Callable[[Tables], DataFrame]] = {
         t.commissions, t.products, t.rule_requests
     ),
     "change_commission_rules_audit": lambda t: rules.rule_audit(t.commissions, t.products, t.rule_requests, ADMIN),
-    "adjust_tier_rates": lambda t: rules.adjust_tier_rates(t.commissions, RATE_CHANGE),
-    "adjust_tier_rates_audit": lambda t: rules.rate_adjustment_audit(t.commissions, RATE_CHANGE, ADMIN),
+    "adjust_tier_rates": lambda t: rules.adjust_tier_rates(t.commissions, option(t, "tier_changes")),
+    "adjust_tier_rates_audit": lambda t: rules.rate_adjustment_audit(t.commissions, option(t, "tier_changes"), ADMIN),
     "register_users": lambda t: users.register_users(t.users, t.registration_requests),
     "register_users_outcomes": lambda t: users.registration_outcomes(t.users, t.registration_requests),
     "register_users_wallets": lambda t: users.wallets_for(

@@ -6,8 +6,6 @@ number of keys. ``keys`` is a DataFrame with the id column, or None for all rows
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -108,15 +106,13 @@ def wallet_history(ledger: DataFrame, products: DataFrame, keys: DataFrame | Non
 
 
 def transactions_search(
-    ledger: DataFrame, wallet_ids: Sequence[int] | None = None, status: str | None = None
+    ledger: DataFrame, wallets: DataFrame | None = None, status: str | None = None
 ) -> DataFrame:
-    """Ledger rows, newest first; each filter applies only when given."""
+    """Ledger rows, newest first; each filter applies only when given. ``wallets`` has the WalletIDs asked for."""
     found = ledger
-    if wallet_ids is not None:
-        found = found.filter(F.col("WalletID").isin(*wallet_ids))
     if status is not None:
         found = found.filter(F.col("ProcessingStatus") == status)
-    return found.orderBy(F.col("CreatedTimestamp").desc(), "EntryID")
+    return pick(found, "WalletID", wallets).orderBy(F.col("CreatedTimestamp").desc(), "EntryID")
 
 
 def transaction_detail(ledger: DataFrame, keys: DataFrame | None = None) -> DataFrame:

@@ -133,7 +133,7 @@ def rate_adjustment_audit(commissions: DataFrame, adjustments: dict[str, Decimal
         )
         for tier, value in adjustments.items()
     ]
-    exploded = commissions.agg(F.array(*rows).alias("_rows")).select(F.inline("_rows"))
+    exploded = commissions.agg(F.array(*rows).cast("array<struct<_text:string,RulesUpdated:bigint>>").alias("_rows")).select(F.inline("_rows"))
     return audit(
         exploded,
         F.lit("BULK_RATE_UPDATE"),

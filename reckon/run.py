@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import argparse
 import datetime
+from decimal import Decimal
 
 from pyspark.sql import SparkSession
 
@@ -15,8 +16,10 @@ from reckon.session import configure
 from reckon.sources.tables import StoredTables, export_json
 
 
-def run(spark: SparkSession, name: str, tables: str, out: str, as_of: datetime.date, form: str = "parquet") -> None:
-    result = QUERIES[name](StoredTables(configure(spark), tables, as_of))
+def run(
+    spark: SparkSession, name: str, tables: str, out: str, as_of: datetime.date, form: str = "parquet", options: dict | None = None
+) -> None:
+    result = QUERIES[name](StoredTables(configure(spark), tables, as_of, options))
     if form == "json":
         export_json(result, out)
     else:
@@ -30,8 +33,14 @@ def main() -> None:
     parser.add_argument("--out", required=True)
     parser.add_argument("--as-of", type=datetime.date.fromisoformat, default=datetime.date.today())
     parser.add_argument("--format", choices=["parquet", "json"], default="parquet")
+    parser.add_argument("--rapid-seconds", type=int)
+    parser.add_argument("--status")
+    parser.add_argument("--tier-change", action="append", default=[], metavar="TIER=POINTS")
     given = parser.parse_args()
-    run(SparkSession.builder.getOrCreate(), given.name, given.tables, given.out, given.as_of, given.format)
+    changes = {tier: Decimal(points) for tier, points in (change.split("=") for change in given.tier_change)}
+    asked = {"rapid_seconds": given.rapid_seconds, "status": given.status, "tier_changes": changes or None}
+    options = {name: value for name, value in asked.items() if value is not None}
+    run(SparkSession.builder.getOrCreate(), given.name, given.tables, given.out, given.as_of, given.format, options)
 
 
 if __name__ == "__main__":

@@ -76,8 +76,8 @@ def read_table(spark: SparkSession, folder: str, attribute: str) -> DataFrame:
 class StoredTables:
     """Canonical and request tables of a folder as lazy attributes, as the query catalogue expects them."""
 
-    def __init__(self, spark: SparkSession, folder: str, as_of: datetime.date):
-        self.as_of = as_of
+    def __init__(self, spark: SparkSession, folder: str, as_of: datetime.date, options: dict | None = None):
+        self.as_of, self.options = as_of, options or {}
         self.ledger_between = lambda first=None, last=None: ledger_between(spark, folder, first, last)
         self._read = cache(lambda attribute: read_table(spark, folder, attribute))
 

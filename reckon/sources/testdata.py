@@ -67,6 +67,8 @@ class TestData:
         self.spark, self.folder = spark, folder
 
     as_of = AS_OF
+    # The ledger has whole days only, so rows are rapid within a year here.
+    options = {"rapid_seconds": 365 * 86400, "tier_changes": {s.STANDARD: Decimal("1.5")}, "status": s.FAILED}
 
     def file(self, name: str) -> DataFrame:
         return self.spark.read.schema(_FILES[name]).parquet(f"{self.folder}/{name}.parquet")

@@ -36,7 +36,7 @@ def without_times(df):
 
 @pytest.mark.parametrize("name", NAMES)
 def test_stored_equals_derived(spark, data, folder, name):
-    stored = QUERIES[name](tables.StoredTables(spark, folder, data.as_of))
+    stored = QUERIES[name](tables.StoredTables(spark, folder, data.as_of, data.options))
     derived = QUERIES[name](data)
     if name == "audit_rows":
         stored, derived = (df.filter("ColumnName <> 'EffectiveDate'") for df in (stored, derived))
@@ -52,7 +52,7 @@ def test_run_writes_the_result(spark, data, folder, tmp_path):
 
 
 def test_sql_over_views(spark, data, folder):
-    tables.register_views(tables.StoredTables(spark, folder, data.as_of))
+    tables.register_views(tables.StoredTables(spark, folder, data.as_of, data.options))
     found = spark.sql("SELECT ProcessingStatus, count(*) AS n FROM TransactionLedger GROUP BY ProcessingStatus")
     expected = QUERIES["status_totals"](data).select("ProcessingStatus", "TotalTransactions")
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
