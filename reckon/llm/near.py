@@ -6,8 +6,8 @@
    by equality. Frequent blocks, found in a sample of classes, come last in the order; the order cannot change the result.
 3. Pairs that meet are tested by odd sketches (one bit flipped a shingle: the Hamming distance never exceeds the symmetric
    difference), then exactly on the shingle sets.
-4. No group is expanded into all pairs: first every member is tested against the least member of its group; then only groups that
-   still span several components are compared across components, by bits, in blocks of GROUP members.
+4. No group is expanded into all pairs: first every member is tested against the least member of its group and a few before it;
+   then only groups that still span several components are compared across components, by bits, in blocks of GROUP members.
 
 Null and empty texts and such without words have no shingles and stand alone. A text of fewer than five words is one shingle. Repeated
 rows give repeated results; a doc_id with several texts is judged by each of them. Only doc_id and text are read.
@@ -24,14 +24,15 @@ from pyspark.sql import functions as F
 
 from reckon.llm import shingles
 from reckon.llm.shared import arrow, bitmap, components, in_bitmap, written
-from reckon.llm.textbytes import chunks, column
+from reckon.llm.textbytes import chunks, column, mix
 
 SAMPLE_OF = 32  # one of so many classes tells which blocks are frequent
 FREQUENT = 3  # times in the sample
 MOST_FREQUENT = 100_000  # so many frequent blocks are sent to the tasks, 1.6 MB
 FILTER_BITS = 23
 GROUP = 1024
-PAIRS_AT_ONCE = 4_000_000
+PAIRS_AT_ONCE = 1_000_000
+STEPS = (1, 2, 4, 8)
 NONE = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
 
@@ -138,6 +139,28 @@ def shared_keys(keys: DataFrame) -> DataFrame:
     return arrow(dealt, run, "key long, handle long, hub long")
 
 
+def neighbours(shared: DataFrame) -> DataFrame:
+    """Pairs (a, b) of handles to try first: of each key every member with the least one and with those some STEPS before it.
+
+    They join most of a large group, so that few of its members are left to compare across components. Rows are taken as they lie
+    in the table, sorted by key; where a batch ends a few pairs are left out, which across() finds.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, handle, hub = (column(batch, name).to_numpy() for name in ("key", "handle", "hub"))
+            a, b = [hub[hub != handle]], [handle[hub != handle]]
+            for step in STEPS:
+                same = np.flatnonzero(key[step:] == key[:-step])
+                a.append(handle[same])
+                b.append(handle[same + step])
+            a, b = np.concatenate(a), np.concatenate(b)
+            _, first = np.unique(mix(a.view(np.uint64)) + b.view(np.uint64), return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first])], names=["a", "b"])
+
+    return arrow(shared, run, "a long, b long").distinct()
+
+
 def probable(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Of pairs (a, b) of handles, the classes whose sizes and odd sketches allow the similarity."""
     side = lambda s: classes.select(*(F.col(c).alias(f"{c}_{s}") for c in ("handle", "class", "n_shingles", "sketch")))
@@ -283,10 +306,9 @@ def near_duplicates(documents: DataFrame, load: float = shingles.LOAD) -> DataFr
         filled.groupBy("class").agg(*(F.min(c).alias(c) for c in ("handle", "n_shingles", "sketch", "short")), F.min("doc_id").alias("rep"))
     )
     shared = written(shared_keys(block_keys(documents, *frequent_keys(documents, load), load=load)))
-    pairs = shared.where("handle != hub").select(F.col("hub").alias("a"), F.col("handle").alias("b")).distinct()
-    links = written(verified(written(probable(pairs, classes)), classes, documents))
-    more = written(across(shared.select("key", "handle"), components(links), classes))
-    links = links.union(verified(more, classes, documents))
+    roots = components(verified(written(probable(neighbours(shared), classes)), classes, documents))
+    more = written(across(shared.select("key", "handle"), roots, classes))
+    links = roots.toDF("a", "b").union(verified(more, classes, documents))
     if not (short := classes.where("short")).isEmpty():
         links = links.union(verified(written(probable(_by_shingles(short, documents), classes)), classes, documents))
     roots = components(links)

@@ -17,8 +17,17 @@ from pyspark.sql import types as T
 _shipped: set[str] = set()
 
 
+BATCH_ROWS = 2000
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the executors this subpackage, once an application, so that tasks can import it wherever the driver found it."""
+    """Give the executors this subpackage, once an application, so that tasks can import it wherever the driver found it.
+
+    Rows hold whole texts, so tasks take fewer of them at a time than Spark's default, unless the session sets less still.
+    """
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(batch)) <= BATCH_ROWS:
+        spark.conf.set(batch, BATCH_ROWS)
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         here = Path(__file__).resolve().parent
@@ -88,7 +97,7 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
     for _ in range(most_rounds):
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("least"))
         joined = large.join(least, "a")
         small = joined.select("b", "least").where("b != least").union(joined.select("a", "least")).toDF("a", "b")
