@@ -125,8 +125,8 @@ def keys(
 
 
 def odd_sketch(found: np.ndarray, owner: np.ndarray, size: np.ndarray) -> list[bytes]:
-    """A bit string for each set, of about as many bits as shingles; every shingle flips one bit."""
-    bits = np.exp2(np.maximum(band(np.maximum(size, 1)), 5) + 1).astype(np.int64)
+    """A bit string for each set, of two to four bits a shingle; every shingle flips one bit."""
+    bits = np.exp2(np.maximum(band(np.maximum(size, 1)), 4) + 2).astype(np.int64)
     begin = np.concatenate(([0], np.cumsum(bits)))
     flat = np.bincount(begin[owner] + (found.astype(np.int64) & (bits[owner] - 1)), minlength=begin[-1]).astype(np.uint8) & 1
     packed = np.packbits(flat, bitorder="little").tobytes()
