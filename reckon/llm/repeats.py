@@ -29,6 +29,7 @@ from reckon.llm.shared import arrow, bitmap, in_bitmap, written
 from reckon.llm.textbytes import Chunk, chunks, column
 
 GROUP = 16_384
+TEXT_AT_ONCE = 1 << 19
 SEGMENTS_AT_ONCE = 500_000
 ROW_BITS, SEGMENT_BITS = 23, 24
 WHOLE = (1 << 31) - 1
@@ -116,7 +117,7 @@ class Repeats:
 
             for batch in batches:
                 row = column(batch, "row").to_numpy()
-                for chunk in chunks(column(batch, "text")):
+                for chunk in chunks(column(batch, "text"), TEXT_AT_ONCE):
                     found = segments(chunk, length, gram)
                     held.append((found.gram, found.segment, row[chunk.rows][found.doc]))
                     if sum(len(part[0]) for part in held) > SEGMENTS_AT_ONCE:
@@ -142,7 +143,7 @@ class Repeats:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 batch = batch.filter(pa.array(in_bitmap(rows, column(batch, "row").to_numpy())))
-                for chunk in chunks(column(batch, "text")):
+                for chunk in chunks(column(batch, "text"), TEXT_AT_ONCE):
                     found = segments(chunk, length, gram)
                     take = np.flatnonzero(in_bitmap(names, found.segment))
                     raw = chunk.data.tobytes()
@@ -213,7 +214,7 @@ class Repeats:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 row = column(batch, "row").to_numpy()
-                for chunk in chunks(column(batch, "text")):
+                for chunk in chunks(column(batch, "text"), TEXT_AT_ONCE):
                     found = segments(chunk, length, gram)
                     take = np.flatnonzero(in_bitmap(names, found.segment))
                     begin = found.start[take] - chunk.offsets[found.doc[take]]
@@ -242,7 +243,7 @@ class Repeats:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 spans_of = column(batch, "spans").to_pylist()
-                for chunk in chunks(column(batch, "text")):
+                for chunk in chunks(column(batch, "text"), TEXT_AT_ONCE):
                     out = []
                     for k in range(chunk.n):
                         data = chunk.data[chunk.offsets[k] : chunk.offsets[k + 1]]
