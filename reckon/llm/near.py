@@ -6,8 +6,11 @@
    by equality. Frequent blocks, found in a sample of classes, come last in the order; the order cannot change the result.
 3. Pairs that meet are tested by odd sketches (one bit flipped a shingle: the Hamming distance never exceeds the symmetric
    difference), then exactly on the shingle sets.
-4. No group is expanded into all pairs: first every member is tested against the least member of its group and a few before it;
-   then only groups that still span several components are compared across components, by bits, in blocks of GROUP members.
+4. Components come first, and for them no group is expanded into all pairs: every member is tested against the least member of its
+   group and a few before it; then only groups that still span several components are compared across components, by bits, in blocks
+   of GROUP members.
+5. Links come from the components: similar classes always lie in one, so all pairs of classes of a component are tested by sizes, bits
+   and exactly on the shingle sets, in pairs of blocks, each pair once (linked). They are counted there, or returned as pairs (links).
 
 Null and empty texts and such without words have no shingles and stand alone. A text of fewer than five words is one shingle. Repeated
 rows give repeated results; a doc_id with several texts is judged by each of them. Only doc_id and text are read.
@@ -31,7 +34,9 @@ FREQUENT = 3  # times in the sample
 MOST_FREQUENT = 100_000  # so many frequent blocks are sent to the tasks, 1.6 MB
 FILTER_BITS = 23
 GROUP = 1024
+GROUP_SHINGLES = 1 << 20  # in a block whose members bring their sets, 8 MB
 PAIRS_AT_ONCE = 1_000_000
+SHINGLES_AT_ONCE = 1 << 22
 STEPS = (1, 2, 4, 8)
 NONE = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
@@ -177,13 +182,12 @@ def probable(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return arrow(both.drop("a", "b"), run, "a binary, b binary")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar, decided on the shingle sets.
+def shingles_of(needed: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
+    """(class, shingles) of the classes in needed.
 
     The documents to read again are marked in a bitmap of 2 ** FILTER_BITS bits, so that no text is shuffled; what it lets through
     besides is dropped by the joins.
     """
-    needed = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
     marks = bitmap(needed.join(classes, "class").select(F.xxhash64("rep")), FILTER_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,8 +201,13 @@ def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> Data
                 yield pa.RecordBatch.from_arrays([_class_ids(one, two), sets], names=["class", "shingles"])
 
     marked = arrow(documents.select("text", F.xxhash64("doc_id").alias("h")), run, "class binary, shingles array<long>")
-    sets = marked.join(needed, "class", "left_semi").dropDuplicates(["class"])
-    sets = written(sets)
+    return marked.join(needed, "class", "left_semi").dropDuplicates(["class"])
+
+
+def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are similar, decided on the shingle sets."""
+    needed = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
+    sets = written(shingles_of(needed, classes, documents))
     both = pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
@@ -232,6 +241,109 @@ def _compare(group: np.ndarray, rows: dict[str, list]) -> set[tuple[bytes, bytes
     return found
 
 
+def _dealt(rows: DataFrame, name: str) -> DataFrame:
+    """Rows with a number of blocks for their group `name`, once for each pair of blocks: group, left and right tell the sides."""
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("handle"), "blocks"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    return rows.withColumns(
+        {
+            "group": F.xxhash64(name, F.least("block", "other"), F.greatest("block", "other")),
+            "left": F.col("block") <= F.col("other"),
+            "right": F.col("block") >= F.col("other"),
+        }
+    )
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches sorted by group."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        group = column(batch, "group").to_numpy()
+        last = int(np.searchsorted(group, group[-1]))
+        if held and column(held[0], "group")[0].as_py() != group[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        if last:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _links(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one group that are similar, each pair once; rows are sorted by group."""
+    group, size = table["group"].to_numpy(), table["n_shingles"].to_numpy()
+    left, right = (table[name].to_numpy().astype(bool) for name in ("left", "right"))
+    sketches = table["sketch"].to_pylist()
+    sets = table["shingles"].combine_chunks()
+    _, flat = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+    begin = np.concatenate(([0], np.cumsum(size)))
+    marked = np.zeros(int(flat.max(initial=-1)) + 1, bool)
+    behind = np.searchsorted(group, group, "right") - np.arange(len(group)) - 1
+    cuts = np.searchsorted(np.cumsum(behind), np.arange(PAIRS_AT_ONCE, behind.sum() + 1, PAIRS_AT_ONCE))
+    for part in np.split(np.arange(len(group)), cuts):
+        count = behind[part]
+        i = np.repeat(part, count)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+        keep = (left[i] & right[j]) | (left[j] & right[i])
+        i, j = i[keep], j[keep]
+        good = shingles.probable(sketches, size, i, j)
+        i, j = i[good], j[good]
+        common = np.zeros(len(i), np.int64)
+        edges = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1]))) if len(i) else i
+        for a, b in zip(edges, np.append(edges[1:], len(i)), strict=True):
+            own = flat[begin[i[a]] : begin[i[a] + 1]]
+            marked[own] = True
+            n = size[j[a:b]]
+            for some in np.split(np.arange(a, b), np.searchsorted(np.cumsum(n), np.arange(SHINGLES_AT_ONCE, n.sum() + 1, SHINGLES_AT_ONCE))):
+                if len(some):
+                    n = size[j[some]]
+                    first = np.cumsum(n) - n
+                    hits = marked[flat[np.arange(n.sum()) + np.repeat(begin[j[some]] - first, n)]]
+                    common[some] = np.add.reduceat(hits, first, dtype=np.int64)
+            marked[own] = False
+        similar = shingles.OVER * common >= shingles.UNDER * (size[i] + size[j] - common)
+        yield i[similar], j[similar]
+
+
+def linked(roots: DataFrame, classes: DataFrame, documents: DataFrame, pairs: bool = False) -> DataFrame:
+    """class and n_linked, the rows of the classes that it is similar to; with pairs, all similar pairs (a, b) of classes, a < b.
+
+    roots has the components of all links. Components of more than GROUP classes or GROUP_SHINGLES shingles are dealt into blocks,
+    each pair of blocks a group of its own; a set is sent once for each block of its component, not for each pair.
+    """
+    named = roots.select(F.col("node").alias("class"), "root").union(roots.select(F.col("root").alias("class"), "root").distinct())
+    named = written(named)
+    members = named.join(classes.select("class", "handle", "n_shingles", "n_rows", "sketch"), "class")
+    blocks = F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n_shingles") / GROUP_SHINGLES))
+    rows = _dealt(members.join(members.groupBy("root").agg(blocks.alias("blocks")), "root"), "root")
+    rows = rows.select("group", "left", "right", "class", "n_shingles", "n_rows", "sketch")
+    rows = rows.join(shingles_of(named.select("class"), classes, documents), "class")
+    rows = rows.repartition("group").sortWithinPartitions("group")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches):
+            names, n_rows = table["class"].to_pylist(), table["n_rows"].to_numpy()
+            total = np.zeros(len(names), np.int64)
+            for i, j in _links(table):
+                if pairs:
+                    both = [sorted((names[x], names[y])) for x, y in zip(i, j, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in both], pa.binary()) for k in (0, 1)], names=["a", "b"])
+                np.add.at(total, i, n_rows[j])
+                np.add.at(total, j, n_rows[i])
+            if not pairs:
+                some = np.flatnonzero(total)
+                own = pa.array([names[k] for k in some], pa.binary())
+                yield pa.RecordBatch.from_arrays([own, pa.array(total[some])], names=["class", "n_linked"])
+
+    if pairs:
+        return arrow(rows, run, "a binary, b binary")
+    return arrow(rows, run, "class binary, n_linked long").groupBy("class").agg(F.sum("n_linked").alias("n_linked"))
+
+
 def across(shared: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
     """Probable pairs (a, b) of classes that share a key (key, handle) but no component so far.
 
@@ -242,15 +354,8 @@ def across(shared: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame
     own = shared.join(of_handle, "handle")
     spans = own.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"))
     spans = spans.where("low != high").select("key", F.ceil(F.col("members") / GROUP).alias("blocks"))
-    rows = own.join(spans, "key").withColumn("block", F.pmod(F.xxhash64("handle"), "blocks"))
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    rows = rows.select(
-        F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("group"),
-        (F.col("block") <= F.col("other")).alias("left"),
-        (F.col("block") >= F.col("other")).alias("right"),
-        "handle",
-        "root",
-    ).join(classes.select("handle", "class", "n_shingles", "sketch"), "handle")
+    rows = _dealt(own.join(spans, "key"), "key").select("group", "left", "right", "handle", "root")
+    rows = rows.join(classes.select("handle", "class", "n_shingles", "sketch"), "handle")
     rows = rows.drop("handle").repartition("group").sortWithinPartitions("group")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,16 +399,14 @@ def _by_shingles(short: DataFrame, documents: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(documents: DataFrame, load: float = shingles.LOAD) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every document.
-
-    load, the shingles a block, trades keys that say more against sets whose blocks are too few; these take the way by shingles.
-    """
-    documents = documents.select("doc_id", "text")
+def _grouped(documents: DataFrame, load: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sets of all rows, the classes of equal ones, and the components (node, root) of the similar classes."""
     sets = written(sets_of(documents, load))
     filled = sets.where("n_shingles > 0")
     classes = written(
-        filled.groupBy("class").agg(*(F.min(c).alias(c) for c in ("handle", "n_shingles", "sketch", "short")), F.min("doc_id").alias("rep"))
+        filled.groupBy("class").agg(
+            *(F.min(c).alias(c) for c in ("handle", "n_shingles", "sketch", "short")), F.min("doc_id").alias("rep"), F.count("*").alias("n_rows")
+        )
     )
     shared = written(shared_keys(block_keys(documents, *frequent_keys(documents, load), load=load)))
     roots = components(verified(written(probable(neighbours(shared), classes)), classes, documents))
@@ -311,13 +414,38 @@ def near_duplicates(documents: DataFrame, load: float = shingles.LOAD) -> DataFr
     links = roots.toDF("a", "b").union(verified(more, classes, documents))
     if not (short := classes.where("short")).isEmpty():
         links = links.union(verified(written(probable(_by_shingles(short, documents), classes)), classes, documents))
-    roots = components(links)
+    return sets, classes, components(links)
+
+
+def near_duplicates(documents: DataFrame, load: float = shingles.LOAD, n_links: bool = False) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every document.
+
+    load, the shingles a block, trades keys that say more against sets whose blocks are too few; these take the way by shingles.
+    With n_links also the number of links of each row: to the rows of similar sets and the other rows of the equal set.
+    """
+    documents = documents.select("doc_id", "text")
+    sets, classes, roots = _grouped(documents, load)
+    names = ["doc_id", "n_shingles", "component_id"] + ["n_links"] * n_links
     least = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     ids = least.groupBy("root").agg(F.min("rep").alias("component_id"))
-    ids = least.select("class", "root").join(ids, "root").select("class", "component_id")
-    joined = filled.select("doc_id", "n_shingles", "class").join(ids, "class").select("doc_id", "n_shingles", "component_id")
-    return joined.unionByName(sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    ids = least.select("class", "root", "n_rows").join(ids, "root")
+    if n_links:
+        ids = ids.join(written(linked(roots, classes, documents)), "class", "left")
+        ids = ids.withColumn("n_links", F.coalesce("n_linked", F.lit(0)) + F.col("n_rows") - 1)
+    filled, bare = sets.where("n_shingles > 0"), sets.where("n_shingles = 0")
+    joined = filled.select("doc_id", "n_shingles", "class").join(ids.select("class", *names[2:]), "class").select(*names)
+    return joined.unionByName(bare.withColumns({"component_id": F.col("doc_id"), "n_links": F.lit(0).cast("long")}).select(*names))
+
+
+def links(documents: DataFrame, load: float = shingles.LOAD) -> tuple[DataFrame, DataFrame]:
+    """All similar pairs (a, b) of different classes, a < b, and the class of every row: doc_id, n_shingles, class.
+
+    Rows of one class are linked too. Rows without shingles are in no class.
+    """
+    documents = documents.select("doc_id", "text")
+    sets, classes, roots = _grouped(documents, load)
+    return linked(roots, classes, documents, pairs=True), sets.where("n_shingles > 0").select("doc_id", "n_shingles", "class")
 
 
 def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{folder}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{folder}/documents.parquet"), n_links=True)

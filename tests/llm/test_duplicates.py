@@ -57,6 +57,35 @@ def test_groups_beyond_a_block(spark, monkeypatch):
     assert found_components(near.near_duplicates(docs)) == near_components(list(enumerate(texts)))
 
 
+def all_links(documents):
+    """Similar pairs of rows, by comparing all of them."""
+    sets = [shingle_set(text) for _, text in documents]
+    return [(i, j) for i in range(len(sets)) for j in range(i) if similar(sets[i], sets[j])]
+
+
+@pytest.mark.parametrize("group", [1024, 7])
+def test_every_link_is_counted(spark, monkeypatch, texts, group):
+    """Also those within a component, of one block or several, and of equal sets."""
+    monkeypatch.setattr(near, "GROUP", group)
+    monkeypatch.setattr(near, "PAIRS_AT_ONCE", 50)
+    monkeypatch.setattr(near, "SHINGLES_AT_ONCE", 300)
+    bodies = texts + variants(1, 40, 1) + variants(2, 30, 2) + variants(3, 20, 0)
+    docs = documents(spark, bodies)
+    expected = all_links(list(enumerate(bodies)))
+    counts = Counter(k for pair in expected for k in pair)
+    out = near.near_duplicates(docs, n_links=True).collect()
+    assert {r.doc_id: r.n_links for r in out} == {i: counts[i] for i in range(len(bodies))}
+    pairs, members = near.links(docs)
+    of = defaultdict(list)
+    for row in members.collect():
+        of[bytes(row["class"])].append(row.doc_id)
+    found = [(bytes(r.a), bytes(r.b)) for r in pairs.collect()]
+    assert len(found) == len(set(found)) and all(a < b for a, b in found)
+    rows_linked = {(max(x, y), min(x, y)) for a, b in found for x in of[a] for y in of[b]}
+    rows_linked |= {(max(x, y), min(x, y)) for ids in of.values() for x in ids for y in ids if x != y}
+    assert rows_linked == set(expected)
+
+
 def test_too_few_blocks(spark):
     """Sketches that are too coarse to be sure fall back on shingles."""
     texts = variants(4, 12, 1, 40) + variants(5, 12, 2, 40)
