@@ -1,9 +1,10 @@
 """Secret scan in DataFrame functions: pattern spans, and candidate strings whose sliding-window entropy is high.
 
 The base kinds are matched leftmost and without overlap; matches that are too short are dropped afterwards. The entropy kind takes
-runs of key characters, sorts them into a character class (hex, alnum, base64), slides a window of WINDOW characters over them and
+runs of key characters, sorts them into a character class (hex, alnum, base64, mixed), slides a window of WINDOW characters over them and
 updates its Shannon entropy from the counts of the character that enters and the one that leaves. A run whose best window
-reaches the class's bound is a secret unless an allow-list pattern matches it.
+reaches the class's bound is a secret unless an allow-list pattern matches it. Of a run that is none, the pieces between separators
+are judged in the same way, each alone, so that a path, a name or a word beside a key does not hide it.
 
 Positions are code points, ends exclusive. They come from the lengths of the matches and of the gaps between them. Null and empty
 texts have no spans. A text is handled in its own row, whatever its length. Repeated rows give repeated results. Other columns are not read.
@@ -25,17 +26,25 @@ KINDS = {
 }
 WINDOW = 20
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}"
+PIECE = rf"[A-Za-z0-9]{{{WINDOW},}}"  # of a candidate, between separators
+SEPARATOR = r"[+/_=-]"
 # (class, pattern of all its strings, least bits a character); the first that fits counts.
 CLASSES = (
     ("hex", r"^(?=.*[0-9])(?=.*[a-fA-F])[0-9a-fA-F]+$", 3.0),
     ("alnum", r"^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9]+$", 3.6),
     ("base64", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z]).+$", 3.8),
+    ("mixed", r"^(?=.*[0-9])(?=.*[A-Za-z]).+$", 3.8),  # letters of one case, digits and separators
 )
 ALLOWED = (
-    r"(?i)example|sample|dummy|placeholder|changeme|redacted|test",
+    # whole words: between characters that are no letters or digits, or capitalised after a small letter
+    r"(?<![A-Za-z0-9])(?i:example|sample|dummy|placeholder|changeme|redacted|test)(?![A-Za-z0-9])",
+    r"(?<=[a-z])(?:Example|Sample|Dummy|Placeholder|Changeme|Redacted|Test)(?![a-z])",
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",  # UUIDs
     r"(?i)0123456789|abcdefgh|qwerty",
     r"^[A-Za-z]+([/_=+-]+[A-Za-z]*)*[0-9]{0,4}$",  # words in a path or a name with a number
+    # of the mixed class only: words and short numbers between separators; a UUID among words
+    r"^(?!.*(?:[A-Za-z][0-9]|[0-9][A-Za-z]|[0-9]{5}))(?:[a-z0-9+/_=-]+|[A-Z0-9+/_=-]+)$",
+    r"^(?:[a-z+/_=-]*[+/_=-])?[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}(?:[+/_=-][a-z+/_=-]*)?$",
 )
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 MATCHES = "array<struct<start:int,end:int,match:string,inner:string>>"
@@ -104,6 +113,21 @@ def _is_secret(candidate: Column) -> Column:
     return F.when(bound.isNull() | allowed, F.lit(False)).otherwise(best_entropy(candidate) >= bound)
 
 
+def _entropy_spans(body: Column, rank: int) -> Column:
+    """Spans of the runs that are secrets, and of those pieces of the other runs that are."""
+    span = lambda start, m: F.struct(
+        (start + m["start"]).alias("start"), F.lit(rank).alias("rank"), (start + m["end"]).alias("end"), F.lit("entropy").alias("kind")
+    )
+
+    def found(run: Column) -> Column:
+        pieces = F.filter(_matches(run["match"], PIECE, 0), lambda p: _is_secret(p["match"]))
+        pieces = F.transform(pieces, lambda p: span(run["start"], p))
+        whole = F.array(span(F.lit(0), run))
+        return F.when(_is_secret(run["match"]), whole).otherwise(F.when(run["match"].rlike(SEPARATOR), pieces).otherwise(F.slice(whole, 1, 0)))
+
+    return F.flatten(F.transform(_matches(body, CANDIDATE, 0), found))
+
+
 def _spans(rows: Column, kind: str, rank: int) -> Column:
     return F.transform(
         rows, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind"))
@@ -124,8 +148,7 @@ def scan(documents: DataFrame, text: str = "text") -> DataFrame:
     base = []
     for rank, (kind, (pattern, group, least)) in enumerate(KINDS.items()):
         base.append(_spans(F.filter(_matches(body, pattern, group), _at_least(least)), kind, rank))
-    found = F.filter(_matches(body, CANDIDATE, 0), lambda m: _is_secret(m["match"]))
-    documents = documents.withColumns({"_base": F.array_sort(F.concat(*base)), "_entropy": _spans(found, "entropy", len(KINDS))})
+    documents = documents.withColumns({"_base": F.array_sort(F.concat(*base)), "_entropy": _entropy_spans(body, len(KINDS))})
     return documents.withColumn("_all", F.array_sort(F.concat("_base", "_entropy"))).drop("_entropy")
 
 
