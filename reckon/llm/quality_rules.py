@@ -1,11 +1,12 @@
 """Quality rules: counted rules on words and lines, then a hashed n-gram log-likelihood ratio.
 
-Words and pairs of neighbouring words are hashed into BUCKETS. Their counts over a trusted target and over the raw corpus make two
+Words and pairs of neighbouring words are hashed into buckets. Their counts over a trusted target and over the raw corpus make two
 multinomials; a document's ratio is the sum of log(target / raw) over its n-grams divided by their number, so long and short texts
 compare. Every document is judged against one fixed threshold: no draw, no quantile, no dependence on the other documents' verdicts.
 
-The raw counts cover all documents. The target is the documents of a bounded sample of trusted ids (TRUSTED, by hash order), so it
-can be sent to every task. Counts are added per task before they are shuffled, one row a bucket; the model has BUCKETS numbers.
+The raw counts cover all documents, the target all trusted ones, in a pass of its own. Bitmaps tell exactly which ids
+are trusted, so that ids are joined but no text is shuffled. Counts are added per task before they are shuffled, one row a bucket. They are taken in MOST_BUCKETS and folded to one bucket for GRAMS_A_BUCKET n-grams of the corpus, but BUCKETS at least:
+few n-grams in many buckets would tell the trusted documents by their own rare words.
 
 Null and empty texts have no words, fail the base rules and score 0. Repeated rows give repeated results. Without any trusted document
 the target equals the raw corpus and every score is 0. Columns other than doc_id and text are not read.
@@ -17,14 +18,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reckon.llm.shared import arrow
+from reckon.llm.shared import arrow, bitmap, in_bitmap, written
 from reckon.llm.textbytes import IS_SPACE, Chunk, chunks, column, covered, in_doc, mix, windows
 
 BUCKETS = 1 << 14
-TRUSTED = 20_000
+MOST_BUCKETS = 1 << 18
+GRAMS_A_BUCKET = 48
+FILTER_BITS = 23  # at least, and four bits an id
 THRESHOLD = -0.15
 MIN_WORDS = 20
 MAX_REPEATED_PERCENT = 30
@@ -67,35 +70,88 @@ def ngrams(chunk: Chunk, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return (hashed % np.uint64(buckets)).astype(np.int64), np.concatenate((doc, doc[at]))
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
-    """doc_id of at most `most` rows of quality 1, those of the lowest hashes."""
-    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """doc_id of all rows of quality 1."""
+    return labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
 
 
-def fit(documents: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """log(target / raw) of every bucket, from the raw counts of all documents and the target counts of the trusted ones."""
-    trusted = F.broadcast(trusted.select(F.col("doc_id").alias("_trusted")))  # at most TRUSTED ids
-    flagged = documents.select("doc_id", "text").join(trusted, F.col("doc_id") == F.col("_trusted"), "left")
-    flagged = flagged.select("text", F.col("_trusted").isNotNull().alias("_trusted"))
+def table_size(n_grams: int) -> int:
+    """The number of buckets for a corpus of so many n-grams, a power of two."""
+    return min(max(BUCKETS, 1 << max(n_grams // GRAMS_A_BUCKET, 1).bit_length() - 1), MOST_BUCKETS)
+
+
+def gram_counts(texts: DataFrame, buckets: int) -> np.ndarray:
+    """How many n-grams of all texts fall into each bucket."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        total = np.zeros(buckets, np.int64)
         for batch in batches:
-            chosen = column(batch, "_trusted").to_numpy(zero_copy_only=False).astype(bool)
             for chunk in chunks(column(batch, "text")):
-                found, doc = ngrams(chunk, buckets)
-                raw += np.bincount(found, minlength=buckets)
-                target += np.bincount(found[chosen[chunk.rows][doc]], minlength=buckets)
-        used = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(raw[used]), pa.array(target[used])], names=["bucket", "raw", "target"])
-
-    counts = arrow(flagged, count, "bucket long, raw long, target long")
-    rows = counts.groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()
-    raw, target = np.full(buckets, SMOOTHING), np.full(buckets, SMOOTHING)  # one row a bucket at most
-    for bucket, in_raw, in_target in rows:
-        raw[bucket] += in_raw
-        target[bucket] += in_target
+                total += np.bincount(ngrams(chunk, buckets)[0], minlength=buckets)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["bucket", "n"])
+
+    rows = arrow(texts.select("text"), count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(buckets, np.int64)  # one row a bucket at most
+    out[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
+    return out
+
+
+def _hash(level: int) -> Column:
+    return F.xxhash64("doc_id", F.lit(level)).alias(f"h{level}")
+
+
+def trusted_marks(documents: DataFrame, trusted: DataFrame) -> list[np.ndarray]:
+    """Bitmaps that tell exactly which doc_ids of the documents are trusted: those that an odd number of them, in a row, let through.
+
+    The first one marks the trusted ids, each further one those that the one before lets through wrongly, until there are none.
+    """
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    trusted = trusted.select(F.col("doc_id").cast(kind))  # equal ids have equal hashes only in one type
+    ids = documents.select("doc_id").where("doc_id IS NOT NULL").distinct()
+    inside, outside = (written(ids.join(trusted, "doc_id", how)) for how in ("left_semi", "left_anti"))
+    marks: list[np.ndarray] = []
+    while True:
+        bits = max(FILTER_BITS, (4 * inside.count()).bit_length())
+        marks.append(table := bitmap(inside.select(_hash(len(marks))), bits))
+
+        def passed(batches: Iterator[pa.RecordBatch], table: np.ndarray = table) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                good = pa.array(in_bitmap(table, batch.column(1).to_numpy()))
+                yield pa.RecordBatch.from_arrays([column(batch, "doc_id").filter(good)], names=["doc_id"])
+
+        wrong = written(arrow(outside.select("doc_id", _hash(len(marks) - 1)), passed, f"doc_id {kind}"))
+        if wrong.isEmpty():
+            return marks
+        inside, outside = wrong, inside
+
+
+def trusted_texts(documents: DataFrame, trusted: DataFrame) -> DataFrame:
+    """The texts of the rows whose doc_id is trusted."""
+    marks = trusted_marks(documents, trusted)
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            on, odd = np.ones(batch.num_rows, bool), np.zeros(batch.num_rows, bool)
+            for level, table in enumerate(marks):
+                on &= in_bitmap(table, column(batch, f"h{level}").to_numpy())
+                odd ^= on
+            yield pa.RecordBatch.from_arrays([column(batch, "text").filter(pa.array(odd))], names=["text"])
+
+    rows = documents.where("doc_id IS NOT NULL").select("text", *(_hash(level) for level in range(len(marks))))
+    return arrow(rows, some, "text string")
+
+
+def fit(documents: DataFrame, trusted: DataFrame, buckets: int | None = None) -> np.ndarray:
+    """log(target / raw) of every bucket, from the raw counts of all documents and the target counts of the trusted ones.
+
+    Without a number of buckets it follows from the n-grams.
+    """
+    most = buckets or MOST_BUCKETS
+    raw = gram_counts(documents, most)
+    target = gram_counts(trusted_texts(documents, trusted.select("doc_id")), most)
+    buckets = buckets or table_size(int(raw.sum()))
+    raw, target = (SMOOTHING + counts.reshape(-1, buckets).sum(0) for counts in (raw, target))
     if target.sum() == SMOOTHING * buckets:
         return np.zeros(buckets)
     return np.log(target / target.sum()) - np.log(raw / raw.sum())

@@ -88,6 +88,34 @@ def test_no_trusted_documents(spark, texts):
     assert quality_rules.score(empty, quality_rules.fit(empty, empty.select("doc_id"))).count() == 0
 
 
+def test_every_trusted_document_counts(spark):
+    """However many there are; if all documents are trusted, the target is the raw corpus."""
+    docs = spark.range(20_500).selectExpr("id AS doc_id", "concat('w', id, ' v', id % 7) AS text")
+    labels = docs.selectExpr("doc_id", "1 AS quality")
+    assert not quality_rules.fit(docs, quality_rules.trusted_ids(labels.union(labels.limit(9)))).any()
+
+
+def test_trusted_texts_are_exact(spark, monkeypatch):
+    """Also where the bitmaps let many wrong ids through; repeated rows stay, rows without id are not trusted."""
+    monkeypatch.setattr(quality_rules, "FILTER_BITS", 5)
+    docs = spark.range(900).selectExpr("IF(id < 890, id % 600, NULL) AS doc_id", "concat('t', id) AS text")
+    trusted = spark.range(2000).where("id % 3 = 0").selectExpr("CAST(id AS INT) AS doc_id")
+    assert len(quality_rules.trusted_marks(docs, trusted)) > 2
+    out = sorted(r.text for r in quality_rules.trusted_texts(docs, trusted).collect())
+    assert out == sorted(f"t{i}" for i in range(890) if i % 600 % 3 == 0)
+
+
+def test_table_grows_with_the_corpus(spark, texts, monkeypatch):
+    docs = documents(spark, texts)
+    trusted = docs.where("doc_id % 3 = 1").select("doc_id")
+    assert [quality_rules.table_size(n) for n in (0, 10**6, 10**7, 10**9, 10**12)] == [1 << 14, 1 << 14, 1 << 17, 1 << 18, 1 << 18]
+    monkeypatch.setattr(quality_rules, "BUCKETS", 64)
+    monkeypatch.setattr(quality_rules, "MOST_BUCKETS", 1 << 14)
+    ratios = quality_rules.fit(docs, trusted)
+    assert 64 < len(ratios) < 1 << 14
+    assert np.allclose(ratios, quality_rules.fit(docs, trusted, len(ratios)))
+
+
 def test_pre_tokens_and_merges(plain_encoder):
     import random
 
