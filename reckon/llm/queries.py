@@ -10,6 +10,7 @@ from reckon.llm.near import op4_near_duplicates
 from reckon.llm.quality_rules import op1_quality_rules
 from reckon.llm.repeats import op9_repeats
 from reckon.llm.secrets import op6_secrets
+from reckon.llm.spelling import op12_spelling
 from reckon.llm.topk import OP7_SQL, op7_top_k
 from reckon.llm.urls import OP5_SQL, op5_url_filter
 
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_mixture": op8_mixture,
     "op9_repeats": op9_repeats,
     "op10_classifier": op10_classifier,
+    "op12_spelling": op12_spelling,
 }
 
 SQL: dict[str, str] = {"op5_url_filter": OP5_SQL, "op7_top_k": OP7_SQL}
