@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from reckon.llm.bpe import op2_bpe
 from reckon.llm.classifier import op10_classifier
+from reckon.llm.collocations import OP11_SQL, op11_collocations
 from reckon.llm.lengths import op3_token_counts
+from reckon.llm.licenses import op13_licenses
 from reckon.llm.mixing import op8_mixture
 from reckon.llm.near import op4_near_duplicates
 from reckon.llm.quality_rules import op1_quality_rules
@@ -25,7 +27,9 @@ QUERIES = {
     "op8_mixture": op8_mixture,
     "op9_repeats": op9_repeats,
     "op10_classifier": op10_classifier,
+    "op11_collocations": op11_collocations,
     "op12_spelling": op12_spelling,
+    "op13_licenses": op13_licenses,
 }
 
-SQL: dict[str, str] = {"op5_url_filter": OP5_SQL, "op7_top_k": OP7_SQL}
+SQL: dict[str, str] = {"op5_url_filter": OP5_SQL, "op7_top_k": OP7_SQL, "op11_collocations": OP11_SQL}
