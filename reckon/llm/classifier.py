@@ -185,9 +185,14 @@ def sample_ids(labels: DataFrame, most: int = SAMPLE) -> DataFrame:
 
 
 def fit(documents: DataFrame, sample: DataFrame) -> Machine:
-    """The machine learnt from the sample's documents, at most SAMPLE, which one task gathers and trains on."""
+    """The machine learnt from the sample's documents, at most SAMPLE, which one task gathers and trains on.
+
+    Of rows that share a sampled doc_id the one whose text has the least hash is learnt, found before they meet.
+    """
     sample = F.broadcast(sample.withColumnRenamed("doc_id", "_id"))  # at most SAMPLE rows
-    chosen = documents.select("doc_id", "text").join(sample, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_label")
+    chosen = documents.select("doc_id", "text").join(sample, F.col("doc_id") == F.col("_id"))
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("one")
+    chosen = chosen.groupBy("doc_id", "_label").agg(one).select("doc_id", "one.text", "_label")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,7 +214,7 @@ def fit(documents: DataFrame, sample: DataFrame) -> Machine:
         frames = list(batches)
         if not frames:
             return
-        frame = pd.concat(frames, ignore_index=True).drop_duplicates("doc_id").sort_values("doc_id")
+        frame = pd.concat(frames, ignore_index=True).sort_values("doc_id")
         if len(frame) < 2 or frame["label"].nunique() < 2:
             return
         words = [(b.astype(np.int64), x.astype(float)) for b, x in zip(frame["buckets"], frame["xs"], strict=True)]
