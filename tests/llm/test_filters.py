@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -87,6 +89,55 @@ def test_secret_spans(spark, texts, tmp_path):
     assert secrets.redact(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def long_runs() -> dict[str, tuple[str, list]]:
+    """Texts of up to a megabyte and their spans."""
+    rnd = random.Random(12)
+    drawn = lambda letters, n: "".join(rnd.choices(letters, k=n))
+    alphabet = secrets.ALPHABET
+    picture = "A1a" + drawn(alphabet[:64], 1_000_000)
+    pieces = [drawn("abcdefghijklmnopqrstuvwxyz0123456789", 20) for _ in range(20_000)]
+    beside = "test/" + "/".join(pieces)
+    spans, at = [], 5
+    for piece in pieces:
+        _, own = secret_spans(piece)
+        spans += [(at + a, k, at + b, kind) for a, k, b, kind in own]
+        at += 21
+    many = "AKIA" + "B" * 16
+    return {
+        "words and separators": ("ab_" * 100_000 + "12", []),
+        "a picture": (f"é {picture} é", [(2, 3, 2 + len(picture), "entropy")]),
+        "a long run of little entropy": ("Ab1" * 300_000, []),
+        "separators": ("a1B_" * 100_000, []),
+        "pieces": (beside, sorted(spans)),
+        "matches": (f"é{many} " * 30_000, [(22 * k + 1, 1, 22 * k + 21, "access") for k in range(30_000)]),
+        "spaces": ("password" + " " * 400_000 + "token=" + " " * 400_000, []),
+    }
+
+
+@pytest.mark.parametrize("name", ["words and separators", "a picture", "a long run of little entropy", "separators", "pieces", "matches", "spaces"])
+def test_long_runs(spark, name):
+    """Neither the stack nor the time grows beyond the length: each under ten seconds more than planning takes, redaction likewise."""
+    text, spans = long_runs()[name]
+
+    def timed(text):
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.monotonic()
+        (row,) = secrets.scan(docs).select(secrets._joined(F.col("_all")).alias("spans")).collect()
+        scanned = time.monotonic()
+        (clean,) = secrets.redact(docs).collect()
+        return row, clean, scanned - began, time.monotonic() - scanned
+
+    *_, scan, redact = timed("key")
+    row, clean, *took = timed(text)
+    assert row.spans == joined(spans)
+    assert took[0] < 10 + scan and took[1] < 10 + redact
+    out, at = [], 0
+    for a, _, b, _ in spans:
+        out += [text[at:a], "[SECRET]"]
+        at = b
+    assert clean.text == "".join([*out, text[at:]])
+
+
 def test_redaction(spark, texts):
     bodies = [*texts, *SECRETS]
     out = {r.doc_id: r.text for r in secrets.redact(documents(spark, bodies)).collect()}
@@ -170,40 +221,90 @@ def test_rules_lie_under_their_rarest_token(spark):
     assert index["com/fr/"] == "com" and index["example.org/es/"] == "es"
 
 
-def best(vectors: dict, queries_of: list, k: int) -> dict:
-    out = {}
-    for q in queries_of:
-        scores = sorted((-sum(a * b for a, b in zip(vectors[q], v, strict=True)), i) for i, v in vectors.items() if i != q)
-        out.update({(q, n + 1): (i, -s) for n, (s, i) in enumerate(scores[:k])})
+def best(rows: list, k: int) -> Counter:
+    """Of (vec_id, vector) rows: (query_id, rank, vec_id, score) as often as they occur, each row being its own query and candidate."""
+    out = Counter()
+    for n, (q, own) in enumerate(rows):
+        if q % 20 == 0:
+            others = [(i, v) for m, (i, v) in enumerate(rows) if m != n and len(v) == len(own)]
+            scores = sorted((-sum(a * b for a, b in zip(own, v, strict=True)), i) for i, v in others)
+            out.update((q, rank + 1, i, -s) for rank, (s, i) in enumerate(scores[:k]))
     return out
 
 
-@pytest.mark.parametrize("shard", [10_000, 40, 7])
-def test_top_k(spark, shard):
+@pytest.mark.parametrize("shard, per_task", [(10_000, 8192), (40, 8192), (7, 3), (1, 5)])
+def test_top_k(spark, shard, per_task):
+    """Two and more lengths, several vectors an id, repeated rows, and rows that take no part."""
     rng = np.random.default_rng(shard)
-    cells = [rng.choice([-0.7, -0.31, 0.0, 0.011, 0.25, 0.9], 5).tolist() for _ in range(150)]
+    cells = [rng.choice([-0.7, -0.31, 0.0, 0.011, 0.25, 0.9], rng.choice([5, 5, 5, 3, 1])).tolist() for _ in range(150)]
     table = [(i, c, "x") for i, c in enumerate(cells)]
-    table += [(200, None, "x"), (220, [0.1, None, 0.2, 0.3, 0.4], "x"), (240, [math.nan] * 5, "x"), (260, [math.inf] * 5, "x"), (None, cells[0], "x"), (280, [], "x")]
-    table += table[:3]
-    frame = spark.createDataFrame(table, "vec_id long, embedding array<float>, score string")
-    vectors = {i: [math.floor(64 * float(np.float32(x))) for x in c] for i, c in enumerate(cells)}
+    table += [(20, cells[7], "x"), (20, cells[20], "x"), (21, cells[40], "x"), (40, cells[41], "x")] + table[:3]
+    odd = [(200, None, "x"), (220, [0.1, None, 0.2, 0.3, 0.4], "x"), (240, [math.nan] * 5, "x"), (260, [math.inf] * 5, "x"), (None, cells[0], "x"), (280, [], "x")]
+    frame = spark.createDataFrame(table + odd, "vec_id long, embedding array<float>, score string").repartition(3)
+    rows = [(i, [math.floor(64 * float(np.float32(x))) for x in c]) for i, c, _ in table]
     for k in (1, 20, 400):
-        out = topk.top_k(topk.quantised(frame), F.col("id") % 20 == 0, k=k, shard=shard, block=3).collect()
-        assert {(r.query_id, r.rank): (r.vec_id, r.score) for r in out} == best(vectors, list(range(0, 150, 20)), k)
+        out = topk.top_k(topk.quantised(frame), F.col("id") % 20 == 0, k=k, shard=shard, block=3, per_task=per_task)
+        assert Counter((r.query_id, r.rank, r.vec_id, r.score) for r in out.collect()) == best(rows, k)
     assert topk.top_k(topk.quantised(frame.limit(0)), F.col("id") % 20 == 0).count() == 0
 
 
-def test_tree_leaves_out_leaves():
-    rng = np.random.default_rng(3)
-    centres = rng.integers(-60, 60, (8, 6))
-    vectors = centres[rng.integers(0, 8, 3000)] + rng.integers(-2, 3, (3000, 6))
-    tree = topk.build(np.arange(3000), vectors, 64)
-    assert all((tree.low[n] <= tree.vectors[a:b]).all() and (tree.vectors[a:b] <= tree.high[n]).all() for n, (a, b) in enumerate(tree.bounds))
+def clustered(seed: int, n: int, centres: int = 8) -> np.ndarray:
+    rng = np.random.default_rng(seed)
+    middle = rng.integers(-60, 60, (centres, 6))
+    return middle[rng.integers(0, centres, n)] + rng.integers(-2, 3, (n, 6))
+
+
+def test_tree_is_searched_best_first():
+    vectors = clustered(3, 3000)
+    tree = topk.build(np.arange(3000), np.arange(3000), vectors, 64)
+    for node, child in enumerate(tree.children.tolist()):
+        own = tree.vectors[tree.begin[node] : tree.end[node]]
+        assert (own.min(0) == tree.low[node]).all() and (own.max(0) == tree.high[node]).all()  # tight
+        if child >= 0:
+            assert tree.begin[child] == tree.begin[node] and tree.end[child] == tree.begin[child + 1] and tree.end[child + 1] == tree.end[node]
     queries_of = vectors[:5]
-    row, found, score = topk.search(tree, np.arange(5), queries_of, np.full(5, -np.inf), 10)
+    row, found, score, visits = topk.search(tree, np.arange(5), queries_of, np.full(5, -np.inf), 10)
     reference = np.sort(np.where(np.arange(3000) == np.arange(5)[:, None], -(10**9), queries_of @ vectors.T), axis=1)[:, :-11:-1]
     for q in range(5):
         assert sorted(score[row == q], reverse=True) == reference[q].tolist()
+    leaves = int((tree.children < 0).sum())
+    assert leaves > 40 and visits < 5 * leaves / 3
+    # a kth score that comes along leaves out more, and what lies below it is not returned
+    row, _, score, fewer = topk.search(tree, np.arange(5), queries_of, reference[:, 0].astype(float), 10)
+    assert fewer <= visits and (score >= reference[row, 0]).all() and set(row.tolist()) == set(range(5))
+
+
+def test_regions_that_cannot_reach_are_left_out(spark):
+    vectors = clustered(4, 2000)
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(vectors.tolist())], "id long, vector array<long>")
+    shards, trees = topk.placed(frame.withColumn("row", F.col("id")), 250)
+    regions = {r.region: r.n for r in shards.groupBy("region").agg(F.count("*").alias("n")).collect()}
+    assert len(regions) > 4 and list(trees) == [6] and sum(regions.values()) == 2000
+    box_of = topk.boxes(shards, [6])
+    assert box_of.keys() == {(6, r) for r in regions}
+    for (_, region), (low, high) in box_of.items():
+        own = vectors[[r.id for r in shards.where(F.col("region") == region).collect()]]
+        assert (own.min(0) == low).all() and (own.max(0) == high).all()
+    scores = vectors @ vectors.T
+    np.fill_diagonal(scores, -(10**9))
+    tenth = np.sort(scores, axis=1)[:, -10]
+    asked = spark.createDataFrame([(i, i, vectors[i].tolist(), 6, int(tenth[i])) for i in range(0, 2000, 20)], "row long, id long, vector array<long>, length long, kth long")
+    sent = topk.reached(asked, box_of).count()
+    assert 100 <= sent < 100 * len(regions) / 2
+    got = topk.top_k(frame, F.col("id") % 20 == 0, k=10, shard=250)
+    assert {(r.query_id, r.rank): r.score for r in got.collect()} == {
+        (q, k + 1): int(s) for q in range(0, 2000, 20) for k, s in enumerate(np.sort(scores[q])[:-11:-1])
+    }
+
+
+def test_splits():
+    rng = np.random.default_rng(6)
+    sample = rng.integers(-9, 9, (200, 3))
+    found = topk.splits(sample, 9)
+    assert sorted(set(found.regions(sample).tolist())) == list(range(9))
+    assert not len(topk.splits(np.zeros((50, 3), np.int64), 4).dimension)
+    heavy = np.array([[0, 5]] * 90 + [[0, 1]] * 10)
+    assert sorted(np.bincount(topk.splits(heavy, 2).regions(heavy)).tolist()) == [10, 90]
 
 
 def test_raking(spark):
@@ -287,6 +388,17 @@ def test_pipeline(spark):
         assert encoder.decode(np.array(row.ids)).tobytes().decode() == kept[3][i].text
 
 
+def test_near_stage_keeps_every_different_text(spark):
+    """Texts under one doc_id are judged one by one; a null text takes no text's place; rows without doc_id are judged too."""
+    long = " ".join(f"w{k}" for k in range(60))
+    other, third = (" ".join(f"{letter}{k * 7 % 61}" for k in range(50)) for letter in "vu")
+    docs = [(1, None), (1, long), (2, other), (2, third), (3, long + " more"), (None, other), (None, "alone without an id"), (4, None), (4, ""), (5, third), (5, third)]
+    rows_ = [(i, t, "en", "a", k) for k, (i, t) in enumerate(docs)]
+    out = corpus_pipeline.near(spark, spark.createDataFrame(rows_, SCHEMA), SF)
+    kept = Counter((r.doc_id, r.text) for r in out.collect())
+    assert kept == Counter([(1, None), (1, long), (2, other), (2, third), (None, "alone without an id"), (4, None), (4, "")])
+
+
 def test_pipeline_runs(spark, tmp_path):
     assert corpus_pipeline.ORACLE_SQL is None
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
