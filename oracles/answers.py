@@ -280,6 +280,7 @@ _CATALOGUE = f"""
 READ_MODELS = {
     "users_list": "SELECT UserID, MSISDN, FullName, Email, Role, AccountTier, ServiceStatus, CreatedAt FROM Users",
     "user_with_wallet": _USER_WALLET,
+    "user_with_wallet_of_users": f"{_USER_WALLET} WHERE u.UserID IN (SELECT UserID FROM Merchants)",
     "merchant_directory": """
         SELECT m.*, u.MSISDN, u.FullName, u.Email, u.ServiceStatus
         FROM Merchants m JOIN Users u ON u.UserID = m.UserID""",
@@ -289,6 +290,13 @@ READ_MODELS = {
         FROM Merchants m JOIN Users u ON u.UserID = m.UserID LEFT JOIN Wallets w ON w.UserID = u.UserID
         WHERE m.MerchantID IN (SELECT MerchantID FROM StatusRequests)""",
     "merchant_transactions": f"SELECT m.MerchantID, {LEDGER_TL} FROM TransactionLedger tl {OWNERS}",
+    "merchant_transactions_of_merchants": f"""
+        SELECT m.MerchantID, {LEDGER_TL} FROM TransactionLedger tl {OWNERS}
+        WHERE m.MerchantID IN (SELECT MerchantID FROM StatusRequests)""",
+    "merchant_balance_of_merchants": f"""
+        SELECT w.WalletID, {money('w.Balance', 'Balance')}, w.CurrencyCode, w.LastUpdated, m.BusinessName
+        FROM Wallets w JOIN Merchants m ON m.UserID = w.UserID
+        WHERE m.MerchantID IN (SELECT MerchantID FROM StatusRequests)""",
     "merchant_balance": f"""
         SELECT w.WalletID, {money('w.Balance', 'Balance')}, w.CurrencyCode, w.LastUpdated, m.BusinessName
         FROM Wallets w JOIN Merchants m ON m.UserID = w.UserID""",
@@ -300,6 +308,10 @@ READ_MODELS = {
     "wallet_history": f"""
         SELECT {LEDGER_TL}, p.SKU, p.Description AS ProductDescription
         FROM TransactionLedger tl JOIN Products p ON p.ProductID = tl.ProductID""",
+    "wallet_history_of_wallets": f"""
+        SELECT {LEDGER_TL}, p.SKU, p.Description AS ProductDescription
+        FROM TransactionLedger tl JOIN Products p ON p.ProductID = tl.ProductID
+        WHERE tl.WalletID IN (SELECT WalletID FROM Wallets WHERE Balance < 0)""",
     "transactions_search": f"SELECT {LEDGER} FROM TransactionLedger WHERE ProcessingStatus = 'Failed'",
     "transactions_search_of_wallets": f"""
         SELECT {LEDGER} FROM TransactionLedger
@@ -317,6 +329,16 @@ READ_MODELS = {
                p.Description AS ProductDescription
         FROM TransactionLedger tl JOIN Wallets w ON w.WalletID = tl.WalletID JOIN Users u ON u.UserID = w.UserID
         JOIN Products p ON p.ProductID = tl.ProductID""",
+    "global_ledger_second_page": f"""
+        SELECT {LEDGER_TL}, {money('w.Balance', 'WalletBalance')}, u.FullName, u.Role, p.SKU,
+               p.Description AS ProductDescription
+        FROM TransactionLedger tl JOIN Wallets w ON w.WalletID = tl.WalletID JOIN Users u ON u.UserID = w.UserID
+        JOIN Products p ON p.ProductID = tl.ProductID ORDER BY tl.CreatedTimestamp DESC, tl.EntryID LIMIT 500 OFFSET 500""",
+    "global_ledger_of_users": f"""
+        SELECT {LEDGER_TL}, {money('w.Balance', 'WalletBalance')}, u.FullName, u.Role, p.SKU,
+               p.Description AS ProductDescription
+        FROM TransactionLedger tl JOIN Wallets w ON w.WalletID = tl.WalletID JOIN Users u ON u.UserID = w.UserID
+        JOIN Products p ON p.ProductID = tl.ProductID WHERE u.UserID IN (SELECT UserID FROM Merchants)""",
     "users_financial": _USER_WALLET,
     "merchant_financials": f"""
         SELECT m.*, u.FullName, u.Email, u.ServiceStatus, {money('w.Balance', 'Balance')}, w.CurrencyCode,
@@ -373,11 +395,21 @@ DEFECTS = {
                     ELSE 'Wrong format' END AS Issue
         FROM VoucherRequests
         WHERE Reference IS NULL OR length(Reference) > 20 OR NOT regexp_full_match(Reference, '[A-Z]+-[0-9]+')""",
+    # The bits of every double in parts of 26, added as whole numbers, from the heaviest on.
     "float_drift": f"""
-        SELECT WalletID, {money('sum(CommissionAmount)', 'DecimalTotal')},
-               round(sum(CAST(CommissionAmount AS DOUBLE)), 4) AS DoubleTotal,
-               round(abs(sum(CAST(CommissionAmount AS DOUBLE)) - CAST(sum(CommissionAmount) AS DOUBLE)), 4) AS Drift
-        FROM TransactionLedger GROUP BY WalletID""",
+        WITH parts AS (
+            SELECT WalletID, level, sum(CAST(floor(x / pow(2.0, 26 * level)) AS HUGEINT)
+                                        - 67108864 * CAST(floor(x / pow(2.0, 26 * level + 26)) AS HUGEINT)) AS total
+            FROM (SELECT WalletID, CAST(CommissionAmount AS DOUBLE) AS x FROM TransactionLedger), range(-4, 3) AS l(level)
+            GROUP BY WalletID, level),
+        totals AS (
+            SELECT WalletID, list_reduce(list(CAST(total AS DOUBLE) * pow(2.0, 26 * level) ORDER BY level DESC),
+                                         lambda a, b: a + b) AS t
+            FROM parts GROUP BY WalletID)
+        SELECT l.WalletID, {money('l.total', 'DecimalTotal')}, t.t AS DoubleTotal,
+               abs(t.t - CAST(l.total AS DOUBLE)) AS Drift
+        FROM (SELECT WalletID, sum(CommissionAmount) AS total FROM TransactionLedger GROUP BY WalletID) l
+        JOIN totals t ON t.WalletID = l.WalletID""",
     "null_balances": """
         SELECT w.WalletID, w.UserID, u.FullName, u.ServiceStatus, w.LastUpdated
         FROM Wallets w JOIN Users u ON u.UserID = w.UserID WHERE w.Balance IS NULL""",
@@ -471,7 +503,7 @@ JOBS = {
               FROM TopupRequests t JOIN Wallets w ON w.WalletID = t.WalletID WHERE Amount > 0)""",
     "apply_topups_rejected": f"""
         SELECT RequestID, WalletID, {money('Amount', 'Amount')}, RequestedAt,
-               CASE WHEN Amount > 0 THEN 'wallet not found' ELSE 'amount must be a positive number' END AS Reason
+               CASE WHEN Amount > 0 THEN 'wallet not found' ELSE 'nothing to add' END AS Reason
         FROM TopupRequests WHERE NOT Amount > 0 OR WalletID NOT IN (SELECT WalletID FROM Wallets)""",
     "change_merchant_status": "SELECT * FROM MerchantsAfter",
     "change_merchant_status_audit": """
@@ -536,6 +568,21 @@ JOBS = {
                RequestedAt AS CreatedAt, RequestedAt AS UpdatedAt
         FROM MerchantOutcomes WHERE Accepted""",
     "register_merchants_outcomes": "SELECT * FROM MerchantOutcomes",
+    "books_after_batches": f"""
+        SELECT w.WalletID, {money('w.Balance - coalesce(i.spent, 0) + coalesce(a.added, 0)', 'Balance')},
+               coalesce(l.n, 0) + coalesce(i.n, 0) AS Entries,
+               {money('coalesce(l.amount, 0) + coalesce(i.spent, 0)', 'Amount')},
+               coalesce(l.vouchers, 0) + coalesce(i.n, 0) AS Vouchers, coalesce(a.n, 0) AS Topups
+        FROM Wallets w
+        LEFT JOIN (SELECT WalletID, count(*) AS n, sum(Amount) AS amount, count(*) FILTER (
+                       WHERE EntryID IN (SELECT EntryID FROM DigitalVouchers)) AS vouchers
+                   FROM TransactionLedger GROUP BY WalletID) l ON l.WalletID = w.WalletID
+        LEFT JOIN (SELECT WalletID, count(*) AS n, sum(Amount) AS spent FROM VoucherLines GROUP BY WalletID) i
+               ON i.WalletID = w.WalletID
+        LEFT JOIN (SELECT WalletID, count(*) AS n, sum(Amount) AS added FROM TopupRequests WHERE Amount > 0
+                   GROUP BY WalletID) a ON a.WalletID = w.WalletID""",
+    "ghosts_after_increments": f"""
+        SELECT EntryID, WalletID, ProductID, {money('Amount', 'Amount')}, ProcessingStatus, CreatedTimestamp FROM Ghosts""",
     "audit_rows": " UNION ALL ".join(_diff_column(column) for column in _RULE_COLUMNS),
     "vouchers_skip_nth": f"""
         SELECT nr - nr // 13 AS VoucherID, EntryID,

@@ -2,7 +2,8 @@
 
 A table set is any object with the canonical tables and request tables as lazy DataFrame attributes and
 the date ``as_of``: ``TestData`` over the star-schema files or ``StoredTables`` over canonical Parquet.
-``ledger_amounts`` is the ledger without CommissionAmount, for sources where that column costs a join.
+``ledger_amounts`` is the ledger without CommissionAmount, for sources where that column costs a join. ``timeline`` and
+``timeline_amounts`` are the same two by time, with the number of rows of each day (``shared.Timeline``).
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from reckon.operators import commissions as com
 from reckon.operators import defects, hygiene, reports
 from reckon.operators import readmodels as views
 from reckon.operators import reconciliation as rec
-from reckon.plans import changes, merchants, products, rules, settlements, users, validation, vouchers, wallets
+from reckon.plans import batches, changes, ghosts, merchants, products, rules, settlements, users, validation, vouchers, wallets
+from reckon.session import scratch_folder
 from reckon.sources.seed import vouchers_skip_nth
+from reckon.sources.versions import Versions
 
 Tables = Any
 
@@ -32,17 +35,50 @@ OPTIONS: dict[str, Any] = {
     "rapid_seconds": 60,  # rows of a wallet and product this close are rapid duplicates
     "tier_changes": {},  # tier -> percentage points that adjust_tier_rates adds
     "status": None,  # of transactions_search
-    "wallets": None,  # of transactions_search: a DataFrame of WalletIDs, or all
+    "wallets": None,  # of transactions_search and wallet_history: a DataFrame of WalletIDs, or those overdrawn
+    "merchants": None,  # of the look-ups by merchant: a DataFrame of MerchantIDs, or those with status requests
+    "page": 500,  # rows of a page of the ledger
+    "users": None,  # of the look-up by user: a DataFrame of UserIDs, or those with a merchant profile
 }
 
 
 def option(t: Tables, name: str) -> Any:
     return {**OPTIONS, **getattr(t, "options", {})}[name]
 
+
+def _asked(t: Tables, name: str, otherwise: DataFrame) -> DataFrame:
+    """The keys that an option gives, or others."""
+    keys = option(t, name)
+    return otherwise if keys is None else keys
+
+
 def _wanted_wallets(t: Tables) -> DataFrame:
     """The wallets asked for, or those that are overdrawn."""
-    asked = option(t, "wallets")
-    return t.wallets.filter(F.col("Balance") < 0).select("WalletID") if asked is None else asked
+    return _asked(t, "wallets", t.wallets.filter(F.col("Balance") < 0).select("WalletID"))
+
+
+def _rows(t: Tables, attribute: str, key: str, keys: DataFrame) -> DataFrame:
+    """Rows by id: stored tables skip files that cannot hold an id, other sources join."""
+    return t.rows_of(attribute, key, keys) if hasattr(t, "rows_of") else views.pick(getattr(t, attribute), key, keys)
+
+
+def _transactions_of(t: Tables, merchants_: DataFrame) -> DataFrame:
+    profiles = _rows(t, "merchants", "MerchantID", merchants_)
+    held = _rows(t, "wallets", "UserID", profiles)
+    return views.merchant_transactions(_rows(t, "ledger", "WalletID", held), held, profiles)
+
+
+def _ledger_of_users(t: Tables, users_: DataFrame) -> DataFrame:
+    held = _rows(t, "wallets", "UserID", users_)
+    return views.global_ledger(_rows(t, "ledger", "WalletID", held), held, t.users, t.products, users_)
+
+
+def _second_page(t: Tables, size: int) -> DataFrame:
+    """The page after the newest one; the last row of a page is where the next one begins."""
+    tables = (t.timeline, t.wallets, t.users, t.products)
+    first = views.global_ledger_page(*tables, size)
+    last = first.orderBy(F.col("CreatedTimestamp"), F.desc("EntryID")).select("CreatedTimestamp", "EntryID").first()
+    return views.global_ledger_page(*tables, size, None if last is None else tuple(last))
 
 
 _RECONCILIATION: dict[str, Callable[[Tables], DataFrame]] = {
@@ -58,37 +94,37 @@ _RECONCILIATION: dict[str, Callable[[Tables], DataFrame]] = {
     "ghost_duplicate_refs": lambda t: rec.ghost_duplicate_refs(t.ledger_amounts, t.vouchers),
     "ghost_low_balance": lambda t: rec.ghost_low_balance(t.ledger_amounts, t.vouchers, t.wallets),
     "ghost_negative_balance": lambda t: rec.ghost_negative_balance(t.ledger_amounts, t.vouchers, t.wallets),
-    "ghost_most_recent": lambda t: rec.ghost_most_recent(t.ledger_amounts, t.vouchers),
-    "ghost_oldest": lambda t: rec.ghost_oldest(t.ledger_amounts, t.vouchers),
+    "ghost_most_recent": lambda t: rec.ghost_most_recent(t.timeline_amounts, t.vouchers),
+    "ghost_oldest": lambda t: rec.ghost_oldest(t.timeline_amounts, t.vouchers),
 }
 
 _COMMISSIONS: dict[str, Callable[[Tables], DataFrame]] = {
     "commission_mismatches_recent": lambda t: com.commission_mismatches_recent(
-        t.ledger, t.wallets, t.users, t.merchants, t.products, t.commissions
+        t.timeline, t.wallets, t.users, t.merchants, t.products, t.commissions
     ),
-    "commission_accuracy": lambda t: com.commission_accuracy(t.ledger, t.wallets, t.merchants, t.commissions),
-    "mismatches_by_tier": lambda t: com.mismatches_by_tier(t.ledger, t.wallets, t.merchants, t.commissions),
+    "commission_accuracy": lambda t: com.commission_accuracy(t.timeline, t.wallets, t.merchants, t.commissions),
+    "mismatches_by_tier": lambda t: com.mismatches_by_tier(t.timeline, t.wallets, t.merchants, t.commissions),
     "mismatches_by_product": lambda t: com.mismatches_by_product(
-        t.ledger, t.wallets, t.merchants, t.products, t.commissions
+        t.timeline, t.wallets, t.merchants, t.products, t.commissions
     ),
     "mismatches_by_provider": lambda t: com.mismatches_by_provider(
-        t.ledger, t.wallets, t.merchants, t.products, t.providers, t.commissions
+        t.timeline, t.wallets, t.merchants, t.products, t.providers, t.commissions
     ),
     "expected_vs_actual": lambda t: com.expected_vs_actual(
-        t.ledger, t.wallets, t.merchants, t.products, t.commissions
+        t.timeline, t.wallets, t.merchants, t.products, t.commissions
     ),
     "duplicate_rule_impact": lambda t: com.duplicate_rule_impact(t.ledger),
     "duplicate_rule_impact_as_rate": lambda t: com.duplicate_rule_impact(t.ledger, as_rate=True),
-    "wrong_tier_used": lambda t: com.wrong_tier_used(t.ledger, t.wallets, t.merchants, t.products, t.commissions),
+    "wrong_tier_used": lambda t: com.wrong_tier_used(t.timeline, t.wallets, t.merchants, t.products, t.commissions),
     "commission_error_impact": lambda t: com.commission_error_impact(
-        t.ledger, t.wallets, t.merchants, t.commissions
+        t.timeline, t.wallets, t.merchants, t.commissions
     ),
-    "top_merchants_errors": lambda t: com.top_merchants_errors(t.ledger, t.wallets, t.merchants, t.commissions),
+    "top_merchants_errors": lambda t: com.top_merchants_errors(t.timeline, t.wallets, t.merchants, t.commissions),
     "accuracy_by_month": lambda t: com.accuracy_by_month(t.ledger, t.wallets, t.merchants, t.commissions),
     "pending_with_commission": lambda t: com.pending_with_commission(t.ledger),
     "enterprise_tier_check": lambda t: com.enterprise_tier_check(t.ledger, t.wallets, t.merchants, t.commissions),
     "premium_tier_check": lambda t: com.premium_tier_check(t.ledger, t.wallets, t.merchants, t.commissions),
-    "validation_report": lambda t: com.validation_report(t.ledger, t.wallets, t.merchants, t.commissions),
+    "validation_report": lambda t: com.validation_report(t.timeline, t.wallets, t.merchants, t.commissions),
     "first_active_rule": lambda t: com.first_active_rule(t.commissions),
 }
 
@@ -123,14 +159,24 @@ _REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
 _READ_MODELS: dict[str, Callable[[Tables], DataFrame]] = {
     "users_list": lambda t: views.users_list(t.users),
     "user_with_wallet": lambda t: views.user_with_wallet(t.users, t.wallets),
+    "user_with_wallet_of_users": lambda t: views.user_with_wallet(
+        _rows(t, "users", "UserID", _asked(t, "users", t.merchants)), t.wallets
+    ),
     "merchant_directory": lambda t: views.merchant_directory(t.merchants, t.users),
     "merchant_detail": lambda t: views.merchant_detail(t.merchants, t.users, t.wallets, t.status_requests),
     "merchant_transactions": lambda t: views.merchant_transactions(t.ledger, t.wallets, t.merchants),
+    "merchant_transactions_of_merchants": lambda t: _transactions_of(t, _asked(t, "merchants", t.status_requests)),
     "merchant_balance": lambda t: views.merchant_balance(t.wallets, t.users, t.merchants),
+    "merchant_balance_of_merchants": lambda t: views.merchant_balance(
+        t.wallets, t.users, _rows(t, "merchants", "MerchantID", _asked(t, "merchants", t.status_requests))
+    ),
     "product_catalogue": lambda t: views.product_catalogue(t.products, t.providers),
     "product_detail": lambda t: views.product_catalogue(t.products, t.providers, t.voucher_requests),
     "wallet_detail": lambda t: views.wallet_detail(t.wallets, t.users, t.topup_requests),
     "wallet_history": lambda t: views.wallet_history(t.ledger, t.products),
+    "wallet_history_of_wallets": lambda t: views.wallet_history(
+        _rows(t, "ledger", "WalletID", _wanted_wallets(t)), t.products
+    ),
     "transactions_search": lambda t: views.transactions_search(t.ledger, status=option(t, "status")),
     "transactions_search_of_wallets": lambda t: views.transactions_search(
         t.ledger, _wanted_wallets(t), option(t, "status")
@@ -147,6 +193,8 @@ _READ_MODELS: dict[str, Callable[[Tables], DataFrame]] = {
         t.settlements, t.merchants, defects.settlement_math_mismatch(t.settlements)
     ),
     "global_ledger": lambda t: views.global_ledger(t.ledger, t.wallets, t.users, t.products),
+    "global_ledger_of_users": lambda t: _ledger_of_users(t, _asked(t, "users", t.merchants)),
+    "global_ledger_second_page": lambda t: _second_page(t, option(t, "page")),
     "users_financial": lambda t: views.users_financial(t.users, t.wallets),
     "merchant_financials": lambda t: views.merchant_financials(t.merchants, t.users, t.wallets, t.ledger_amounts),
     "settlements_admin": lambda t: views.settlements_admin(t.settlements, t.merchants, t.users),
@@ -229,6 +277,10 @@ _JOBS: dict[str, Callable[[Tables], DataFrame]] = {
     "register_merchants_outcomes": lambda t: merchants.merchant_registration_outcomes(
         t.merchants, t.users, t.merchant_requests
     ),
+    "books_after_batches": lambda t: batches.books_after_batches(t.spark, t, scratch_folder(t.spark, "versions")),
+    "ghosts_after_increments": lambda t: ghosts.ghosts_after_increments(
+        t, Versions(t.spark, scratch_folder(t.spark, "ghosts"))
+    ),
     "audit_rows": lambda t: changes.table_diff(
         t.commissions,
         _rules_after(t),

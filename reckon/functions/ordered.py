@@ -54,10 +54,17 @@ def running_sum(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, name: str, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Add ``name``: sum of ``value`` over the rows of the key up to and including this one."""
+    return running_sums(df, keys, order, {name: value}, hot_rows)
+
+
+def running_sums(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], values: dict[str, str], hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """``running_sum`` of several columns (new name -> column) in one pass."""
     keys = list(keys)
     up_to_here = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     ordinary, hot = split_hot(df, keys, hot_rows)
-    result = ordinary.withColumn(name, F.sum(value).over(up_to_here))
+    result = ordinary.withColumns({name: F.sum(value).over(up_to_here) for name, value in values.items()})
     if hot is None:
         return result
 
@@ -65,15 +72,15 @@ def running_sum(
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         ranged.groupBy(*keys, "_range")
-        .agg(F.sum(value).alias("_total"))
-        .select(*keys, "_range", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_carried"))
+        .agg(*[F.sum(value).alias(f"_total_{name}") for name, value in values.items()])
+        .select(*keys, "_range", *[F.coalesce(F.sum(f"_total_{name}").over(before), F.lit(0)).alias(f"_carried_{name}") for name in values])
     )
     in_range = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = (
-        ranged.join(carried, [*keys, "_range"])
-        .withColumn(name, (F.sum(value).over(in_range) + F.col("_carried")).cast(result.schema[name].dataType))
-        .drop("_range", "_carried")
-    )
+    sums = {
+        name: (F.sum(value).over(in_range) + F.col(f"_carried_{name}")).cast(result.schema[name].dataType)
+        for name, value in values.items()
+    }
+    summed = ranged.join(carried, [*keys, "_range"]).withColumns(sums).drop("_range", *[f"_carried_{name}" for name in values])
     return result.unionByName(summed)
 
 

@@ -16,11 +16,11 @@ from reckon.functions.money import (
     is_mismatch,
     percentage,
 )
-from reckon.operators.shared import owners, recent, with_rules
+from reckon.operators.shared import Timeline, owners, recent, with_rules
 
 
 def _recent_with_rules(
-    ledger: DataFrame,
+    ledger: DataFrame | Timeline,
     wallets: DataFrame,
     merchants: DataFrame,
     commissions: DataFrame,
@@ -31,7 +31,7 @@ def _recent_with_rules(
 
 
 def commission_mismatches_recent(
-    ledger: DataFrame,
+    ledger: DataFrame | Timeline,
     wallets: DataFrame,
     users: DataFrame,
     merchants: DataFrame,
@@ -61,7 +61,7 @@ def commission_mismatches_recent(
 
 
 def commission_accuracy(
-    ledger: DataFrame, wallets: DataFrame, merchants: DataFrame, commissions: DataFrame, n: int = 1000
+    ledger: DataFrame | Timeline, wallets: DataFrame, merchants: DataFrame, commissions: DataFrame, n: int = 1000
 ) -> DataFrame:
     return (
         _recent_with_rules(ledger, wallets, merchants, commissions, n)
@@ -75,7 +75,7 @@ def _total_and_mismatches() -> list:
 
 
 def mismatches_by_tier(
-    ledger: DataFrame, wallets: DataFrame, merchants: DataFrame, commissions: DataFrame, n: int = 1000
+    ledger: DataFrame | Timeline, wallets: DataFrame, merchants: DataFrame, commissions: DataFrame, n: int = 1000
 ) -> DataFrame:
     return (
         _recent_with_rules(ledger, wallets, merchants, commissions, n)
@@ -87,7 +87,7 @@ def mismatches_by_tier(
 
 
 def mismatches_by_product(
-    ledger: DataFrame,
+    ledger: DataFrame | Timeline,
     wallets: DataFrame,
     merchants: DataFrame,
     products: DataFrame,
@@ -104,7 +104,7 @@ def mismatches_by_product(
 
 
 def mismatches_by_provider(
-    ledger: DataFrame,
+    ledger: DataFrame | Timeline,
     wallets: DataFrame,
     merchants: DataFrame,
     products: DataFrame,
@@ -124,7 +124,7 @@ def mismatches_by_provider(
 
 
 def expected_vs_actual(
-    ledger: DataFrame,
+    ledger: DataFrame | Timeline,
     wallets: DataFrame,
     merchants: DataFrame,
     products: DataFrame,
@@ -169,7 +169,7 @@ def duplicate_rule_impact(
 
 
 def wrong_tier_used(
-    ledger: DataFrame,
+    ledger: DataFrame | Timeline,
     wallets: DataFrame,
     merchants: DataFrame,
     products: DataFrame,
@@ -196,7 +196,7 @@ def wrong_tier_used(
 
 
 def commission_error_impact(
-    ledger: DataFrame, wallets: DataFrame, merchants: DataFrame, commissions: DataFrame, n: int = 1000
+    ledger: DataFrame | Timeline, wallets: DataFrame, merchants: DataFrame, commissions: DataFrame, n: int = 1000
 ) -> DataFrame:
     surplus = F.col("CommissionAmount") - expected_commission()
     return (
@@ -211,7 +211,7 @@ def commission_error_impact(
 
 
 def top_merchants_errors(
-    ledger: DataFrame, wallets: DataFrame, merchants: DataFrame, commissions: DataFrame, n: int = 1000
+    ledger: DataFrame | Timeline, wallets: DataFrame, merchants: DataFrame, commissions: DataFrame, n: int = 1000
 ) -> DataFrame:
     """Profiles are joined once more after the recent rows, as every profile of the owner is charged."""
     profiles = merchants.select("UserID", F.col("BusinessName").alias("Charged"))
@@ -273,7 +273,7 @@ def premium_tier_check(
 
 
 def validation_report(
-    ledger: DataFrame, wallets: DataFrame, merchants: DataFrame, commissions: DataFrame, n: int = 1000
+    ledger: DataFrame | Timeline, wallets: DataFrame, merchants: DataFrame, commissions: DataFrame, n: int = 1000
 ) -> DataFrame:
     """TotalFinancialError adds the deviations of all rows, also those within a cent."""
     return (

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reckon import schemas as s
+from reckon.functions.binary import binary_sums
 from reckon.functions.money import CENT
 from reckon.functions.ordered import HOT_ROWS, running_sum, with_previous
 from reckon.operators.readmodels import voucher_list
@@ -102,21 +103,15 @@ def bad_references(
 
 
 def float_drift(ledger: DataFrame, key: str = "WalletID") -> DataFrame:
-    """What adding commissions as binary floating point does to each group's total.
+    """What keeping commissions as binary floating point does to each group's total.
 
-    The floating-point total depends on the order of addition, so it is shown with four decimals.
+    The doubles are added without regard to order, so every digit shown is the same on every run.
     """
-    exact, binary = F.sum("CommissionAmount"), F.sum(F.col("CommissionAmount").cast("double"))
-    return (
-        ledger.groupBy(key)
-        .agg(exact.alias("DecimalTotal"), binary.alias("_binary"))
-        .select(
-            key,
-            "DecimalTotal",
-            F.round("_binary", 4).alias("DoubleTotal"),
-            F.round(F.abs(F.col("_binary") - F.col("DecimalTotal").cast("double")), 4).alias("Drift"),
-        )
-    )
+    exact = ledger.groupBy(key).agg(F.sum("CommissionAmount").alias("DecimalTotal"))
+    binary = binary_sums(ledger.filter(F.col("CommissionAmount").isNotNull()), [key], "CommissionAmount", "DoubleTotal")
+    both = exact.withColumnRenamed(key, "_key").join(binary, F.col("_key").eqNullSafe(F.col(key)), "left")
+    drift = F.abs(F.col("DoubleTotal") - F.col("DecimalTotal").cast("double"))
+    return both.select(F.col("_key").alias(key), "DecimalTotal", "DoubleTotal", drift.alias("Drift"))
 
 
 def null_balances(wallets: DataFrame, users: DataFrame) -> DataFrame:

@@ -6,11 +6,13 @@ number of keys. ``keys`` is a DataFrame with the id column, or None for all rows
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reckon import schemas as s
-from reckon.operators.shared import by_dimension, completed
+from reckon.operators.shared import Timeline, by_dimension, completed, first_rows, following
 
 _USER = ["UserID", "MSISDN", "FullName", "Email", "Role", "AccountTier", "ServiceStatus", "CreatedAt"]
 _WALLET = ["WalletID", "Balance", "CurrencyCode"]
@@ -153,15 +155,38 @@ def settlement_detail(settlements: DataFrame, merchants: DataFrame, keys: DataFr
     return _settlement_rows(pick(settlements, "SettlementID", keys), merchants)
 
 
-def global_ledger(ledger: DataFrame, wallets: DataFrame, users: DataFrame, products: DataFrame) -> DataFrame:
+def global_ledger(
+    ledger: DataFrame, wallets: DataFrame, users: DataFrame, products: DataFrame, keys: DataFrame | None = None
+) -> DataFrame:
+    """Ledger rows with owner and product, newest first. ``keys`` has the UserIDs that the reader may see, or all."""
     held = wallets.select("WalletID", "UserID", F.col("Balance").alias("WalletBalance")).join(
-        users.select("UserID", "FullName", "Role"), "UserID"
+        pick(users, "UserID", keys).select("UserID", "FullName", "Role"), "UserID"
     )
     return _with_product(ledger.join(held.drop("UserID"), "WalletID"), products).orderBy(
         F.col("CreatedTimestamp").desc(), "EntryID"
     )
 
 
+def global_ledger_page(
+    ledger: DataFrame | Timeline,
+    wallets: DataFrame,
+    users: DataFrame,
+    products: DataFrame,
+    n: int,
+    after: tuple[datetime.datetime, object] | None = None,
+) -> DataFrame:
+    """The next n rows of ``global_ledger`` after a row (CreatedTimestamp, EntryID), from the newest on without one.
+
+    Only a window of the ledger is read and only its n first rows are sorted, however long the list is.
+    """
+    owned = wallets.join(users.select("UserID"), "UserID", "left_semi").select("WalletID")
+
+    def shown(window: DataFrame, whole: bool) -> DataFrame:
+        return window.join(owned, "WalletID", "left_semi").join(products.select("ProductID"), "ProductID", "left_semi")
+
+    return global_ledger(first_rows(following(ledger, after), n, shown), wallets, users, products)
+
+
 def users_financial(users: DataFrame, wallets: DataFrame) -> DataFrame:
     return user_with_wallet(users, wallets).orderBy("UserID")
 

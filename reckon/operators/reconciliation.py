@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reckon.operators.shared import by_dimension, completed, completed_ghosts, ghosts, time_windows
+from reckon.operators.shared import Timeline, by_dimension, completed, completed_ghosts, first_rows, ghosts
 
 
 def ghost_count(ledger: DataFrame, vouchers: DataFrame | None) -> DataFrame:
@@ -112,23 +112,22 @@ def ghost_negative_balance(ledger: DataFrame, vouchers: DataFrame | None, wallet
     )
 
 
-def _first_ghosts(ledger: DataFrame, vouchers: DataFrame | None, n: int, newest: bool) -> DataFrame:
+def _first_ghosts(ledger: DataFrame | Timeline, vouchers: DataFrame | None, n: int, newest: bool) -> DataFrame:
     """Vouchers are looked up for a window of the ledger, which is widened until n rows have none."""
-    time = F.col("CreatedTimestamp")
-    rows = completed(ledger).select("EntryID", "WalletID", "Amount", "CreatedTimestamp")
-    for window, whole in time_windows(rows, n, newest):
+
+    def without_voucher(window: DataFrame, whole: bool) -> DataFrame:
+        rows = completed(window).select("EntryID", "WalletID", "Amount", "CreatedTimestamp")
         issued = vouchers
         if vouchers is not None and not whole:
-            issued = vouchers.join(window.select("EntryID"), "EntryID", "left_semi")
-        found = ghosts(window, issued)
-        if whole or found.limit(n).count() == n:
-            return found.orderBy(time.desc() if newest else time.asc(), "EntryID").limit(n)
-    raise AssertionError("the last window is the whole ledger")
+            issued = vouchers.join(rows.select("EntryID"), "EntryID", "left_semi")
+        return ghosts(rows, issued)
+
+    return first_rows(ledger, n, without_voucher, newest)
 
 
-def ghost_most_recent(ledger: DataFrame, vouchers: DataFrame | None, n: int = 10) -> DataFrame:
+def ghost_most_recent(ledger: DataFrame | Timeline, vouchers: DataFrame | None, n: int = 10) -> DataFrame:
     return _first_ghosts(ledger, vouchers, n, newest=True)
 
 
-def ghost_oldest(ledger: DataFrame, vouchers: DataFrame | None, n: int = 10) -> DataFrame:
+def ghost_oldest(ledger: DataFrame | Timeline, vouchers: DataFrame | None, n: int = 10) -> DataFrame:
     return _first_ghosts(ledger, vouchers, n, newest=False)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import datetime
+from collections.abc import Callable, Iterator, Sequence
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reckon import schemas as s
+from reckon.functions.ordered import frozen
+
+BUSY_DAY = 64  # times the rows that are wanted
 
 
 def completed(ledger: DataFrame) -> DataFrame:
@@ -49,8 +54,61 @@ def _newest_first() -> list[Column]:
     return [F.col("CreatedTimestamp").desc(), F.col("EntryID")]
 
 
+class Timeline:
+    """The ledger by time: its rows between two days, both inclusive and each optional, and the rows it has on each day.
+
+    A table set that keeps the counts finds newest and oldest rows without reading the rest. The counts only place a window: if they are
+    not up to date it is widened, never wrong. They are as many as the calendar has days.
+    """
+
+    def __init__(
+        self,
+        rows: Callable[[datetime.date | None, datetime.date | None], DataFrame],
+        days: Callable[[], list[tuple[datetime.date, int]]],
+    ):
+        self.rows, self._days = rows, days
+
+    @classmethod
+    def of(cls, ledger: DataFrame | Timeline) -> Timeline:
+        """That of a table set, or one that counts the ledger itself."""
+        if isinstance(ledger, Timeline):
+            return ledger
+        return cls(lambda first, last: between(ledger, first, last), listed(lambda: days_of(ledger)))
+
+    @property
+    def days(self) -> list[tuple[datetime.date, int]]:
+        """(day, rows), from the oldest day on."""
+        return self._days()
+
+
+def listed(counts: Callable[[], DataFrame]) -> Callable[[], list[tuple[datetime.date, int]]]:
+    """The days of a Timeline from counts (Day, Entries), which are read once; a day may have several."""
+
+    @cache
+    def days() -> list[tuple[datetime.date, int]]:
+        found = counts().filter(F.col("Day").isNotNull()).groupBy("Day").agg(F.sum("Entries").alias("Entries"))
+        return sorted((row["Day"], row["Entries"]) for row in found.collect())
+
+    return days
+
+
+def days_of(ledger: DataFrame) -> DataFrame:
+    """Day, Entries: how many rows the ledger has on each day."""
+    return ledger.groupBy(F.to_date("CreatedTimestamp").alias("Day")).agg(F.count("*").alias("Entries"))
+
+
+def between(ledger: DataFrame, first: datetime.date | None, last: datetime.date | None) -> DataFrame:
+    """Rows from the first to the last day, both inclusive, in comparisons that reach the scan."""
+    time = F.col("CreatedTimestamp")
+    if first is not None:
+        ledger = ledger.filter(time >= F.lit(first).cast("timestamp_ntz"))
+    if last is not None:
+        ledger = ledger.filter(time < F.lit(last + datetime.timedelta(days=1)).cast("timestamp_ntz"))
+    return ledger
+
+
 def recent(
-    ledger: DataFrame,
+    ledger: DataFrame | Timeline,
     wallets: DataFrame,
     merchants: DataFrame,
     n: int,
@@ -67,50 +125,85 @@ def recent(
     known = {"WalletID": held.select("WalletID")}
     if products is not None:
         known["ProductID"] = products.select("ProductID")
-    newest = _newest(ledger.select(*_ROW), known, n)
-    return newest.join(owners(wallets, merchants, users), "WalletID").orderBy(*_newest_first(), "MerchantID").limit(n)
 
-
-def _newest(ledger: DataFrame, known: dict[str, DataFrame], n: int) -> DataFrame:
-    """The newest ``n`` ledger rows whose ids are all in ``known``, looked up in ever wider time windows."""
-    for window, whole in time_windows(ledger, n):
+    def in_all(window: DataFrame, whole: bool) -> DataFrame:
+        window = window.select(*_ROW)
         for key, table in known.items():
             window = window.join(table, key, "left_semi")
-        if whole or window.limit(n).count() == n:
-            return window.orderBy(*_newest_first()).limit(n)
+        return window
+
+    newest = first_rows(ledger, n, in_all)
+    return newest.join(owners(wallets, merchants, users), "WalletID").orderBy(*_newest_first(), "MerchantID").limit(n)
+
+
+def first_rows(
+    ledger: DataFrame | Timeline, n: int, found: Callable[[DataFrame, bool], DataFrame], newest: bool = True
+) -> DataFrame:
+    """The newest (oldest) ``n`` rows of found(window, whether it is the whole ledger), ties by EntryID.
+
+    Windows are widened until one has n rows. These are written, so that what finds them runs once; there are at most n.
+    """
+    time = F.col("CreatedTimestamp")
+    order = [time.desc() if newest else time.asc(), F.col("EntryID")]
+    for window, whole in time_windows(Timeline.of(ledger), n, newest):
+        rows = frozen(found(window, whole).orderBy(*order).limit(n))
+        if whole or rows.count() == n:
+            return rows.orderBy(*order).limit(n)
     raise AssertionError("the last window is the whole ledger")
 
 
-def time_windows(ledger: DataFrame, n: int, newest: bool = True) -> Iterator[tuple[DataFrame, bool]]:
+def following(ledger: DataFrame | Timeline, after: tuple[datetime.datetime, object] | None) -> Timeline:
+    """The rows that come after a row (CreatedTimestamp, EntryID) in the list newest first; all of them after None."""
+    ledger = Timeline.of(ledger)
+    if after is None:
+        return ledger
+    at, entry = after
+    time, last_day = F.col("CreatedTimestamp"), at.date()
+    instant = F.lit(at).cast("timestamp_ntz")
+
+    def rows(first: datetime.date | None, last: datetime.date | None) -> DataFrame:
+        found = ledger.rows(first, last_day if last is None else min(last, last_day))
+        return found.filter((time < instant) | ((time == instant) & (F.col("EntryID") > F.lit(entry))))
+
+    return Timeline(rows, lambda: [(day, n) for day, n in ledger.days if day <= last_day])
+
+
+def time_windows(ledger: Timeline, n: int, newest: bool = True) -> Iterator[tuple[DataFrame, bool]]:
     """Parts of the ledger that hold its newest (oldest) rows, each wider than the one before, and whether it is all of it.
 
-    The first holds at least 2 n rows, the next 16 times as many. The edge is found from the numbers of rows per month, then per
-    day and minute within the last one needed, so nothing is sorted, and later steps read no more than the window.
+    The first holds at least 2 n rows, the next 16 times as many. Its edge is a day, found from the counts alone; of a day that has far
+    more rows than are wanted, and only of that, the minutes are counted.
     """
     wanted = 2 * n
-    time = F.col("CreatedTimestamp")
+    days = ledger.days[::-1] if newest else ledger.days
     while True:
-        edge, missing, inside = None, wanted, F.lit(True)
-        for unit in ("month", "day", "minute"):
-            start = F.date_trunc(unit, time).cast("timestamp_ntz").alias("start")
-            counts = ledger.filter(inside & time.isNotNull()).groupBy(start).count().collect()  # as many as the calendar has
-            for row in sorted(counts, key=lambda row: row["start"], reverse=newest):
-                edge = row["start"]
-                if row["count"] >= missing:
-                    inside = F.date_trunc(unit, time).cast("timestamp_ntz") == F.lit(edge)
-                    last = unit
-                    break
-                missing -= row["count"]
-            else:
-                yield ledger, True
-                return
-        if newest:
-            yield ledger.filter(time >= F.lit(edge)), False
+        seen = 0
+        for day, entries in days:
+            seen += entries
+            if seen >= wanted:
+                break
         else:
-            yield ledger.filter(time < F.lit(edge) + F.expr(f"INTERVAL 1 {last}")), False
+            yield ledger.rows(None, None), True
+            return
+        window = ledger.rows(day, None) if newest else ledger.rows(None, day)
+        if entries > BUSY_DAY * wanted:
+            window = _to_the_minute(window, ledger.rows(day, day), wanted - (seen - entries), newest)
+        yield window, False
         wanted *= 16
 
 
+def _to_the_minute(window: DataFrame, day: DataFrame, wanted: int, newest: bool) -> DataFrame:
+    """The window without the minutes of its first (last) day that are not needed for the wanted rows."""
+    minute = F.date_trunc("minute", "CreatedTimestamp").cast("timestamp_ntz").alias("minute")
+    counts = sorted(map(tuple, day.groupBy(minute).count().collect()), reverse=newest)  # at most 1440
+    for edge, entries in counts:
+        wanted -= entries
+        if wanted <= 0:
+            time = F.col("CreatedTimestamp")
+            return window.filter(time >= F.lit(edge) if newest else time < F.lit(edge + datetime.timedelta(minutes=1)))
+    return window
+
+
 def with_rules(rows: DataFrame, commissions: DataFrame) -> DataFrame:
     """Attach the active rules of the row's product and effective tier; duplicate rules repeat the row."""
     rules = commissions.filter(F.col("IsActive")).select(

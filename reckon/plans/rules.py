@@ -108,7 +108,13 @@ def rule_audit(commissions: DataFrame, products: DataFrame, requests: DataFrame,
 
 
 def adjust_tier_rates(commissions: DataFrame, adjustments: dict[str, Decimal]) -> DataFrame:
-    """Add each adjustment to the active rules of its tier. A column expression: no join on the few tiers."""
+    """Add each adjustment to the active rules of its tier. A column expression: no join on the few tiers.
+
+    Percentages have two decimals; an adjustment with more is refused, as it could not be applied whole.
+    """
+    for value in adjustments.values():
+        if value != round(value, 2):
+            raise ValueError(f"an adjustment of {value} has more than two decimals")
     return commissions.withColumn(
         "CommissionPercentage",
         (F.col("CommissionPercentage") + F.when(F.col("IsActive"), _adjustment(adjustments)).otherwise(0)).cast(

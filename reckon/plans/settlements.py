@@ -8,27 +8,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reckon import schemas as s
+from reckon.functions.ordered import HOT_ROWS, running_sums
 from reckon.operators.shared import completed
 
 _REQUEST = ["RequestID", "MerchantID", "PeriodStart", "PeriodEnd"]
 
 
 def calculate_settlements(
-    ledger: DataFrame, wallets: DataFrame, merchants: DataFrame, requests: DataFrame, as_of: datetime.date
+    ledger: DataFrame,
+    wallets: DataFrame,
+    merchants: DataFrame,
+    requests: DataFrame,
+    as_of: datetime.date,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """One pending settlement per request (RequestID, MerchantID, PeriodStart, PeriodEnd).
 
     A row counts when its time lies between both ends, inclusive: with dates the last day counts only
     its first instant. Requests may overlap; without rows the amounts are 0.
 
-    Periods are matched by equality on (merchant, month). With date periods the ledger is first summed
-    per wallet and day, which bounds the rows of a busy merchant by the calendar, and months that lie
-    wholly inside a period are matched by their total.
+    With date periods the ledger is first summed per wallet and day, which bounds the rows of a busy merchant by the
+    calendar, and periods are matched by equality on (merchant, month), whole months by their total. Periods with a time
+    of day are looked up in running sums.
     """
     held = wallets.select("WalletID", "UserID").join(merchants.select("UserID", "MerchantID"), "UserID")
     held = held.select("WalletID", "MerchantID")
     by_date = all(isinstance(requests.schema[c].dataType, T.DateType) for c in ("PeriodStart", "PeriodEnd"))
-    sums = (_by_day if by_date else _by_row)(completed(ledger), held, requests.select(*_REQUEST))
+    paid, asked = completed(ledger), requests.select(*_REQUEST)
+    sums = _by_day(paid, held, asked) if by_date else _by_time(paid, held, asked, hot_rows)
     gross, commission = (F.coalesce(F.col(c), F.lit(0)) for c in ("_gross", "_commission"))
     return sums.select(
         F.col("RequestID").alias("SettlementID"),
@@ -85,24 +93,40 @@ def _by_day(paid: DataFrame, held: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
-def _by_row(paid: DataFrame, held: DataFrame, requests: DataFrame) -> DataFrame:
-    """For periods with a time of day: an inner join, in which adaptive execution can split the rows of
-    a busy merchant. Spark does not see how far the periods unfold, so they must not be broadcast."""
-    time = F.col("CreatedTimestamp")
-    rows = paid.join(held, "WalletID").select(
+def _by_time(paid: DataFrame, held: DataFrame, requests: DataFrame, hot_rows: int) -> DataFrame:
+    """For periods with a time of day: sums up to the end of each period less those before its start.
+
+    The ends of all periods and the rows of the merchants they ask for lie in one order of time; one running sum over it
+    gives every end the total so far. However many periods overlap, a row is sorted once, and a busy merchant's rows
+    are summed in ranges.
+    """
+    asked = requests.filter((F.col("PeriodStart") <= F.col("PeriodEnd")) & F.col("MerchantID").isNotNull())
+    nothing = {name: F.lit(0).cast(kind) for name, kind in (("_gross", s.AMOUNT), ("_commission", s.COMMISSION))}
+    # Of equal times a start comes before the rows, which count, and an end after them.
+    starts, ends = (
+        asked.select("MerchantID", F.col(column).alias("_at"), F.lit(place).alias("_place"), "RequestID").withColumns(nothing)
+        for column, place in (("PeriodStart", -1), ("PeriodEnd", 1))
+    )
+    rows = paid.filter(F.col("CreatedTimestamp").isNotNull()).join(
+        held.join(asked.select("MerchantID").distinct(), "MerchantID", "left_semi"), "WalletID"
+    )
+    rows = rows.select(
         "MerchantID",
-        F.trunc(F.to_date(time), "month").alias("_month"),
-        time,
+        F.col("CreatedTimestamp").alias("_at"),
+        F.lit(0).alias("_place"),
+        F.lit(None).cast(requests.schema["RequestID"].dataType).alias("RequestID"),
         F.col("Amount").alias("_gross"),
         F.col("CommissionAmount").alias("_commission"),
     )
+    in_order = rows.unionByName(starts).unionByName(ends)
+    names = {"_gross": "_gross_so_far", "_commission": "_commission_so_far"}
+    summed = running_sums(
+        in_order, ["MerchantID"], [F.col("_at"), F.col("_place")], {new: old for old, new in names.items()}, hot_rows
+    )
     sums = (
-        _months(requests)
-        .hint("merge")
-        .join(rows, ["MerchantID", "_month"])
-        .filter(time.between(F.col("PeriodStart"), F.col("PeriodEnd")))
+        summed.filter(F.col("_place") != 0)
         .groupBy("RequestID")
-        .agg(F.sum("_gross").alias("_gross"), F.sum("_commission").alias("_commission"))
+        .agg(*[F.sum(F.when(F.col("_place") > 0, F.col(new)).otherwise(-F.col(new))).alias(old) for old, new in names.items()])
     )
     return requests.join(sums, "RequestID", "left")
 

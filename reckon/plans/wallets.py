@@ -13,7 +13,7 @@ from reckon.plans.requests import ARRIVAL, audit, first_reason, known
 def topup_outcomes(wallets: DataFrame, requests: DataFrame) -> DataFrame:
     """Requests with Reason, null when they apply."""
     reason = first_reason(
-        (F.col("Amount") > 0, "amount must be a positive number"), (F.col("_known"), "wallet not found")
+        (F.col("Amount") > 0, "nothing to add"), (F.col("_known"), "wallet not found")
     )
     return known(requests, "WalletID", wallets, "_known").withColumn("Reason", reason).drop("_known")
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -16,6 +16,7 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.parquet.pushdown.inFilterThreshold": "1000",  # look-ups by id are held against each bloom filter
 }
 
 
@@ -42,6 +43,11 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, for tables that a query writes and reads again."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def local_session(cores: int | str = "*", name: str = "reckon", memory: str = "8g") -> SparkSession:
     """A session for tests and benches on one machine; clusters bring their own and call ``configure``."""
     spark = (

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reckon import schemas as s
-from reckon.sources.tables import between
+from reckon.operators.shared import Timeline, between, days_of, listed
 
 AS_OF = datetime.date(1999, 1, 1)
 FIRST_PERIOD = datetime.date(1995, 1, 1)
@@ -197,6 +197,19 @@ class TestData:
         """The ledger from ``first`` to ``last``, both inclusive."""
         return between(self.ledger, first, last)
 
+    @cached_property
+    def _days(self):
+        """The files keep no counts of days, so they are taken once for a table set."""
+        return listed(lambda: days_of(self.ledger_amounts))
+
+    @property
+    def timeline_amounts(self) -> Timeline:
+        return Timeline(lambda first, last: between(self.ledger_amounts, first, last), self._days)
+
+    @property
+    def timeline(self) -> Timeline:
+        return Timeline(self.ledger_between, self._days)
+
     @cached_property
     def ledger(self) -> DataFrame:
         first_rate = self.commissions.filter(

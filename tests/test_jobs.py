@@ -1,3 +1,4 @@
+import bisect
 import datetime
 import random
 import re
@@ -50,8 +51,8 @@ def brute(busy, requests):
     return result
 
 
-@pytest.mark.parametrize("kind", ["DATE", "TIMESTAMP_NTZ"])
-def test_settlement_periods(spark, busy, kind):
+@pytest.mark.parametrize("kind, hot_rows", [("DATE", 10**6), ("TIMESTAMP_NTZ", 10**6), ("TIMESTAMP_NTZ", 50)])
+def test_settlement_periods(spark, busy, kind, hot_rows):
     rng = random.Random(5)
     requests = []
     for number in range(120):
@@ -61,10 +62,37 @@ def test_settlement_periods(spark, busy, kind):
             start, end = start.date(), end.date()
         requests.append((number, rng.choice([1, 1, 3, 4]), start, end))
     asked = spark.createDataFrame(requests, f"RequestID INT, MerchantID INT, PeriodStart {kind}, PeriodEnd {kind}")
-    found = settlements.calculate_settlements(*busy, asked, T0.date()).collect()
+    found = settlements.calculate_settlements(*busy, asked, T0.date(), hot_rows).collect()
     assert {r["SettlementID"]: (r["GrossAmount"], r["CommissionAmount"], r["NetAmount"]) for r in found} == brute(busy, requests)
 
 
+@pytest.mark.parametrize("hot_rows", [10**6, 500])
+def test_many_overlapping_periods_cost_one_pass(spark, hot_rows):
+    """10,000 periods of one merchant: no row meets a period, every row is sorted once."""
+    rng = random.Random(8)
+    minute = lambda k: T0 + datetime.timedelta(minutes=k)
+    rows = [(k, 1, Decimal(k % 17), Decimal(k % 5), "Completed", minute(rng.randrange(500) * 3)) for k in range(4000)]
+    ledger = spark.createDataFrame(
+        rows, "EntryID INT, WalletID INT, Amount DECIMAL(18,2), CommissionAmount DECIMAL(18,4), ProcessingStatus STRING, CreatedTimestamp TIMESTAMP_NTZ"
+    )
+    periods = [(k, 1, minute(a := rng.randrange(-5, 1500)), minute(a + rng.randrange(-3, 1200))) for k in range(10_000)]
+    requests = spark.createDataFrame(periods, "RequestID INT, MerchantID INT, PeriodStart TIMESTAMP_NTZ, PeriodEnd TIMESTAMP_NTZ")
+    held = spark.createDataFrame([(1, 1)], "WalletID INT, UserID INT"), spark.createDataFrame([(1, 1)], "UserID INT, MerchantID INT")
+    found = settlements.calculate_settlements(ledger, *held, requests, T0.date(), hot_rows)
+    times = sorted((r[5], r[2], r[3]) for r in rows)
+    upto = lambda t, side: (bisect.bisect_left if side else bisect.bisect_right)(times, t, key=lambda r: r[0])
+    totals = [(Decimal(0), Decimal(0))]
+    for _, gross, commission in times:
+        totals.append((totals[-1][0] + gross, totals[-1][1] + commission))
+    expected = {}
+    for k, _, start, end in periods:
+        (a, b), (c, d) = totals[upto(start, True)], totals[upto(end, False)]
+        expected[k] = (c - a, d - b) if start <= end else (0, 0)
+    assert {r["SettlementID"]: (r["GrossAmount"], r["CommissionAmount"]) for r in found.collect()} == expected
+    text = found._jdf.queryExecution().toString()
+    assert "Generate" not in text and "PeriodEnd" not in "".join(line for line in text.splitlines() if "Join" in line)
+
+
 def test_topups(spark, seed):
     requests = spark.createDataFrame(
         [(1, 1, Decimal("10.50"), T0), (2, 1, Decimal("4.50"), T0 + datetime.timedelta(days=1)), (3, 1, Decimal(0), T0),
@@ -77,8 +105,8 @@ def test_topups(spark, seed):
         audit = wallets.topup_audit(seed.wallets, requests, 7, hot_rows).orderBy("RequestID").collect()
         assert [(r["RequestID"], r["OldValue"], r["NewValue"]) for r in audit] == [(1, "515.5", "526"), (2, "526", "530.5")]
     outcomes = {r["RequestID"]: r["Reason"] for r in wallets.topup_outcomes(seed.wallets, requests).collect()}
-    assert outcomes == {1: None, 2: None, 3: "amount must be a positive number", 4: "wallet not found",
-                        5: "amount must be a positive number"}
+    assert outcomes == {1: None, 2: None, 3: "nothing to add", 4: "wallet not found",
+                        5: "nothing to add"}
 
 
 def test_latest_status_wins(spark, seed):
@@ -104,12 +132,32 @@ def test_diff_is_null_safe(spark):
                     ("4", "insert", "y", None, "9")}
 
 
+def test_diff_joins_only_buckets_that_differ(spark):
+    before = spark.range(20_000).selectExpr("id", "id % 7 AS x", "CAST(id AS STRING) AS y")
+    after = before.withColumn("x", F.expr("IF(id = 17, 100, x)")).filter("id <> 4000").union(spark.sql("SELECT 30000L, 1L, NULL"))
+    buckets = {r[0] for r in changes.changed_buckets(before, after, "id", ["x", "y"], 512).collect()}
+    of = spark.createDataFrame([(17,), (4000,), (30000,)], "id LONG").select(changes._bucket("id", 512))
+    assert buckets == {r[0] for r in of.collect()}
+    found = changes.table_diff(before, after, "id", ["x", "y"], 512)
+    assert {tuple(r) for r in found.collect()} == {
+        ("17", "update", "x", "3", "100"), ("4000", "delete", "x", "3", None), ("4000", "delete", "y", "4000", None), ("30000", "insert", "x", None, "1"),
+    }
+    text = found._sc._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "simple")
+    assert text.count("LeftSemi") >= 2
+    assert changes.table_diff(before, before, "id", ["x", "y"]).isEmpty()
+    swapped = before.withColumns({"x": F.col("y").cast("long"), "y": F.col("x").cast("string")})
+    assert changes.table_diff(before, swapped, "id", ["x", "y"], 1).count() == 2 * before.filter("x <> CAST(y AS LONG)").count()
+
+
 def test_tier_adjustment(seed):
     after = rules.adjust_tier_rates(seed.commissions, {"Premium": Decimal("1.5"), "Standard": Decimal("-1")})
-    rates = {(r["ProductID"], r["MerchantTier"]): r["CommissionPercentage"] for r in after.collect() if r["CommissionID"] != 37}
-    assert rates[(1, "Premium")] == 9 and rates[(1, "Standard")] == 4 and rates[(1, "Enterprise")] == 10
+    rates = {(r["ProductID"], r["MerchantTier"]): r["CommissionPercentage"] for r in after.collect() if r["CommissionID"] != 31}
+    assert rates[(1, "Premium")] == 5 and rates[(1, "Standard")] == 1 and rates[(1, "Enterprise")] == 5
     audit = rules.rate_adjustment_audit(seed.commissions, {"Premium": Decimal("1.50")}, 1).first()
-    assert (audit["RulesUpdated"], audit["NewValue"]) == (12, "Tier Premium adjusted by 1.5%")
+    assert (audit["RulesUpdated"], audit["NewValue"]) == (10, "Tier Premium adjusted by 1.5%")
+    with pytest.raises(ValueError, match="0.125"):
+        rules.adjust_tier_rates(seed.commissions, {"Premium": Decimal("0.125")})
+    assert rules.adjust_tier_rates(seed.commissions, {"Premium": Decimal("0.500")}).count() == 31
 
 
 def test_accepted_and_rejected_partition_the_requests(data):

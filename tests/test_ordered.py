@@ -116,3 +116,28 @@ def test_last_before_with_hot_keys(rows, many_ranges):
                 last[r["k"]] = r["w"]
         found = with_last_before(sparse, ["k"], ["t", "id"], "w", "before", hot_rows)
         assert {r["id"]: r["before"] for r in found.collect()} == expected
+
+
+def test_binary_sums_do_not_depend_on_the_order(spark):
+    """The same last digit for 1 and 200 partitions, and within a rounding of the exact sum."""
+    import math
+    import random
+    from fractions import Fraction
+
+    from reckon.functions.binary import binary_sums, parts
+
+    rng = random.Random(3)
+    values = [(k % 4, rng.choice([-1, 1]) * rng.random() * 10 ** rng.randrange(-30, 30)) for k in range(3000)]
+    values += [(5, 0.0), (6, None), (7, 0.1), (7, 0.2), (7, 0.3), (None, 1e16), (None, 1.0), (None, -1e16), (8, 5e-324), (8, 2.0**1000), (8, -0.0)]
+    df = spark.createDataFrame(values, "k INT, x DOUBLE")
+    found = [
+        {r["k"]: r["t"] for r in binary_sums(df.orderBy(F.rand(n)).repartition(n), ["k"], "x", "t").collect()} for n in (1, 200)
+    ]
+    assert found[0] == found[1]
+    for key in {k for k, _ in values}:
+        exact = sum((Fraction(x) for k, x in values if k == key and x is not None), Fraction(0))
+        assert math.isclose(found[0][key], float(exact), rel_tol=1e-15)
+    assert found[0][None] == 1.0 and found[0][7] == 0.6
+    for _, x, out in df.withColumn("p", parts(F.col("x"))).filter("x <> 0").collect():
+        assert sum(Fraction(p["part"]) * Fraction(2) ** (26 * p["level"]) for p in out) == Fraction(x)
+        assert all(abs(p["part"]) < 2**26 for p in out)

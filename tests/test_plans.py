@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from reckon.catalogue import QUERIES as OWN
+from reckon.functions.ordered import frozen
 from reckon.operators import commissions as com
 from reckon.operators import reconciliation as rec
 from reckon.operators import reports
 from reckon.operators.readmodels import pick
-from reckon.operators.shared import ghosts, owners, recent
+from reckon.operators.shared import Timeline, between, days_of, first_rows, ghosts, listed, owners, recent, time_windows
 from reckon.plans.wallets import topup_outcomes
 from reckon.sources import tables
 
@@ -74,12 +75,86 @@ def test_totals_are_taken_before_the_join(spark, stored, settings):
     assert "partial_sum(Amount" in below_join
 
 
-def test_recent_reads_a_time_window(spark, stored, settings):
+def test_newest_rows_come_from_the_count_table(spark, stored, settings):
+    """Only months of the window are read, in the window itself and in every job that finds it."""
     settings(spark__sql__autoBroadcastJoinThreshold="-1")
-    ledger, _, wallets, merchants, *_ = read(spark, stored)
-    for found in (recent(ledger, wallets, merchants, 10), rec.ghost_most_recent(ledger, None, 10)):
-        assert re.search(r"PushedFilters: \[.*GreaterThanOrEqual\(CreatedTimestamp", plan(found))
-    assert re.search(r"PushedFilters: \[.*LessThan\(CreatedTimestamp", plan(rec.ghost_oldest(ledger, None, 10)))
+    timeline = tables.StoredTables(spark, stored, datetime.date(2025, 6, 1)).timeline
+    window, whole = next(time_windows(timeline, 10))
+    assert not whole and re.search(r"PartitionFilters: \[.*LedgerMonth#\d+ >= ", plan(window))
+    assert re.search(r"PushedFilters: \[.*GreaterThanOrEqual\(CreatedTimestamp", plan(window))
+    window, _ = next(time_windows(timeline, 10, newest=False))
+    assert re.search(r"PartitionFilters: \[.*LedgerMonth#\d+ <= ", plan(window))
+    assert re.search(r"PushedFilters: \[.*LessThan\(CreatedTimestamp", plan(window))
+
+
+def test_other_months_are_not_read(spark, seed, tmp_path):
+    """A file that cannot be read lies in a month between the newest and the oldest rows."""
+    folder = str(tmp_path)
+    day = F.expr("make_interval(0, 0, 0, CAST(EntryID % 900 AS INT))")
+    ledger = seed.ledger.withColumn("CreatedTimestamp", F.lit(datetime.datetime(2022, 1, 1)).cast("timestamp_ntz") + day)
+    for name in ("vouchers", "wallets", "merchants", "commissions"):
+        tables.write_table(tables.conform(getattr(seed, name), name), folder, name)
+    tables.write_table(tables.conform(ledger, "ledger"), folder, "ledger")
+    stored = tables.StoredTables(spark, folder, datetime.date(2025, 6, 1))
+    days = stored.timeline.days
+    assert sum(n for _, n in days) == ledger.count() and days == sorted(days)
+    months = sorted((tmp_path / "TransactionLedger").glob("LedgerMonth=*"))
+    (months[len(months) // 2] / "part-broken.parquet").write_bytes(b"no parquet")
+    expected = OWN["ghost_most_recent"](stored).collect(), OWN["ghost_oldest"](stored).collect()
+    assert [len(rows) for rows in expected] == [10, 10]
+    assert [r["EntryID"] for r in expected[0]] == [r["EntryID"] for r in rec.ghost_most_recent(ledger, seed.vouchers).collect()]
+    assert [r["EntryID"] for r in expected[1]] == [r["EntryID"] for r in rec.ghost_oldest(ledger, seed.vouchers).collect()]
+    few = com.commission_accuracy(stored.timeline, stored.wallets, stored.merchants, stored.commissions, 20)
+    assert few.collect() == com.commission_accuracy(ledger, seed.wallets, seed.merchants, seed.commissions, 20).collect()
+
+
+def test_busy_day_is_cut_to_the_minute(spark):
+    rows = spark.range(20_000).select(
+        F.col("id").alias("EntryID"), F.expr("TIMESTAMP_NTZ'2025-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id * 4)").alias("CreatedTimestamp")
+    )
+    for newest, first in ((True, 19_999), (False, 0)):
+        window, whole = next(time_windows(Timeline.of(rows), 5, newest))
+        assert not whole and 10 <= window.count() <= 30
+        found = first_rows(rows, 5, lambda window, _: window, newest).collect()
+        assert [r["EntryID"] for r in found] == [first - k if newest else k for k in range(5)]
+
+
+@pytest.mark.parametrize("days", [[], [("1999-01-01", 7)], [("2025-01-01", 1_000_000)], [("2030-01-01", 5), (None, 3)]])
+def test_counts_that_are_not_up_to_date(spark, tiny, days):
+    """They place the window badly, but the rows found stay right."""
+    ledger, wallets, merchants = tiny
+    counts = spark.createDataFrame(days, "Day STRING, Entries LONG").selectExpr("CAST(Day AS DATE) AS Day", "Entries")
+    timeline = Timeline(lambda first, last: between(ledger, first, last), listed(lambda: counts))
+    assert newest(recent(timeline, wallets, merchants, 4)) == [(5, None), (4, 5), (4, 6), (3, None)]
+    assert newest(recent(timeline, wallets, merchants, 50))[0] == (5, None)
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 500])
+def test_pages_make_up_the_list(spark, data, size):
+    """Page after page, the list comes out whole and in order; rows of one instant are split between pages."""
+    from reckon.operators.readmodels import global_ledger, global_ledger_page
+
+    ledger = data.ledger.filter("EntryID % 50 = 1").withColumn("CreatedTimestamp", F.date_trunc("year", "CreatedTimestamp").cast("timestamp_ntz"))
+    rows = frozen(ledger.limit(20 if size < 500 else 2000))
+    tables = (data.wallets, data.users, data.products)
+    whole = [r["EntryID"] for r in global_ledger(rows, *tables).collect()]
+    timeline, found, after = Timeline.of(rows), [], None
+    while True:
+        page = global_ledger_page(timeline, *tables, size, after).collect()
+        assert len(page) <= size
+        if not page:
+            break
+        found += [r["EntryID"] for r in page]
+        after = page[-1]["CreatedTimestamp"], page[-1]["EntryID"]
+    assert found == whole
+
+
+def test_counts_are_appended_with_the_rows(spark, tiny, tmp_path):
+    ledger = tables.conform(tiny[0].withColumns({"ExternalReference": F.lit("x"), "ProcessingStatus": F.lit("Completed")}), "ledger")
+    for mode in ("overwrite", "append"):
+        tables.write_table(ledger, str(tmp_path), "ledger", mode)
+    stored = tables.StoredTables(spark, str(tmp_path), datetime.date(2025, 6, 1))
+    assert stored.timeline.days == [(row["Day"], row["Entries"]) for row in days_of(stored.ledger).orderBy("Day").collect()]
 
 
 def test_bucketed_tables_join_without_shuffle(spark, seed, settings, tmp_path):
