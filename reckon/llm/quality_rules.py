@@ -1,12 +1,12 @@
 """Quality rules: counted rules on words and lines, then a hashed n-gram log-likelihood ratio.
 
-Words and pairs of neighbouring words are hashed into buckets. Their counts over a trusted target and over the raw corpus make two
-multinomials; a document's ratio is the sum of log(target / raw) over its n-grams divided by their number, so long and short texts
-compare. Every document is judged against one fixed threshold: no draw, no quantile, no dependence on the other documents' verdicts.
+Words and pairs of neighbouring words are hashed into BUCKETS buckets, as many for every corpus. Their counts over a trusted target and over
+the raw corpus make two multinomials; a document's ratio is the sum of log(target / raw) over its n-grams divided by their number, so
+long and short texts compare. Its own n-grams are taken out of the counts that judge it, so no trusted document vouches for itself. Every document is
+judged against one fixed threshold: no draw, no quantile, no dependence on the other documents' verdicts.
 
-The raw counts cover all documents, the target all trusted ones, in a pass of its own. Bitmaps tell exactly which ids
-are trusted, so that ids are joined but no text is shuffled. Counts are added per task before they are shuffled, one row a bucket. They are taken in MOST_BUCKETS and folded to one bucket for GRAMS_A_BUCKET n-grams of the corpus, but BUCKETS at least:
-few n-grams in many buckets would tell the trusted documents by their own rare words.
+The raw counts cover all documents, the target all trusted ones; tasks add them up, one row a bucket. Which documents are trusted is told by a
+bitmap of a fixed size, then by a join of those that it lets through; the texts of the others are not shuffled.
 
 Null and empty texts have no words, fail the base rules and score 0. Repeated rows give repeated results. Without any trusted document
 the target equals the raw corpus and every score is 0. Columns other than doc_id and text are not read.
@@ -15,19 +15,18 @@ the target equals the raw corpus and every score is 0. Columns other than doc_id
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reckon.llm.shared import arrow, bitmap, in_bitmap, written
+from reckon.llm.shared import arrow, bitmap, in_bitmap
 from reckon.llm.textbytes import IS_SPACE, Chunk, chunks, column, covered, in_doc, mix, windows
 
-BUCKETS = 1 << 14
-MOST_BUCKETS = 1 << 18
-GRAMS_A_BUCKET = 48
-FILTER_BITS = 23  # at least, and four bits an id
+BUCKETS = 1 << 18
+FILTER_BITS = 23
 THRESHOLD = -0.15
 MIN_WORDS = 20
 MAX_REPEATED_PERCENT = 30
@@ -75,11 +74,6 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
 
 
-def table_size(n_grams: int) -> int:
-    """The number of buckets for a corpus of so many n-grams, a power of two."""
-    return min(max(BUCKETS, 1 << max(n_grams // GRAMS_A_BUCKET, 1).bit_length() - 1), MOST_BUCKETS)
-
-
 def gram_counts(texts: DataFrame, buckets: int) -> np.ndarray:
     """How many n-grams of all texts fall into each bucket."""
 
@@ -97,96 +91,85 @@ def gram_counts(texts: DataFrame, buckets: int) -> np.ndarray:
     return out
 
 
-def _hash(level: int) -> Column:
-    return F.xxhash64("doc_id", F.lit(level)).alias(f"h{level}")
-
-
-def trusted_marks(documents: DataFrame, trusted: DataFrame) -> list[np.ndarray]:
-    """Bitmaps that tell exactly which doc_ids of the documents are trusted: those that an odd number of them, in a row, let through.
-
-    The first one marks the trusted ids, each further one those that the one before lets through wrongly, until there are none.
-    """
+def told_apart(documents: DataFrame, trusted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, text, trusted of all documents, in two parts: those that a bitmap of the trusted ids leaves out, and the others, joined."""
     kind = documents.schema["doc_id"].dataType.simpleString()
-    trusted = trusted.select(F.col("doc_id").cast(kind))  # equal ids have equal hashes only in one type
-    ids = documents.select("doc_id").where("doc_id IS NOT NULL").distinct()
-    inside, outside = (written(ids.join(trusted, "doc_id", how)) for how in ("left_semi", "left_anti"))
-    marks: list[np.ndarray] = []
-    while True:
-        bits = max(FILTER_BITS, (4 * inside.count()).bit_length())
-        marks.append(table := bitmap(inside.select(_hash(len(marks))), bits))
-
-        def passed(batches: Iterator[pa.RecordBatch], table: np.ndarray = table) -> Iterator[pa.RecordBatch]:
+    ids = trusted.select(F.col("doc_id").cast(kind)).where("doc_id IS NOT NULL").distinct()  # equal ids have equal hashes only in one type
+    marks = bitmap(ids.select(F.xxhash64("doc_id")), FILTER_BITS)
+    rows = documents.select("doc_id", "text", (F.xxhash64("doc_id")).alias("h"), F.col("doc_id").isNotNull().alias("named"))
+
+    def part(inside: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                good = pa.array(in_bitmap(table, batch.column(1).to_numpy()))
-                yield pa.RecordBatch.from_arrays([column(batch, "doc_id").filter(good)], names=["doc_id"])
+                hit = in_bitmap(marks, column(batch, "h").to_numpy()) & column(batch, "named").to_numpy(zero_copy_only=False)
+                some = batch.filter(pa.array(hit == inside))
+                yield pa.RecordBatch.from_arrays([column(some, "doc_id"), column(some, "text")], names=["doc_id", "text"])
 
-        wrong = written(arrow(outside.select("doc_id", _hash(len(marks) - 1)), passed, f"doc_id {kind}"))
-        if wrong.isEmpty():
-            return marks
-        inside, outside = wrong, inside
+        return arrow(rows, run, f"doc_id {kind}, text string")
 
+    joined = part(True).join(ids.withColumn("trusted", F.lit(True)), "doc_id", "left")
+    return part(False).withColumn("trusted", F.lit(False)), joined.withColumn("trusted", F.coalesce("trusted", F.lit(False)))
 
-def trusted_texts(documents: DataFrame, trusted: DataFrame) -> DataFrame:
-    """The texts of the rows whose doc_id is trusted."""
-    marks = trusted_marks(documents, trusted)
 
-    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            on, odd = np.ones(batch.num_rows, bool), np.zeros(batch.num_rows, bool)
-            for level, table in enumerate(marks):
-                on &= in_bitmap(table, column(batch, f"h{level}").to_numpy())
-                odd ^= on
-            yield pa.RecordBatch.from_arrays([column(batch, "text").filter(pa.array(odd))], names=["text"])
+@dataclass
+class Counts:
+    """How many n-grams of all and of the trusted documents fall into each bucket."""
 
-    rows = documents.where("doc_id IS NOT NULL").select("text", *(_hash(level) for level in range(len(marks))))
-    return arrow(rows, some, "text string")
+    raw: np.ndarray
+    target: np.ndarray
 
+    def ratios(self, found: np.ndarray, own: np.ndarray, in_target: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """log(target / raw) of buckets without `own` n-grams of a document that has n, which is in the target or not."""
+        if not self.target.any():
+            return np.zeros(len(found))
+        out_of_target, n_out = np.where(in_target, own, 0), np.where(in_target, n, 0)
+        smooth = SMOOTHING * len(self.raw)
+        target = (self.target[found] - out_of_target + SMOOTHING) / (self.target.sum() - n_out + smooth)
+        return np.log(target) - np.log((self.raw[found] - own + SMOOTHING) / (self.raw.sum() - n + smooth))
 
-def fit(documents: DataFrame, trusted: DataFrame, buckets: int | None = None) -> np.ndarray:
-    """log(target / raw) of every bucket, from the raw counts of all documents and the target counts of the trusted ones.
 
-    Without a number of buckets it follows from the n-grams.
-    """
-    most = buckets or MOST_BUCKETS
-    raw = gram_counts(documents, most)
-    target = gram_counts(trusted_texts(documents, trusted.select("doc_id")), most)
-    buckets = buckets or table_size(int(raw.sum()))
-    raw, target = (SMOOTHING + counts.reshape(-1, buckets).sum(0) for counts in (raw, target))
-    if target.sum() == SMOOTHING * buckets:
-        return np.zeros(buckets)
-    return np.log(target / target.sum()) - np.log(raw / raw.sum())
+def fit(documents: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> Counts:
+    """The counts of all documents and of the trusted ones."""
+    _, maybe = told_apart(documents, trusted.select("doc_id"))
+    return Counts(gram_counts(documents, buckets), gram_counts(maybe.where("trusted"), buckets))
 
 
-def score(documents: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+def score(documents: DataFrame, trusted: DataFrame, counts: Counts, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, the base counts, base_failed, score (mean log ratio of the n-grams) and kept, for every document."""
-    buckets = len(ratios)
+    buckets = len(counts.raw)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            flags = column(batch, "trusted").to_numpy(zero_copy_only=False)
             for chunk in chunks(column(batch, "text")):
-                counts = base_counts(chunk)
+                base = base_counts(chunk)
                 found, doc = ngrams(chunk, buckets)
                 number = np.bincount(doc, minlength=chunk.n)
-                mean = np.bincount(doc, weights=ratios[found], minlength=chunk.n) / np.maximum(number, 1)
-                words = counts["n_words"]
-                failed = (words < MIN_WORDS) | (100 * counts["n_repeat_words"] > MAX_REPEATED_PERCENT * words)
+                pairs, own = np.unique(doc * buckets + found, return_counts=True)
+                doc, found = pairs // buckets, pairs % buckets
+                ratios = counts.ratios(found, own, flags[chunk.rows][doc], number[doc])
+                mean = np.bincount(doc, weights=own * ratios, minlength=chunk.n) / np.maximum(number, 1)
+                words = base["n_words"]
+                failed = (words < MIN_WORDS) | (100 * base["n_repeat_words"] > MAX_REPEATED_PERCENT * words)
                 yield pa.RecordBatch.from_arrays(
                     [
                         column(batch, "doc_id").slice(chunk.first, chunk.n),
-                        *(pa.array(v, pa.int64()) for v in counts.values()),
+                        *(pa.array(v, pa.int64()) for v in base.values()),
                         pa.array(failed),
                         pa.array(mean),
                         pa.array(~failed & (mean >= threshold)),
                     ],
-                    names=["doc_id", *counts, "base_failed", "score", "kept"],
+                    names=["doc_id", *base, "base_failed", "score", "kept"],
                 )
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     names = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
     schema = f"doc_id {kind}, {names}, base_failed boolean, score double, kept boolean"
-    return arrow(documents.select("doc_id", "text"), judge, schema)
+    others, maybe = told_apart(documents, trusted.select("doc_id"))
+    return arrow(others, judge, schema).unionByName(arrow(maybe, judge, schema))
 
 
 def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     documents = spark.read.parquet(f"{folder}/documents.parquet")
-    return score(documents, fit(documents, trusted_ids(spark.read.parquet(f"{folder}/labels.parquet"))))
+    trusted = trusted_ids(spark.read.parquet(f"{folder}/labels.parquet"))
+    return score(documents, trusted, fit(documents, trusted))

@@ -13,6 +13,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 from fixtures import SCHEMA, WORD, awkward_texts, documents, rows
+from pyspark.sql import functions as F
 
 from reckon.llm import bpe, classifier, lengths, quality_rules
 from reckon.llm.textbytes import chunks
@@ -46,7 +47,8 @@ def base_counts(text):
 
 def test_base_counts(spark, texts):
     docs = documents(spark, texts).withColumnRenamed("lang", "n_words")
-    out = quality_rules.score(docs, np.zeros(64)).collect()
+    none = np.zeros(64, np.int64)
+    out = quality_rules.score(docs, docs.select("doc_id").limit(0), quality_rules.Counts(none, none)).collect()
     assert len(out) == len(texts)
     for row in out:
         counts = base_counts(texts[row.doc_id])
@@ -61,11 +63,14 @@ def test_swapped_words_are_other_windows():
     assert quality_rules.base_counts(chunk)["n_repeat_words"][0] == base_counts(line)[4] == 0
 
 
-def test_ratio_is_that_of_the_counts(spark, texts):
+@pytest.mark.parametrize("bits", [23, 5])
+def test_ratio_is_that_of_the_other_documents(spark, texts, monkeypatch, bits):
+    """Also where the bitmap of trusted ids lets nearly all others through."""
+    monkeypatch.setattr(quality_rules, "FILTER_BITS", bits)
     docs = documents(spark, texts)
-    trusted = docs.where("doc_id % 3 = 1").select("doc_id")
-    ratios = quality_rules.fit(docs, trusted, buckets=128)
-    raw, target, grams = np.ones(128), np.ones(128), {}
+    trusted = docs.where("doc_id % 3 = 1").select(F.col("doc_id").cast("int"))
+    counts = quality_rules.fit(docs, trusted, buckets=128)
+    raw, target, grams = np.zeros(128), np.zeros(128), {}
     for i, text in enumerate(texts):
         for chunk in chunks(pa.array([text], pa.string())):
             grams[i] = quality_rules.ngrams(chunk, 128)[0]
@@ -73,47 +78,61 @@ def test_ratio_is_that_of_the_counts(spark, texts):
         assert len(grams[i]) == max(0, 2 * n - 1)
         raw += np.bincount(grams[i], minlength=128)
         target += np.bincount(grams[i], minlength=128) * (i % 3 == 1)
-    expected = np.log(target / target.sum()) - np.log(raw / raw.sum())
-    assert np.allclose(ratios, expected)
-    for row in quality_rules.score(docs, ratios, threshold=0.0).collect():
-        own = grams[row.doc_id]
-        assert math.isclose(row.score, expected[own].mean() if len(own) else 0.0, abs_tol=1e-9)
+    assert (counts.raw == raw).all() and (counts.target == target).all()
+    out = quality_rules.score(docs, trusted, counts, threshold=0.0).collect()
+    assert sorted(r.doc_id for r in out) == list(range(len(texts)))
+    for row in out:
+        own = np.bincount(grams[row.doc_id], minlength=128)
+        t, r = target - own * (row.doc_id % 3 == 1) + 1, raw - own + 1
+        expected = (own * (np.log(t / t.sum()) - np.log(r / r.sum()))).sum() / max(own.sum(), 1)
+        assert math.isclose(row.score, expected, abs_tol=1e-9)
         assert row.kept == (not row.base_failed and row.score >= 0)
 
 
 def test_no_trusted_documents(spark, texts):
     docs = documents(spark, texts)
-    assert not quality_rules.fit(docs, docs.select("doc_id").limit(0)).any()
+    counts = quality_rules.fit(docs, docs.select("doc_id").limit(0))
+    assert not counts.target.any()
+    assert all(r.score == 0 for r in quality_rules.score(docs, docs.select("doc_id").limit(0), counts).collect())
     empty = spark.createDataFrame([], SCHEMA)
-    assert quality_rules.score(empty, quality_rules.fit(empty, empty.select("doc_id"))).count() == 0
+    none = empty.select("doc_id")
+    assert quality_rules.score(empty, none, quality_rules.fit(empty, none)).count() == 0
 
 
 def test_every_trusted_document_counts(spark):
     """However many there are; if all documents are trusted, the target is the raw corpus."""
     docs = spark.range(20_500).selectExpr("id AS doc_id", "concat('w', id, ' v', id % 7) AS text")
     labels = docs.selectExpr("doc_id", "1 AS quality")
-    assert not quality_rules.fit(docs, quality_rules.trusted_ids(labels.union(labels.limit(9)))).any()
+    counts = quality_rules.fit(docs, quality_rules.trusted_ids(labels.union(labels.limit(9))))
+    assert (counts.target == counts.raw).all() and counts.raw.sum() == 3 * 20_500
 
 
-def test_trusted_texts_are_exact(spark, monkeypatch):
-    """Also where the bitmaps let many wrong ids through; repeated rows stay, rows without id are not trusted."""
-    monkeypatch.setattr(quality_rules, "FILTER_BITS", 5)
+def test_trusted_rows_are_told_apart(spark, monkeypatch):
+    """Repeated rows stay, rows without id are not trusted, ids may come in another type."""
+    monkeypatch.setattr(quality_rules, "FILTER_BITS", 6)
     docs = spark.range(900).selectExpr("IF(id < 890, id % 600, NULL) AS doc_id", "concat('t', id) AS text")
-    trusted = spark.range(2000).where("id % 3 = 0").selectExpr("CAST(id AS INT) AS doc_id")
-    assert len(quality_rules.trusted_marks(docs, trusted)) > 2
-    out = sorted(r.text for r in quality_rules.trusted_texts(docs, trusted).collect())
-    assert out == sorted(f"t{i}" for i in range(890) if i % 600 % 3 == 0)
-
-
-def test_table_grows_with_the_corpus(spark, texts, monkeypatch):
-    docs = documents(spark, texts)
-    trusted = docs.where("doc_id % 3 = 1").select("doc_id")
-    assert [quality_rules.table_size(n) for n in (0, 10**6, 10**7, 10**9, 10**12)] == [1 << 14, 1 << 14, 1 << 17, 1 << 18, 1 << 18]
-    monkeypatch.setattr(quality_rules, "BUCKETS", 64)
-    monkeypatch.setattr(quality_rules, "MOST_BUCKETS", 1 << 14)
-    ratios = quality_rules.fit(docs, trusted)
-    assert 64 < len(ratios) < 1 << 14
-    assert np.allclose(ratios, quality_rules.fit(docs, trusted, len(ratios)))
+    trusted = spark.range(2000).where("id % 9 = 0").selectExpr("CAST(id AS INT) AS doc_id")
+    others, maybe = quality_rules.told_apart(docs, trusted.union(trusted))
+    assert others.where("trusted").isEmpty() and not maybe.where("NOT trusted").isEmpty()
+    out = sorted((r.text, r.trusted) for r in others.union(maybe).collect())
+    assert out == sorted((f"t{i}", i < 890 and i % 600 % 9 == 0) for i in range(900))
+
+
+def test_no_document_vouches_for_itself(spark):
+    """A trusted document of words of its own scores no better than the same text without trust, and a score does not follow the corpus' size."""
+    words = lambda k, n=40: " ".join(f"w{(k * 37 + j * j) % 400}" for j in range(n))
+    texts = [words(k) for k in range(400)] + [" ".join(f"x{j}" for j in range(40)), " ".join(f"y{j}" for j in range(40))]
+
+    def scores(copies):
+        docs = spark.createDataFrame([(1000 * c + k, t) for c in range(copies) for k, t in enumerate(texts)], "doc_id long, text string")
+        trusted = docs.where("doc_id % 1000 < 400 AND doc_id % 2 = 0 OR doc_id % 1000 = 400").select("doc_id")
+        out = quality_rules.score(docs, trusted, quality_rules.fit(docs, trusted)).collect()
+        return {r.doc_id: r.score for r in out if r.doc_id < 1000}
+
+    once = scores(1)
+    assert abs(once[400] - once[401]) < 0.05
+    many, more = scores(6), scores(12)
+    assert max(abs(many[k] - more[k]) for k in range(400)) < 0.1
 
 
 def test_pre_tokens_and_merges(plain_encoder):
