@@ -270,4 +270,4 @@ class Repeats:
 
 
 def op9_repeats(spark: SparkSession, folder: str) -> DataFrame:
-    return Repeats(spark.read.parquet(f"{folder}/documents.parquet")).removed()
+    return Repeats(spark.read.parquet(f"{folder}/documents.parquet")).removed(with_text=True)
