@@ -5,9 +5,10 @@
    frequent parts, which may let some more through).
 2. A task counts in a HAT-trie: a shallow trie over ranges of first-word ids, whose leaves are containers that find phrases by hash. A
    container that grows beyond BURST phrases bursts into several; beyond MOST phrases in all the largest subtrees are spilled whole, as sorted
-   runs. Runs are merged in Spark, dealt by the phrase's prefix (all words but the last) and its last word, so that a prefix that
-   begins a third of all phrases is spread as well.
-3. Frequent phrases get their words from those of the prefix; cuts, scores and absorbed phrases are joins of frequent phrases alone.
+   runs of hashes (64 bits) and counts. Runs are merged in Spark, dealt by the whole phrase instead of its first word, as a word may begin a third
+   of all phrases.
+3. Only frequent phrases are named: a last reading gives their words, from a few documents each. Cuts, scores and absorbed phrases are joins
+   of frequent phrases alone.
 
 A-Z are lower-cased. Pieces end at [.,;:!?] and 0x0A-0x0D, words at space and tab; phrases stay within a piece. A null text is
 empty, a null language `und`. Texts may have any length; repeated rows count again. Only text and lang are read.
@@ -34,6 +35,7 @@ ABSORB = 100  # per cent of a phrase's occurrences that lie in one longer phrase
 BURST = 1 << 15
 MOST = 1 << 20
 WORDS_AT_ONCE = 200_000
+NAMINGS = 4
 LEAST_BITS, MOST_BITS = 16, 25
 TOGETHER = ((2,), (3,), (4, 5))  # lengths that are counted in one reading of the texts
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -62,7 +64,7 @@ def words_of(chunk: Chunk, langs: list[str]) -> tuple[np.ndarray, np.ndarray, np
 class HatTrie:
     """Counts of phrases in containers that cover ranges of paths; a path begins with bits of the first word's id.
 
-    Entries are columns of a matrix: path, gram (hash of the phrase), prefix, last, length, count.
+    Entries are columns of a matrix: path, gram (hash of the phrase), count.
     """
 
     def __init__(self, burst: int | None = None, most: int | None = None):
@@ -82,14 +84,13 @@ class HatTrie:
         new[1:] = (all_of[0, 1:] != all_of[0, :-1]) | (all_of[1, 1:] != all_of[1, :-1])
         begin = np.flatnonzero(new)
         out = all_of[:, begin]
-        out[5] = np.add.reduceat(all_of[5], begin)
+        out[2] = np.add.reduceat(all_of[2], begin)
         return out
 
-    def add(self, first: np.ndarray, gram: np.ndarray, prefix: np.ndarray, last: np.ndarray, length: int) -> None:
+    def add(self, first: np.ndarray, gram: np.ndarray) -> None:
         """Count one occurrence of each phrase."""
-        n = len(gram)
         path = (first & _HIGH) | (gram >> np.uint64(24))
-        rows = self.settled([np.vstack((path, gram, prefix, last, np.full(n, length, np.uint64), np.ones(n, np.uint64)))])
+        rows = self.settled([np.vstack((path, gram, np.ones(len(gram), np.uint64)))])
         cuts = np.concatenate(([0], np.searchsorted(rows[0], self.bounds), [rows.shape[1]]))
         grown = []
         for k, leaf in enumerate(self.leaves):
@@ -170,40 +171,98 @@ def word_counts(documents: DataFrame) -> DataFrame:
     return counts.groupBy("id", "lang", "word").agg(F.sum("n").alias("n"))
 
 
+def phrases_in(ids: np.ndarray, goes_on: np.ndarray, longest: int, filters: dict[int, np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, first words, hashes) of the phrases of 2 to `longest` words whose parts of m words filters[m] lets through, if there is one."""
+    at, gram = np.arange(len(ids)), ids
+    for length in range(2, longest + 1):
+        if length - 1 in filters:
+            some = np.flatnonzero(in_bitmap(filters[length - 1], gram))
+            at, gram = at[some], gram[some]
+        beside = at[1:] == at[:-1] + 1  # longer ones overlap, so both lie in one piece
+        next_to = np.flatnonzero(beside & goes_on[at[:-1]] if length == 2 else beside)
+        gram, at = gram[next_to], at[next_to]
+        gram = mix(gram * _BASE + ids[at + length - 1])
+        yield length, at, gram
+
+
 def gram_counts(documents: DataFrame, parts: np.ndarray, lengths: tuple[int, ...]) -> DataFrame:
-    """length, prefix, last, gram, n of the phrases of these lengths, whose parts of lengths[0] - 1 words a bitmap lets through."""
+    """gram, n of the phrases of these lengths, whose parts of lengths[0] - 1 words a bitmap lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = HatTrie()
 
-        def rows(run_: np.ndarray) -> pa.RecordBatch:
-            columns = [pa.array(run_[k].view(np.int64)) for k in (4, 2, 3, 1, 5)]
-            return pa.RecordBatch.from_arrays(columns, names=["length", "prefix", "last", "gram", "n"])
+        def rows(one: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(one[k].view(np.int64)) for k in (1, 2)], names=["gram", "n"])
 
         for batch in batches:
             langs = column(batch, "lang").to_pylist()
             for chunk in chunks(column(batch, "text")):
                 ids, _, _, goes_on = words_of(chunk, langs[chunk.rows])
-                at = np.arange(len(ids))  # where a phrase of so many words begins, and its hash
-                gram = ids
-                for length in range(2, lengths[-1] + 1):
-                    if length == lengths[0]:
-                        some = np.flatnonzero(in_bitmap(parts, gram))
-                        at, gram = at[some], gram[some]
-                    beside = at[1:] == at[:-1] + 1  # longer ones overlap, so both lie in one piece
-                    next_to = np.flatnonzero(beside & goes_on[at[:-1]] if length == 2 else beside)
-                    prefix, at = gram[next_to], at[next_to]
-                    last = ids[at + length - 1]
-                    gram = mix(prefix * _BASE + last)
-                    if length >= lengths[0] and len(at):
-                        trie.add(ids[at], gram, prefix, last, length)
+                for length, at, gram in phrases_in(ids, goes_on, lengths[-1], {lengths[0] - 1: parts}):
+                    if length in lengths and len(at):
+                        trie.add(ids[at], gram)
                 if trie.full():
                     yield from map(rows, trie.spilled(trie.most // 2))
         yield from map(rows, trie.spilled())
 
-    runs = arrow(_named(documents), run, "length long, prefix long, last long, gram long, n long")
-    key = ("length", "prefix", "last")
-    return runs.repartition(*key).groupBy(*key).agg(F.first("gram").alias("gram"), F.sum("n").alias("n"))
+    return arrow(_named(documents), run, "gram long, n long").repartition("gram").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def named_grams(documents: DataFrame, parts: np.ndarray, wanted: dict[int, np.ndarray], longest: int) -> DataFrame:
+    """gram, lang, ids, phrase of the phrases that a bitmap in wanted lets through, of which only one in so many documents gives the name.
+
+    Which ones follows from hashes of the phrase and the text. parts lets all parts of wanted phrases through, words included.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            all_langs, texts = column(batch, "lang").to_pylist(), column(batch, "h").to_numpy().view(np.uint64)
+            for chunk in chunks(column(batch, "text")):
+                langs, own = all_langs[chunk.rows], texts[chunk.rows]
+                ids, starts, ends, goes_on = words_of(chunk, langs)
+                doc, raw = chunk.doc_of(starts), chunk.lowered().data.tobytes()
+                out: list[tuple] = []
+                for length, at, gram in phrases_in(ids, goes_on, longest, dict.fromkeys(range(1, longest), parts)):
+                    drawn = mix(gram ^ own[doc[at]])
+                    named = np.zeros(len(gram), bool)
+                    for one_in, table in wanted.items():
+                        some = np.flatnonzero(drawn % np.uint64(one_in) == 0)
+                        named[some[in_bitmap(table, gram[some])]] = True
+                    some = np.flatnonzero(named)
+                    found, first = np.unique(gram[some], return_index=True)
+                    for key, i in zip(found.view(np.int64).tolist(), at[some][first].tolist(), strict=True):
+                        if key not in seen:
+                            seen.add(key)
+                            words = [raw[starts[j] : ends[j]] for j in range(i, i + length)]
+                            out.append((key, langs[doc[i]], ids[i : i + length].view(np.int64), b" ".join(words).decode()))
+                if out:
+                    kinds = (pa.int64(), pa.string(), pa.list_(pa.int64()), pa.string())
+                    columns = [pa.array(values, kind) for values, kind in zip(zip(*out, strict=True), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["gram", "lang", "ids", "phrase"])
+
+    rows = arrow(_named(documents).withColumn("h", F.xxhash64("text")), run, "gram long, lang string, ids array<long>, phrase string")
+    return rows.groupBy("gram").agg(*(F.min(name).alias(name) for name in ("lang", "ids", "phrase")))
+
+
+def named(documents: DataFrame, grams: DataFrame, words: DataFrame, least: int, longest: int) -> DataFrame:
+    """gram, lang, ids, phrase, n of the frequent phrases (gram, n), parts of which are the words (gram).
+
+    A phrase with n occurrences takes its name from about one in n / NAMINGS documents, so that not every task names it; what so
+    gets none, as its occurrences are in a few documents, is looked for in all.
+    """
+    parts = _filter(grams.select("gram").union(words))
+    wanted, low = {}, least
+    most = grams.agg(F.max("n")).first()[0] or 0
+    while low <= most:  # as many steps as the counts have powers of eight
+        some = grams.where(F.col("n").between(low, 8 * low - 1)).select("gram")
+        wanted[max(1, low // NAMINGS)] = _filter(some)
+        low *= 8
+    first = written(named_grams(documents, parts, wanted, longest).join(grams, "gram"))
+    missing = grams.join(first.select("gram"), "gram", "left_anti")
+    if (left := missing.select("gram")).isEmpty():
+        return first
+    return first.union(named_grams(documents, parts, {1: _filter(left)}, longest).join(missing, "gram"))
 
 
 def _filter(hashes: DataFrame) -> np.ndarray:
@@ -215,27 +274,16 @@ def frequent_phrases(documents: DataFrame, least: int = LEAST, longest: int = LO
     """lang, ids (of the words), phrase, a of all phrases of up to `longest` words with a >= least; and lang, n, the words of each language."""
     words = written(word_counts(documents))
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    single = written(words.where(F.col("n") >= least))
-    levels = {1: single.select(F.col("id").alias("gram"), "lang", F.array("id").alias("ids"), F.col("word").alias("phrase"), F.col("n").alias("a"))}
-    end = single.select(F.col("id").alias("last"), F.col("word").alias("last_word"))
+    single = words.where(F.col("n") >= least)
+    found, before = [], single.select(F.col("id").alias("gram"))
     for together in TOGETHER:
-        lengths = tuple(m for m in together if m <= longest)
-        if not lengths:
-            break
-        grams = written(gram_counts(documents, _filter(levels[lengths[0] - 1].select("gram")), lengths).where(F.col("n") >= least))
-        for m in lengths:
-            before = levels[m - 1].withColumnRenamed("gram", "prefix").drop("a")
-            named = grams.where(F.col("length") == m).join(before, "prefix").join(end, "last")
-            levels[m] = written(
-                named.select(
-                    "gram",
-                    "lang",
-                    F.concat("ids", F.array("last")).alias("ids"),
-                    F.concat_ws(" ", "phrase", "last_word").alias("phrase"),
-                    F.col("n").alias("a"),
-                )
-            )
-    return reduce(DataFrame.unionByName, levels.values()).drop("gram"), totals
+        if lengths := tuple(m for m in together if m <= longest):
+            found.append(written(gram_counts(documents, _filter(before), lengths).where(F.col("n") >= least)))
+            before = found[-1].select("gram")
+    grams = reduce(DataFrame.unionByName, found)
+    phrases = named(documents, grams, single.select(F.col("id").alias("gram")), least, longest)
+    one = single.select("lang", F.array("id").alias("ids"), F.col("word").alias("phrase"), F.col("n").alias("a"))
+    return written(one.unionByName(phrases.select("lang", "ids", "phrase", F.col("n").alias("a")))), totals
 
 
 def collocations(documents: DataFrame, least: int = LEAST, longest: int = LONGEST, absorb: int = ABSORB) -> DataFrame:
