@@ -397,7 +397,7 @@ DEFECTS = {
         WHERE Reference IS NULL OR length(Reference) > 20 OR NOT regexp_full_match(Reference, '[A-Z]+-[0-9]+')""",
     # The bits of every double in parts of 26, added as whole numbers, from the heaviest on.
     "float_drift": f"""
-        WITH parts AS (
+        SELECT * FROM (WITH parts AS (
             SELECT WalletID, level, sum(CAST(floor(x / pow(2.0, 26 * level)) AS HUGEINT)
                                         - 67108864 * CAST(floor(x / pow(2.0, 26 * level + 26)) AS HUGEINT)) AS total
             FROM (SELECT WalletID, CAST(CommissionAmount AS DOUBLE) AS x FROM TransactionLedger), range(-4, 3) AS l(level)
@@ -409,7 +409,7 @@ DEFECTS = {
         SELECT l.WalletID, {money('l.total', 'DecimalTotal')}, t.t AS DoubleTotal,
                abs(t.t - CAST(l.total AS DOUBLE)) AS Drift
         FROM (SELECT WalletID, sum(CommissionAmount) AS total FROM TransactionLedger GROUP BY WalletID) l
-        JOIN totals t ON t.WalletID = l.WalletID""",
+        JOIN totals t ON t.WalletID = l.WalletID)""",
     "null_balances": """
         SELECT w.WalletID, w.UserID, u.FullName, u.ServiceStatus, w.LastUpdated
         FROM Wallets w JOIN Users u ON u.UserID = w.UserID WHERE w.Balance IS NULL""",
