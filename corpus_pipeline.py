@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from reckon.llm.bpe import encode
 from reckon.llm.classifier import classify, fit, sample_ids
 from reckon.llm.mixing import mixed
-from reckon.llm.near import near_duplicates
+from reckon.llm.near import representatives, row_digest
 from reckon.llm.secrets import redact
 from reckon.llm.shared import shared_folder
 
@@ -29,15 +29,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest doc_id.
+    """One document of each group of near duplicates, that of the smallest doc_id; documents without words are in no group and stay.
 
-    Of rows with the same doc_id the least stays, found before the shuffle; rows without doc_id are in no group and stay.
+    Texts that share a doc_id are judged and kept one by one, as are those without doc_id, which come last in their group. Rows that repeat
+    both doc_id and text are one document: the least of their other columns stays, found before the shuffle.
     """
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    rest = [name for name in COLUMNS if name != "doc_id"]
-    one = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("_row"))
-    one = one.join(kept, "doc_id", "left_semi").select("doc_id", "_row.*")
-    return one.unionByName(docs.where("doc_id IS NULL").select(*COLUMNS)).select(*COLUMNS)
+    digest = ["_row", "_row2"]
+    rows = docs.select(*COLUMNS, *row_digest())
+    one = rows.join(representatives(docs), digest, "left_semi").groupBy(*digest).agg(F.min(F.struct(*COLUMNS)).alias("_kept"))
+    return one.select("_kept.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,12 +5,12 @@
    most d blocks: their first d + 1 non-empty blocks, in any common order, hold an equal one (shingles.keys). The blocks are joined
    by equality. Frequent blocks, found in a sample of classes, come last in the order; the order cannot change the result.
 3. Pairs that meet are tested by odd sketches (one bit flipped a shingle: the Hamming distance never exceeds the symmetric
-   difference), then exactly on the shingle sets.
-4. Components come first, and for them no group is expanded into all pairs: every member is tested against the least member of its
-   group and a few before it; then only groups that still span several components are compared across components, by bits, in blocks
-   of GROUP members.
-5. Links come from the components: similar classes always lie in one, so all pairs of classes of a component are tested by sizes, bits
-   and exactly on the shingle sets, in pairs of blocks, each pair once (linked). They are counted there, or returned as pairs (links).
+   difference). What may be similar makes candidate components, and for them no group is expanded into all pairs: every member is tested
+   against the least member of its group and a few before it; then only groups that still span several components are
+   compared across components, by bits, in blocks of GROUP members.
+4. Similar classes always lie in one candidate component, so all pairs of classes of a component are tested by sizes, bits and exactly on
+   the shingle sets, in pairs of blocks, each pair once (linked). Links are counted there, or returned as pairs (links); a
+   forest of them gives the components.
 
 Null and empty texts and such without words have no shingles and stand alone. A text of fewer than five words is one shingle. Repeated
 rows give repeated results; a doc_id with several texts is judged by each of them. Only doc_id and text are read.
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reckon.llm import shingles
@@ -51,7 +51,8 @@ def _class_ids(one: np.ndarray, two: np.ndarray) -> pa.Array:
 
 
 def sets_of(documents: DataFrame, load: float = shingles.LOAD) -> DataFrame:
-    """doc_id, n_shingles, class (128 bits), handle (64 of them), sketch, and whether the keys are too few to be sure (short)."""
+    """The columns but text, n_shingles, class (128 bits), handle (64 of them), sketch, and whether the keys are too few to be sure (short)."""
+    own = [name for name in documents.columns if name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -60,19 +61,18 @@ def sets_of(documents: DataFrame, load: float = shingles.LOAD) -> DataFrame:
                 size, one, two = shingles.digests(found, owner, chunk.n)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        column(batch, "doc_id").slice(chunk.first, chunk.n),
+                        *(column(batch, name).slice(chunk.first, chunk.n) for name in own),
                         pa.array(size, pa.int64()),
                         _class_ids(one, two),
                         _long(one),
                         pa.array(shingles.odd_sketch(found, owner, size), pa.binary()),
                         pa.array(shingles.unsure(found, owner, size, load)),
                     ],
-                    names=["doc_id", "n_shingles", "class", "handle", "sketch", "short"],
+                    names=[*own, "n_shingles", "class", "handle", "sketch", "short"],
                 )
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_shingles long, class binary, handle long, sketch binary, short boolean"
-    return arrow(documents.select("doc_id", "text"), run, schema)
+    kinds = ", ".join(f"`{name}` {documents.schema[name].dataType.simpleString()}" for name in own)
+    return arrow(documents, run, f"{kinds}, n_shingles long, class binary, handle long, sketch binary, short boolean")
 
 
 def block_keys(
@@ -204,17 +204,6 @@ def shingles_of(needed: DataFrame, classes: DataFrame, documents: DataFrame) ->
     return marked.join(needed, "class", "left_semi").dropDuplicates(["class"])
 
 
-def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar, decided on the shingle sets."""
-    needed = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    sets = written(shingles_of(needed, classes, documents))
-    both = pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("x")), "a")
-    both = both.join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    union = F.size("x") + F.size("y") - common
-    return both.where(shingles.OVER * common >= shingles.UNDER * union).select("a", "b")
-
-
 def _compare(group: np.ndarray, rows: dict[str, list]) -> set[tuple[bytes, bytes]]:
     """Probable pairs of classes within each group of rows, which are sorted by group, between different components."""
     code: dict[bytes, int] = {}
@@ -309,11 +298,35 @@ def _links(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield i[similar], j[similar]
 
 
+def _forest(pairs: Iterator[tuple[np.ndarray, np.ndarray]], size: int, total: np.ndarray, n_rows: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that join what the pairs join, fewer than size; adds the rows behind each pair to the totals of both sides."""
+    root, edges = np.arange(size), []
+    for i, j in pairs:
+        np.add.at(total, i, n_rows[j])
+        np.add.at(total, j, n_rows[i])
+        while True:
+            x, y = root[i], root[j]
+            apart = np.flatnonzero(x != y)
+            if not len(apart):
+                break
+            i, j = i[apart], j[apart]
+            low, high = np.minimum(x[apart], y[apart]), np.maximum(x[apart], y[apart])
+            hook = np.arange(size)
+            np.minimum.at(hook, high, low)
+            hooked = np.flatnonzero(hook != np.arange(size))
+            edges += list(zip(hooked.tolist(), hook[hooked].tolist(), strict=True))
+            while (hook[hook] != hook).any():
+                hook = hook[hook]
+            root = hook[root]
+    return edges
+
+
 def linked(roots: DataFrame, classes: DataFrame, documents: DataFrame, pairs: bool = False) -> DataFrame:
-    """class and n_linked, the rows of the classes that it is similar to; with pairs, all similar pairs (a, b) of classes, a < b.
+    """a, b, n: with null b the rows of the classes that class a is similar to, else an edge of a forest that joins all similar classes.
 
-    roots has the components of all links. Components of more than GROUP classes or GROUP_SHINGLES shingles are dealt into blocks,
-    each pair of blocks a group of its own; a set is sent once for each block of its component, not for each pair.
+    With pairs instead all similar pairs (a, b) of classes, a < b. roots has components within which all links lie. Components of more
+    than GROUP classes or GROUP_SHINGLES shingles are dealt into blocks, each pair of blocks a group of its own; a set is sent once for
+    each block of its component, not for each pair.
     """
     named = roots.select(F.col("node").alias("class"), "root").union(roots.select(F.col("root").alias("class"), "root").distinct())
     named = written(named)
@@ -327,21 +340,19 @@ def linked(roots: DataFrame, classes: DataFrame, documents: DataFrame, pairs: bo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches):
             names, n_rows = table["class"].to_pylist(), table["n_rows"].to_numpy()
-            total = np.zeros(len(names), np.int64)
-            for i, j in _links(table):
-                if pairs:
+            if pairs:
+                for i, j in _links(table):
                     both = [sorted((names[x], names[y])) for x, y in zip(i, j, strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in both], pa.binary()) for k in (0, 1)], names=["a", "b"])
-                np.add.at(total, i, n_rows[j])
-                np.add.at(total, j, n_rows[i])
-            if not pairs:
-                some = np.flatnonzero(total)
-                own = pa.array([names[k] for k in some], pa.binary())
-                yield pa.RecordBatch.from_arrays([own, pa.array(total[some])], names=["class", "n_linked"])
+                continue
+            total = np.zeros(len(names), np.int64)
+            edges = _forest(_links(table), len(names), total, n_rows)
+            some = np.flatnonzero(total)
+            a = pa.array([*(names[k] for k in some), *(names[x] for x, _ in edges)], pa.binary())
+            b = pa.array([*[None] * len(some), *(names[y] for _, y in edges)], pa.binary())
+            yield pa.RecordBatch.from_arrays([a, b, pa.array([*total[some].tolist(), *[None] * len(edges)], pa.int64())], names=["a", "b", "n"])
 
-    if pairs:
-        return arrow(rows, run, "a binary, b binary")
-    return arrow(rows, run, "class binary, n_linked long").groupBy("class").agg(F.sum("n_linked").alias("n_linked"))
+    return arrow(rows, run, "a binary, b binary" + ", n long" * (not pairs))
 
 
 def across(shared: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
@@ -399,8 +410,8 @@ def _by_shingles(short: DataFrame, documents: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _grouped(documents: DataFrame, load: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The sets of all rows, the classes of equal ones, and the components (node, root) of the similar classes."""
+def _candidates(documents: DataFrame, load: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sets of all rows, the classes of equal ones, and components (node, root) of classes within which all similar ones lie."""
     sets = written(sets_of(documents, load))
     filled = sets.where("n_shingles > 0")
     classes = written(
@@ -409,12 +420,19 @@ def _grouped(documents: DataFrame, load: float) -> tuple[DataFrame, DataFrame, D
         )
     )
     shared = written(shared_keys(block_keys(documents, *frequent_keys(documents, load), load=load)))
-    roots = components(verified(written(probable(neighbours(shared), classes)), classes, documents))
-    more = written(across(shared.select("key", "handle"), roots, classes))
-    links = roots.toDF("a", "b").union(verified(more, classes, documents))
+    roots = components(written(probable(neighbours(shared), classes)))
+    more = roots.toDF("a", "b").union(across(shared.select("key", "handle"), roots, classes))
     if not (short := classes.where("short")).isEmpty():
-        links = links.union(verified(written(probable(_by_shingles(short, documents), classes)), classes, documents))
-    return sets, classes, components(links)
+        more = more.union(probable(_by_shingles(short, documents), classes))
+    return sets, classes, components(more)
+
+
+def _grouped(documents: DataFrame, load: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Sets, classes, the components (node, root) of similar classes, and class, n_linked: the rows of the classes it is similar to."""
+    sets, classes, roots = _candidates(documents, load)
+    found = written(linked(roots, classes, documents))
+    n_linked = found.where("b IS NULL").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("n_linked"))
+    return sets, classes, components(found.where("b IS NOT NULL").select("a", "b")), n_linked
 
 
 def near_duplicates(documents: DataFrame, load: float = shingles.LOAD, n_links: bool = False) -> DataFrame:
@@ -424,26 +442,45 @@ def near_duplicates(documents: DataFrame, load: float = shingles.LOAD, n_links:
     With n_links also the number of links of each row: to the rows of similar sets and the other rows of the equal set.
     """
     documents = documents.select("doc_id", "text")
-    sets, classes, roots = _grouped(documents, load)
+    sets, classes, roots, n_linked = _grouped(documents, load)
     names = ["doc_id", "n_shingles", "component_id"] + ["n_links"] * n_links
     least = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     ids = least.groupBy("root").agg(F.min("rep").alias("component_id"))
     ids = least.select("class", "root", "n_rows").join(ids, "root")
     if n_links:
-        ids = ids.join(written(linked(roots, classes, documents)), "class", "left")
+        ids = ids.join(n_linked, "class", "left")
         ids = ids.withColumn("n_links", F.coalesce("n_linked", F.lit(0)) + F.col("n_rows") - 1)
     filled, bare = sets.where("n_shingles > 0"), sets.where("n_shingles = 0")
     joined = filled.select("doc_id", "n_shingles", "class").join(ids.select("class", *names[2:]), "class").select(*names)
     return joined.unionByName(bare.withColumns({"component_id": F.col("doc_id"), "n_links": F.lit(0).cast("long")}).select(*names))
 
 
+def row_digest() -> list[Column]:
+    """_row, _row2: 128 bits that tell rows of another doc_id or text apart."""
+    return [F.xxhash64("doc_id", "text").alias("_row"), F.xxhash64(F.lit(1), "text", "doc_id").alias("_row2")]
+
+
+def representatives(documents: DataFrame, load: float = shingles.LOAD) -> DataFrame:
+    """_row, _row2 of the rows that stand for all: of each component of near duplicates one, and every row without shingles.
+
+    That is the row of the smallest doc_id (null comes last), among texts of one doc_id the one with the least digest. Every text of a
+    doc_id is judged on its own; rows that agree in doc_id and text are one row here.
+    """
+    sets, classes, roots, _ = _grouped(documents.select("doc_id", "text", *row_digest()), load)
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "class", "_row", "_row2")
+    of_class = sets.where("n_shingles > 0").groupBy("class").agg(F.min(row).alias("least"))
+    of_root = of_class.join(roots.withColumnRenamed("node", "class"), "class", "left").groupBy(F.coalesce("root", "class").alias("root"))
+    kept = of_root.agg(F.min("least").alias("least")).select("least._row", "least._row2")
+    return kept.union(sets.where("n_shingles = 0").select("_row", "_row2").distinct())
+
+
 def links(documents: DataFrame, load: float = shingles.LOAD) -> tuple[DataFrame, DataFrame]:
     """All similar pairs (a, b) of different classes, a < b, and the class of every row: doc_id, n_shingles, class.
 
     Rows of one class are linked too. Rows without shingles are in no class.
     """
     documents = documents.select("doc_id", "text")
-    sets, classes, roots = _grouped(documents, load)
+    sets, classes, roots = _candidates(documents, load)
     return linked(roots, classes, documents, pairs=True), sets.where("n_shingles > 0").select("doc_id", "n_shingles", "class")
 
 

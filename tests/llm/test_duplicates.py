@@ -138,6 +138,34 @@ def test_common_block_in_every_order():
         assert shingles.probable(sketches, size, np.array([0]), np.array([1])).all() == similar(a, b)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_forest_joins_what_the_pairs_join(seed):
+    rng = np.random.default_rng(seed)
+    size = 200
+    pairs = [(rng.integers(0, size, n), rng.integers(0, size, n)) for n in (60, 0, 50, 40)]
+    pairs = [(i[i != j], j[i != j]) for i, j in pairs]
+    n_rows, total = rng.integers(1, 9, size), np.zeros(size, np.int64)
+    edges = near._forest(iter(pairs), size, total, n_rows)
+    expected = np.zeros(size, np.int64)
+    root, forest = list(range(size)), list(range(size))
+
+    def find(of, x):
+        while of[x] != x:
+            x = of[x]
+        return x
+
+    for i, j in pairs:
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            expected[x] += n_rows[y]
+            expected[y] += n_rows[x]
+            root[find(root, x)] = find(root, y)
+    for x, y in edges:
+        assert find(forest, x) != find(forest, y)  # no edge too many
+        forest[find(forest, x)] = find(forest, y)
+    groups = [{frozenset(y for y in range(size) if find(of, y) == find(of, x)) for x in range(size)} for of in (root, forest)]
+    assert groups[0] == groups[1] and (total == expected).all()
+
+
 def test_components(spark):
     rnd = random.Random(4)
     links = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(40)] + [(100 + k, 101 + k) for k in range(50)] + [(7, 7)]
