@@ -29,8 +29,8 @@ from reckon.llm.shared import arrow
 from reckon.llm.textbytes import Chunk, chunks, column
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-CACHED_WORDS = 600_000
-TEXT_AT_ONCE = 4_000_000
+CACHED_WORDS = 300_000
+TEXT_AT_ONCE = 1_000_000
 NEVER = 1 << 40
 OTHER, LETTER, NUMBER, WHITE = range(4)
 # The characters with the property White_Space.

@@ -118,6 +118,15 @@ def test_trusted_rows_are_told_apart(spark, monkeypatch):
     assert out == sorted((f"t{i}", i < 890 and i % 600 % 9 == 0) for i in range(900))
 
 
+def test_trusted_texts_are_not_joined(spark):
+    """Two bitmaps decide nearly all rows, so the texts of trusted documents are not shuffled either."""
+    docs = spark.range(9000).selectExpr("id AS doc_id", "concat('t', id) AS text")
+    told, joined = quality_rules.told_apart(docs, docs.where("doc_id % 2 = 0").select("doc_id"))
+    assert joined.count() < 90
+    out = sorted((r.doc_id, r.trusted) for r in told.union(joined).collect())
+    assert out == [(i, i % 2 == 0) for i in range(9000)]
+
+
 def test_no_document_vouches_for_itself(spark):
     """A trusted document of words of its own scores no better than the same text without trust."""
     words = lambda k, n=40: " ".join(f"w{(k * 37 + j * j) % 400}" for j in range(n))
@@ -143,6 +152,21 @@ def test_pre_tokens_and_merges(plain_encoder):
             assert decoded == text.encode()
 
 
+def test_memory_of_a_task_is_bounded():
+    """Many texts of ever new words, cut into chunks, take far less memory than all of them at once."""
+    import tracemalloc
+
+    rnd = np.random.default_rng(3)
+    texts = [" ".join(f"{n:x}" for n in rnd.integers(0, 1 << 40, 300)) for _ in range(2000)]
+    encoder = bpe.Encoder(public_tokenizers.path(bpe.RANKS))
+    bpe._pairs(encoder.path)
+    tracemalloc.start()
+    n = sum(len(ids) for chunk in chunks(pa.array(texts), bpe.TEXT_AT_ONCE) for ids, _ in encoder.documents(chunk))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 2000 * 300 and peak < 160 << 20
+
+
 def test_replay_in_rank_order(plain_encoder):
     import random
 
