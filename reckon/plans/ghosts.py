@@ -13,16 +13,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reckon.functions.ordered import frozen
-from reckon.operators.shared import Timeline, ghosts
+from reckon.operators.shared import Timeline
 from reckon.sources.versions import Changes, Manifest, VersionedTables, Versions
 
 Tables = Any
 
 
+def _without(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """The rows whose EntryID is not among the others.
+
+    Spark would push an anti join below the union that ``rows`` is, and hash and sort all others once for each of its parts, for a small one
+    in few tasks.
+    """
+    found = others.select("EntryID").distinct().withColumn("_found", F.lit(True))
+    return rows.join(found, "EntryID", "left").filter(F.col("_found").isNull()).select(*rows.columns)
+
+
 def updated(open_entries: DataFrame, loose: DataFrame, entries: DataFrame, vouchers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(ghosts, vouchers without an entry) from those there were, and the entries and vouchers that came since."""
     all_open, all_loose = open_entries.unionByName(entries), loose.unionByName(vouchers)
-    return ghosts(all_open, all_loose), ghosts(all_loose, all_open)
+    return _without(all_open, all_loose), _without(all_loose, all_open)
 
 
 def changes_since(t: VersionedTables) -> Changes:

@@ -66,6 +66,17 @@ def test_only_increments_are_read(spark, tmp_path):
     assert changes.replace["ghosts"].count() == 25 - 1 + 10 - 1
 
 
+def test_parts_are_joined_at_once(spark, settings):
+    """One join for what was there and what came, so that a small part does not take all vouchers into few tasks; no row is lost or doubled."""
+    settings(spark__sql__autoBroadcastJoinThreshold="-1")
+    old, new = rows(spark, [1, 2, 2], [(9, 80), (8, None)]), rows(spark, [3, 4, 80], [(1, 1), (5, 3), (6, 3), (7, 90), (7, 90)])
+    found, loose = kept.updated(old["ledger"], old["vouchers"], new["ledger"], new["vouchers"])
+    assert plan(found, "simple").count("Join ") == plan(loose, "simple").count("Join ") == 1
+    assert sorted(r["EntryID"] for r in found.collect()) == [2, 2, 4]
+    assert sorted((r["VoucherID"], r["EntryID"] or 0) for r in loose.collect()) == [(7, 90), (7, 90), (8, 0)]
+    assert found.columns == old["ledger"].columns and loose.columns == old["vouchers"].columns
+
+
 @pytest.mark.parametrize("name", [name for name in QUERIES if name.startswith("ghost_")])
 def test_reports_over_kept_ghosts(spark, data, tmp_path_factory, name):
     folder = tmp_path_factory.getbasetemp() / "kept-ghosts"
