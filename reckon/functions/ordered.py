@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reckon.session import checkpoint_folder
+from reckon.session import checkpoint_folder, scratch_folder
 
 HOT_ROWS = 5_000_000
 BROADCAST_KEYS = 100_000
@@ -27,6 +27,13 @@ def frozen(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as Parquet beside the checkpoints, for many rows of which several passes read a few columns each."""
+    folder = scratch_folder(df.sparkSession, "rows")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
     """(rows of ordinary keys, rows of hot keys or None). Keys must not be null.
 
@@ -155,7 +162,7 @@ def global_row_number(df: DataFrame, order: Sequence[Column], name: str) -> Data
     The rows are range-sorted once; the position inside a partition plus the sizes of the partitions
     before it is the row number. ``order`` must be total.
     """
-    placed = frozen(df.orderBy(*order).withColumn("_place", F.monotonically_increasing_id()))
+    placed = stored(df.orderBy(*order).withColumn("_place", F.monotonically_increasing_id()))
     partition = F.shiftright("_place", _ROW_BITS)
     position = F.col("_place").bitwiseAND((1 << _ROW_BITS) - 1)
     placed = placed.withColumns({"_partition": partition, "_position": position})

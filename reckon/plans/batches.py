@@ -15,7 +15,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reckon.functions.ordered import frozen
+from reckon.functions.ordered import frozen, stored
 from reckon.plans import merchants, products, rules, settlements, users, vouchers, wallets
 from reckon.plans.requests import numbered
 from reckon.sources.versions import Changes, VersionedTables, Versions, from_tables
@@ -33,7 +33,7 @@ def _logged(t: Tables, *audits: DataFrame) -> DataFrame:
 
 
 def _issue(t: Tables, issued: DataFrame) -> Changes:
-    issued = frozen(issued)
+    issued = stored(issued)
     new = numbered(issued.select("RequestID", "Unit", "EntryID", "PinData", "ExpiryDate"), t.vouchers, "VoucherID", ["RequestID", "Unit"])
     return Changes(replace={"wallets": vouchers.debit_wallets(t.wallets, issued)}, append={"ledger": issued, "vouchers": new})
 
@@ -110,7 +110,8 @@ BATCHES: dict[str, tuple[str, Callable[[Tables, DataFrame], Changes]]] = {
 
 def wallet_books(t: Tables) -> DataFrame:
     """Every wallet with its balance and what ledger, vouchers and audit log have of it."""
-    entries = t.ledger.join(t.vouchers.select("EntryID", F.lit(1).alias("_voucher")).distinct(), "EntryID", "left")
+    # The mark comes after distinct(), else it is part of its key and the join shuffles the vouchers once more.
+    entries = t.ledger.join(t.vouchers.select("EntryID").distinct().withColumn("_voucher", F.lit(1)), "EntryID", "left")
     of_wallet = entries.groupBy("WalletID").agg(
         F.count("*").alias("Entries"), F.sum("Amount").alias("Amount"), F.count("_voucher").alias("Vouchers")
     )

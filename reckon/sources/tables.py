@@ -88,6 +88,8 @@ def write_table(df: DataFrame, folder: str, attribute: str, mode: str = "overwri
         if wallet_buckets:
             rows = rows.sortWithinPartitions(*parts, "WalletID")
         rows.write.mode(mode).options(**blooms).partitionBy(*parts).parquet(target)
+        if mode != "append":  # the folder holds these rows alone, so they need not be computed once more
+            df = df.sparkSession.read.schema(df.schema).parquet(target)
         days_of(df).coalesce(1).write.mode(mode).parquet(f"{folder}/{DAYS}")
     else:
         df.write.mode(mode).options(**blooms).parquet(target)
