@@ -5,8 +5,8 @@
    most d blocks: their first d + 1 non-empty blocks, in any common order, hold an equal one (shingles.keys). The blocks are joined
    by equality. Frequent blocks, found in a sample of classes, come last in the order; the order cannot change the result.
 3. Pairs that meet are tested by odd sketches (one bit flipped a shingle: the Hamming distance never exceeds the symmetric
-   difference). What may be similar makes candidate components, and for them no group is expanded into all pairs: every member is tested
-   against the least member of its group and a few before it; then only groups that still span several components are
+   difference). What may be similar makes candidate components, and for them only groups of FEW are expanded into all pairs: in others every
+   member is tested against the least member of its group and a few before it; then only such groups that still span several components are
    compared across components, by bits, in blocks of GROUP members.
 4. Similar classes always lie in one candidate component, so all pairs of classes of a component are tested by sizes, bits and exactly on
    the shingle sets, in pairs of blocks, each pair once (linked). Links are counted there, or returned as pairs (links); a
@@ -38,6 +38,7 @@ GROUP_SHINGLES = 1 << 20  # in a block whose members bring their sets, 8 MB
 PAIRS_AT_ONCE = 1_000_000
 SHINGLES_AT_ONCE = 1 << 22
 STEPS = (1, 2, 4, 8)
+FEW = 6  # classes of a key, of which all pairs are hardly more than those of STEPS
 NONE = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
 
@@ -106,11 +107,14 @@ def frequent_keys(documents: DataFrame, load: float = shingles.LOAD) -> tuple[np
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
-    """(key, handle, hub) of the keys that several classes hold; hub is the least of them.
+    """(key, handle, hub, whole) of the keys that several classes hold; hub is the least of them.
 
-    Rows come sorted, so a run of one key is passed on row by row, whatever its length.
+    Rows come sorted, so a run of one key is passed on row by row, whatever its length. Most keys have but a few classes: of up to
+    FEW that lie in one batch come all pairs (handle, hub) instead, marked as whole; nothing of them is left to compare later.
     """
 
+    names = ["key", "handle", "hub", "whole"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last row: key, handle, hub, passed on already
         for batch in batches:
@@ -132,29 +136,43 @@ def shared_keys(keys: DataFrame) -> DataFrame:
             out = np.zeros(len(key), bool)
             out[1:] = ~begins[1:]
             out[:-1] |= ~begins[1:]
+            members = np.diff(np.append(runs, len(key)))
+            few = (members > 1) & (members <= FEW)
+            few[-1] = False  # may go on in the next batch
+            if held and key[0] == held[0]:
+                few[0] = False
+            run_of = np.cumsum(begins) - 1
+            whole = few[run_of]
+            out &= ~whole
+            later = [np.flatnonzero(whole[step:] & (run_of[step:] == run_of[:-step])) + step for step in range(1, FEW)]
+            at, hubs = np.concatenate(later), np.concatenate([handle[i - step] for step, i in enumerate(later, 1)])
             if held and key[0] == held[0]:
                 end = runs[1] if len(runs) > 1 else len(key)
                 hub[:end], out[:end] = held[2], True
                 if not held[3]:
-                    yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in held[:3]], names=["key", "handle", "hub"])
+                    yield pa.RecordBatch.from_arrays([*(pa.array([v], pa.int64()) for v in held[:3]), pa.array([False])], names=names)
             held = int(key[-1]), int(handle[-1]), int(hub[-1]), bool(out[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(v[out]) for v in (key, handle, hub)], names=["key", "handle", "hub"])
+            rows = (key[out], key[at]), (handle[out], handle[at]), (hub[out], hubs), (np.zeros(out.sum(), bool), np.ones(len(at), bool))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(both)) for both in rows], names=names)
 
     dealt = keys.repartition("key").sortWithinPartitions("key", "handle")
-    return arrow(dealt, run, "key long, handle long, hub long")
+    return arrow(dealt, run, "key long, handle long, hub long, whole boolean")
 
 
 def neighbours(shared: DataFrame) -> DataFrame:
     """Pairs (a, b) of handles to try first: of each key every member with the least one and with those some STEPS before it.
 
-    They join most of a large group, so that few of its members are left to compare across components. Rows are taken as they lie
-    in the table, sorted by key; where a batch ends a few pairs are left out, which across() finds.
+    The pairs of whole keys are there already. Those of the others join most of a large group, so that few of its members are left to
+    compare across components. Rows are taken as they lie in the table, sorted by key; where a batch ends a few pairs are left out, which
+    across() finds.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, handle, hub = (column(batch, name).to_numpy() for name in ("key", "handle", "hub"))
             a, b = [hub[hub != handle]], [handle[hub != handle]]
+            part = ~column(batch, "whole").to_numpy(zero_copy_only=False)
+            key, handle = key[part], handle[part]
             for step in STEPS:
                 same = np.flatnonzero(key[step:] == key[:-step])
                 a.append(handle[same])
@@ -421,7 +439,7 @@ def _candidates(documents: DataFrame, load: float) -> tuple[DataFrame, DataFrame
     )
     shared = written(shared_keys(block_keys(documents, *frequent_keys(documents, load), load=load)))
     roots = components(written(probable(neighbours(shared), classes)))
-    more = roots.toDF("a", "b").union(across(shared.select("key", "handle"), roots, classes))
+    more = roots.toDF("a", "b").union(across(shared.where("NOT whole").select("key", "handle"), roots, classes))
     if not (short := classes.where("short")).isEmpty():
         more = more.union(probable(_by_shingles(short, documents), classes))
     return sets, classes, components(more)

@@ -57,6 +57,29 @@ def test_groups_beyond_a_block(spark, monkeypatch):
     assert found_components(near.near_duplicates(docs)) == near_components(list(enumerate(texts)))
 
 
+@pytest.mark.parametrize("batch", [3, 50, 2000])
+def test_few_classes_of_a_key_are_paired_at_once(spark, settings, batch):
+    """Every key with several classes comes as all its pairs, or as all its members with the least one; most small ones as pairs."""
+    settings(spark__sql__execution__arrow__maxRecordsPerBatch=str(batch))
+    rnd = random.Random(batch)
+    groups = {k: {rnd.randrange(10**6) for _ in range(rnd.choice([1, 1, 2, 2, 3, 6, 7, 40]))} for k in range(400)}
+    keys = [(k, h) for k, members in groups.items() for h in members for _ in range(rnd.choice([1, 1, 2]))]
+    rnd.shuffle(keys)
+    found = defaultdict(list)
+    for r in near.shared_keys(spark.createDataFrame(keys, "key long, handle long")).collect():
+        found[r.key].append((r.handle, r.hub, r.whole))
+    assert set(found) == {k for k, members in groups.items() if len(members) > 1}
+    small = [k for k in found if len(groups[k]) <= near.FEW]
+    for k, out in found.items():
+        if all(whole for *_, whole in out):
+            pairs = [(a, b, True) for a in groups[k] for b in groups[k] if a > b]
+        else:
+            pairs = [(a, min(groups[k]), False) for a in groups[k]]
+        assert sorted(out) == sorted(pairs)
+        assert len(groups[k]) <= near.FEW or not out[0][2]
+    assert batch < 50 or sum(found[k][0][2] for k in small) > 0.8 * len(small)
+
+
 def all_links(documents):
     """Similar pairs of rows, by comparing all of them."""
     sets = [shingle_set(text) for _, text in documents]
