@@ -35,8 +35,9 @@ MOST_FREQUENT = 100_000  # so many frequent blocks are sent to the tasks, 1.6 MB
 FILTER_BITS = 23
 GROUP = 1024
 GROUP_SHINGLES = 1 << 20  # in a block whose members bring their sets, 8 MB
-PAIRS_AT_ONCE = 1_000_000
-SHINGLES_AT_ONCE = 1 << 22
+PAIRS_AT_ONCE = 250_000
+SHINGLES_AT_ONCE = 1 << 20
+TOLD = 20_000
 STEPS = (1, 2, 4, 8)
 FEW = 6  # classes of a key, of which all pairs are hardly more than those of STEPS
 NONE = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -52,7 +53,7 @@ def _class_ids(one: np.ndarray, two: np.ndarray) -> pa.Array:
 
 
 def sets_of(documents: DataFrame, load: float = shingles.LOAD) -> DataFrame:
-    """The columns but text, n_shingles, class (128 bits), handle (64 of them), sketch, and whether the keys are too few to be sure (short)."""
+    """The columns but text, n_shingles, class (128 bits), handle (56 of them and the size), sketch, and whether the keys are too few to be sure (short)."""
     own = [name for name in documents.columns if name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,7 +66,7 @@ def sets_of(documents: DataFrame, load: float = shingles.LOAD) -> DataFrame:
                         *(column(batch, name).slice(chunk.first, chunk.n) for name in own),
                         pa.array(size, pa.int64()),
                         _class_ids(one, two),
-                        _long(one),
+                        _long(shingles.handles(one, size)),
                         pa.array(shingles.odd_sketch(found, owner, size), pa.binary()),
                         pa.array(shingles.unsure(found, owner, size, load)),
                     ],
@@ -87,12 +88,13 @@ def block_keys(
             for chunk in chunks(column(batch, "text")):
                 found, owner = shingles.shingle_sets(chunk)
                 size, one, _ = shingles.digests(found, owner, chunk.n)
+                own = shingles.handles(one, size)
                 for k, handle in enumerate(one.tolist()):
                     if handle in seen or (sample_of and handle % sample_of):
                         size[k] = 0
                     seen.add(handle)
                 keys, docs = shingles.keys(found, owner, size, hot, heat, sample_of > 0, load)
-                yield pa.RecordBatch.from_arrays([_long(keys), _long(one[docs])], names=["key", "handle"])
+                yield pa.RecordBatch.from_arrays([_long(keys), _long(own[docs])], names=["key", "handle"])
 
     return arrow(documents.select("text"), run, "key long, handle long")
 
@@ -164,7 +166,7 @@ def neighbours(shared: DataFrame) -> DataFrame:
 
     The pairs of whole keys are there already. Those of the others join most of a large group, so that few of its members are left to
     compare across components. Rows are taken as they lie in the table, sorted by key; where a batch ends a few pairs are left out, which
-    across() finds.
+    across() finds. Pairs whose sizes differ too much are left out before any sketch is shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,6 +180,8 @@ def neighbours(shared: DataFrame) -> DataFrame:
                 a.append(handle[same])
                 b.append(handle[same + step])
             a, b = np.concatenate(a), np.concatenate(b)
+            good = shingles.sizes_allow(a, b)
+            a, b = a[good], b[good]
             _, first = np.unique(mix(a.view(np.uint64)) + b.view(np.uint64), return_index=True)
             yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first])], names=["a", "b"])
 
@@ -299,8 +303,10 @@ def _links(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         i, j = i[keep], j[keep]
         good = shingles.probable(sketches, size, i, j)
         i, j = i[good], j[good]
+        if not len(i):
+            continue
         common = np.zeros(len(i), np.int64)
-        edges = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1]))) if len(i) else i
+        edges = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1])))
         for a, b in zip(edges, np.append(edges[1:], len(i)), strict=True):
             own = flat[begin[i[a]] : begin[i[a] + 1]]
             marked[own] = True
@@ -393,7 +399,7 @@ def across(shared: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame
         def compared(table: pa.Table) -> pa.RecordBatch:
             columns = {name: table[name].to_pylist() for name in ("class", "n_shingles", "sketch", "root", "left", "right")}
             pairs = list(_compare(table["group"].to_numpy(), columns) - told) if table.num_rows else []
-            if len(told) > 200_000:  # it only spares the shuffle copies
+            if len(told) > TOLD:  # it only spares the shuffle copies
                 told.clear()
             told.update(pairs)
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], names=["a", "b"])
@@ -419,8 +425,9 @@ def _by_shingles(short: DataFrame, documents: DataFrame) -> DataFrame:
         for batch in batches:
             for chunk in chunks(column(batch, "text")):
                 found, owner = shingles.shingle_sets(chunk)
-                _, one, _ = shingles.digests(found, owner, chunk.n)
-                yield pa.RecordBatch.from_arrays([_long(found), _long(one[owner])], names=["shingle", "handle"])
+                size, one, _ = shingles.digests(found, owner, chunk.n)
+                own = shingles.handles(one, size)
+                yield pa.RecordBatch.from_arrays([_long(found), _long(own[owner])], names=["shingle", "handle"])
 
     rows = arrow(documents.select("text"), run, "shingle long, handle long").distinct()
     own = rows.join(short.select("handle").distinct(), "handle", "left_semi").withColumnRenamed("handle", "a")

@@ -12,6 +12,7 @@ WORDS = 5
 SMALL = 64  # sets below this size get so many blocks that nearly every shingle has its own
 SMALL_BLOCKS = 1 << 16
 LOAD = 1.5  # most shingles a block, on average
+KEY_BITS = np.uint64(0xFFFFFFFFFFFF0000)  # of a key, 48: keys that agree by chance are tested like others, and less is shuffled
 OVER, UNDER = 100, 75  # similar: OVER * intersection >= UNDER * union
 
 
@@ -57,6 +58,17 @@ def digests(found: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, n
     return size, *sums
 
 
+def handles(one: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A digest of each set whose last byte is the size: floor(8 * log2(size))."""
+    code = np.minimum(np.floor(8 * np.log2(np.maximum(size, 1))), 255).astype(np.uint64)
+    return one & np.uint64(0xFFFFFFFFFFFFFF00) | code
+
+
+def sizes_allow(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Flags of the pairs of handles whose sizes may be within OVER / UNDER, which is 3.32 of the steps of the last byte."""
+    return np.abs((a & 255) - (b & 255)) <= 4
+
+
 def band(size: np.ndarray) -> np.ndarray:
     """floor(log2(size)) of sizes from 1."""
     return np.frexp(size.astype(float))[1] - 1
@@ -88,7 +100,7 @@ def _spaces(found: np.ndarray, owner: np.ndarray, size: np.ndarray, load: float)
         word = np.bitwise_xor.reduceat(mix(s), begin) if len(s) else s
         o, block = o[begin], block[begin]
         place = mix(block + (bands[o].astype(np.uint64) << np.uint64(40)))
-        yield mix(word ^ place), o, joins, differ
+        yield mix(word ^ place) & KEY_BITS, o, joins, differ
 
 
 def unsure(found: np.ndarray, owner: np.ndarray, size: np.ndarray, load: float = LOAD) -> np.ndarray:
@@ -125,8 +137,8 @@ def keys(
 
 
 def odd_sketch(found: np.ndarray, owner: np.ndarray, size: np.ndarray) -> list[bytes]:
-    """A bit string for each set, of two to four bits a shingle; every shingle flips one bit."""
-    bits = np.exp2(np.maximum(band(np.maximum(size, 1)), 4) + 2).astype(np.int64)
+    """A bit string for each set, of one to two bits a shingle; every shingle flips one bit."""
+    bits = np.exp2(np.maximum(band(np.maximum(size, 1)), 4) + 1).astype(np.int64)
     begin = np.concatenate(([0], np.cumsum(bits)))
     flat = np.bincount(begin[owner] + (found.astype(np.int64) & (bits[owner] - 1)), minlength=begin[-1]).astype(np.uint8) & 1
     packed = np.packbits(flat, bitorder="little").tobytes()

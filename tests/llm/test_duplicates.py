@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -12,7 +13,7 @@ from fixtures import SCHEMA, awkward_texts, documents, near_components, prose, r
 from reckon.llm import near, repeats, shingles
 from reckon.llm.anchors import segments
 from reckon.llm.shared import components
-from reckon.llm.textbytes import chunks
+from reckon.llm.textbytes import chunks, mix
 
 SF = "/root/testdata/sf0.01"
 
@@ -309,3 +310,73 @@ def test_repeated_rows_are_documents(spark):
     docs = spark.createDataFrame([(1, long, None, None, 0), (1, long, None, None, 0), (None, long + "!", None, None, 0)], SCHEMA)
     out = sorted((r.n_bytes, r.n_removed) for r in repeats.Repeats(docs).removed().collect())
     assert out == [(len(long), len(long)), (len(long), len(long)), (len(long) + 1, len(long))]
+
+
+def test_handles_tell_sizes_that_cannot_be_similar(spark):
+    """No pair of sizes within the threshold is left out; pairs far apart bring no sketch into a shuffle."""
+    size = np.arange(1, 3000)
+    handle = shingles.handles(np.random.default_rng(1).integers(0, 1 << 63, len(size), dtype=np.uint64) * np.uint64(2), size).view(np.int64)
+    for i in range(0, len(size), 7):
+        near_by = shingles.OVER * np.minimum(size, size[i]) >= shingles.UNDER * np.maximum(size, size[i])
+        allowed = shingles.sizes_allow(np.full(len(size), handle[i]), handle)
+        assert allowed[near_by].all()
+        assert not allowed[(size > 2 * size[i]) | (2 * size < size[i])].any()
+    small, large, other = (int(handle[k - 1]) for k in (40, 200, 45))
+    rows = [(1, small, small, False), (1, large, small, False), (1, other, small, False)]
+    shared = spark.createDataFrame(rows, "key long, handle long, hub long, whole boolean").coalesce(1)
+    assert {frozenset(r) for r in near.neighbours(shared).collect()} == {frozenset((small, other))}
+
+
+def test_shuffled_keys_and_sketches_are_short():
+    """A key has 48 bits, a sketch two bits a shingle at most."""
+    rng = np.random.default_rng(2)
+    for n in (20, 100, 700):
+        found = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        owner, size = np.zeros(len(found), np.int64), np.array([len(found)])
+        keys, _ = shingles.keys(found, owner, size, *near.NONE)
+        assert len(keys) and not (keys & np.uint64(0xFFFF)).any()
+        (sketch,) = shingles.odd_sketch(found, owner, size)
+        assert 8 * len(sketch) <= max(2 * n, 32)
+
+
+def test_memory_of_exact_tests_is_bounded():
+    """A block of large sets is tested in small parts: a task's arrays stay below a few times the block."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 62, 2000)
+    sets = [np.unique(np.concatenate((base[: 2000 - k % 50], rng.integers(0, 1 << 62, k % 50)))) for k in range(700)]
+    size = np.array([len(s) for s in sets])
+    flat, owner = np.concatenate(sets).view(np.uint64), np.repeat(np.arange(len(sets)), size)
+    columns = {
+        "group": pa.array(np.zeros(len(sets), np.int64)),
+        "n_shingles": pa.array(size),
+        "left": pa.array(np.ones(len(sets), bool)),
+        "right": pa.array(np.ones(len(sets), bool)),
+        "sketch": pa.array(shingles.odd_sketch(flat, owner, size), pa.binary()),
+        "shingles": pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), pa.array(flat.view(np.int64))),
+    }
+    table = pa.table(columns)
+    tracemalloc.start()
+    n = sum(len(i) for i, _ in near._links(table))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(sets) * (len(sets) - 1) // 2
+    assert most < 8 * flat.nbytes
+
+
+def test_parts_without_a_pair_are_passed_over(monkeypatch):
+    """A part of a component's pairs of which none may be similar."""
+    monkeypatch.setattr(near, "PAIRS_AT_ONCE", 1)
+    a, b = np.arange(0, 60), np.arange(1000, 1060)
+    sets = [mix(s.astype(np.uint64)) for s in (a, b, a)]
+    flat, owner, size = np.concatenate(sets), np.repeat(np.arange(3), 60), np.full(3, 60)
+    table = pa.table(
+        {
+            "group": pa.array(np.zeros(3, np.int64)),
+            "n_shingles": pa.array(size),
+            "left": pa.array(np.ones(3, bool)),
+            "right": pa.array(np.ones(3, bool)),
+            "sketch": pa.array(shingles.odd_sketch(flat, owner, size), pa.binary()),
+            "shingles": pa.ListArray.from_arrays(pa.array(np.arange(0, 181, 60), pa.int32()), pa.array(flat.view(np.int64))),
+        }
+    )
+    assert [(i, j) for x, y in near._links(table) for i, j in zip(x.tolist(), y.tolist(), strict=True)] == [(0, 2)]
