@@ -4,8 +4,9 @@ Documents are added up into cells (source, language, topic) of tokens. Raking sc
 language and topic in turn until they settle. Each document is then kept with the probability that its cell's ratio of raked to own
 tokens gives, scaled so that the expected tokens are the wanted share of all, and drawn by a hash of its id: the same at every run.
 
-The cells are a table like any other: each sweep joins them with the sums over one margin, and is written in the shared folder, so
-there may be any number of sources. Targets are given, or the tokens of each value to the power TEMPER, which lifts small values.
+The cells are a table like any other: each step of a sweep joins them with the sums over one margin, and is written in the shared
+folder, so there may be any number of sources and no plan holds more than one step. Targets are given, or the tokens of each value
+to the power TEMPER, which lifts small values.
 
 Null sources, languages and topics count as "". Null and empty texts have no tokens and are kept with probability 0 only if
 their cell has none either way; they never change the weights. An empty table gives no rows. Repeated rows are drawn alike, by their id.
@@ -80,19 +81,20 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataF
         scale = (total - (known[1] or 0)) / known[0] if known[0] else 1.0
         goals[margin] = goals[margin].select(margin, F.when(F.col("target").isNull(), F.col("t")).otherwise(F.col("target") * scale).alias("goal"))
     now = cells.withColumn("weight", F.col("tokens").cast("double"))
+    for margin in MARGINS:
+        now = now.join(goals[margin].withColumnRenamed("goal", f"goal_{margin}"), margin)
+    now = written(now)
     for _ in range(SWEEPS):
-        before = now.withColumnRenamed("weight", "before")
-        now = before.withColumn("weight", F.col("before"))
+        now = now.withColumnRenamed("weight", "before").withColumn("weight", F.col("before"))
         for margin in MARGINS:
-            sums = now.groupBy(margin).agg(F.sum("weight").alias("s")).join(goals[margin], margin)
-            factor = sums.select(margin, F.when(F.col("s") > 0, F.col("goal") / F.col("s")).otherwise(F.lit(1.0)).alias("f"))
-            now = now.join(factor, margin).withColumn("weight", F.col("weight") * F.col("f")).drop("f")
-        now = written(now)
+            sums = now.groupBy(margin).agg(F.sum("weight").alias("s"))
+            factor = F.when(F.col("s") > 0, F.col(f"goal_{margin}") / F.col("s")).otherwise(F.lit(1.0))
+            now = written(now.join(sums, margin).withColumn("weight", F.col("weight") * factor).drop("s"))
         moved = now.where("before > 0").agg(F.max(F.abs(F.col("weight") / F.col("before") - 1))).first()[0]
         now = now.drop("before")
         if moved is None or moved < SETTLED:
             break
-    return now
+    return now.drop(*(f"goal_{margin}" for margin in MARGINS))
 
 
 def probabilities(raked: DataFrame, share: float = SHARE) -> DataFrame:

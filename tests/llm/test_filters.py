@@ -14,7 +14,7 @@ from fixtures import SCHEMA, awkward_texts, documents, near_components, rows
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from reckon.llm import bpe, mixing, queries, secrets, topk, urls
+from reckon.llm import bpe, mixing, queries, secrets, shared, topk, urls
 
 SF = "/root/testdata/sf0.01"
 
@@ -334,6 +334,33 @@ def test_raking(spark):
     assert math.isclose(langs["l0"] / langs["l1"], 3.0, rel_tol=2e-3)
 
 
+def exchanges(frame):
+    return frame._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_plans_of_rounds_and_sweeps_are_small(spark, monkeypatch):
+    """The driver holds a thread for each exchange of a plan, so no step repeats the steps before it."""
+    seen = []
+    written = shared.written
+
+    def counted(frame):
+        seen.append(exchanges(frame))
+        return written(frame)
+
+    monkeypatch.setattr(shared, "written", counted)
+    monkeypatch.setattr(mixing, "written", counted)
+    links = spark.createDataFrame([(k, k + 1) for k in range(9)], "a long, b long")
+    assert {(r.node, r.root) for r in shared.components(links).collect()} == {(k, 0) for k in range(1, 10)}
+    assert max(seen) <= 4
+    seen.clear()
+    cells = spark.createDataFrame([(f"s{k % 5}", f"l{k % 3}", f"t{k % 2}", k) for k in range(30)], "source string, lang string, topic string, tokens long")
+    cells = cells.groupBy(*mixing.MARGINS).agg(F.sum("tokens").alias("tokens"))
+    raked = mixing.rake(cells)
+    assert set(raked.columns) == {*mixing.MARGINS, "tokens", "weight"}
+    assert math.isclose(raked.agg(F.sum("weight")).first()[0], sum(range(30)), rel_tol=1e-6)
+    assert max(seen) <= 5
+
+
 def test_calibrated_probabilities(spark):
     cells = [("a", 100, 400.0), ("b", 100, 90.0), ("c", 1000, 500.0), ("d", 0, 0.0)]
     raked = spark.createDataFrame(cells, "source string, tokens long, weight double")
